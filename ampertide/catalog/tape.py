@@ -307,6 +307,7 @@ def _o1(spark, sf):
        AND a.delivery_hour = extract(hour FROM t.delivery_start)""",
     ("fx_trades", "fx_da"),
     ("da_price", "da_upper", "da_lower"),
+    digits=9,
 )
 def _f11(spark, sf):
     t = V.trades(spark, sf).select(

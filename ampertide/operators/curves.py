@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .interp import at_points, interp
@@ -15,7 +16,6 @@ from .interp import at_points, interp
 CURVE = ["curve_date", "curve_hour"]
 PRICE_FLOOR = -500.0
 PRICE_CELL = 100.0
-VOLUME_CELL = 1000.0
 
 
 def supply(curves: DataFrame) -> DataFrame:
@@ -56,33 +56,44 @@ def transformed_supply(
     curves: DataFrame, n: int = 500, p_min: float = PRICE_FLOOR
 ) -> DataFrame:
     """S(p) + D(p_min) - D(p) on n prices across the supply range of each curve."""
-    s, d = supply(curves), demand(curves)
-    span = s.groupBy(*CURVE).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    kind = F.when(F.lower("side") == "sell", "s").otherwise("d")
+    known = curves.filter(F.lower("side").isin("sell", "buy", "purchase"))
+    knots = known.select(*CURVE, kind.alias("kind"), F.col("price").alias("x"), F.col("volume").alias("y"))
+    span = supply(curves).groupBy(*CURVE).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / (n - 1)
     point = F.when(F.col("i") == n - 1, F.col("hi")).otherwise(F.col("lo") + F.col("i") * step)
-    grid = span.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
-    ).select(*CURVE, "i", point.alias("x"))
-    opts = {"outside": "zero", "cell_width": PRICE_CELL}
-    floor = interp(
-        span.select(*CURVE).withColumn("x", F.lit(p_min)), d, CURVE, out="d0", **opts
-    ).select(*CURVE, "d0")
-    at_s = at_points(grid, s, CURVE, "x", "s", **opts)
-    both = at_points(at_s, d, CURVE, "x", "d", **opts).join(floor, CURVE, "left")
-    zero = F.lit(0.0)
-    vol = F.coalesce("s", zero) + F.coalesce("d0", zero) - F.coalesce("d", zero)
-    return both.select(*CURVE, "i", F.col("x").alias("price"), vol.alias("volume"))
+    # Index -1 is the price floor; every point asks both sides in one pass.
+    grid = span.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("i")).select(
+        *CURVE, "i", F.when(F.col("i") < 0, F.lit(p_min)).otherwise(point).alias("x")
+    )
+    asked = grid.select("*", F.explode(F.array(F.lit("s"), F.lit("d"))).alias("kind"))
+    vals = at_points(asked, knots, [*CURVE, "kind"], "x", "y", outside="zero", cell_width=PRICE_CELL)
+    sides = vals.groupBy(*CURVE, "i").agg(
+        F.first("x").alias("price"),
+        F.coalesce(F.max(F.when(F.col("kind") == "s", F.col("y"))), F.lit(0.0)).alias("s"),
+        F.coalesce(F.max(F.when(F.col("kind") == "d", F.col("y"))), F.lit(0.0)).alias("d"),
+    )
+    # n + 1 rows per curve.
+    floor = F.max(F.when(F.col("i") < 0, F.col("d"))).over(W.partitionBy(*CURVE))
+    return (
+        sides.select(*CURVE, "i", "price", (F.col("s") + floor - F.col("d")).alias("volume"))
+        .filter(F.col("i") >= 0)
+    )
 
 
 def merit_order_slope(
     ts: DataFrame, prices: DataFrame, qs: tuple[int, ...] = (500, 1000, 2000)
 ) -> DataFrame:
     """Slope of the merit order around each distinct (curve, price) of `prices`:
-    (P(v+q) - P(max(v-q, 0))) / 2q with v the volume at that price."""
+    (P(v+q) - P(max(v-q, 0))) / 2q with v the volume at that price.
+
+    `ts` is the fixed grid of transformed_supply and the prices are distinct per
+    contract, so every key is small here. `ts` is read twice: write or checkpoint
+    it first when it is large."""
     by_price = ts.select(*CURVE, F.col("price").alias("x"), F.col("volume").alias("y"))
     by_volume = ts.select(*CURVE, F.col("volume").alias("x"), F.col("price").alias("y"))
     asked = prices.select(*CURVE, "price").filter(F.col("price").isNotNull()).distinct()
-    implied = at_points(asked, by_price, CURVE, "price", "v", cell_width=PRICE_CELL)
+    implied = at_points(asked, by_price, CURVE, "price", "v")
     steps = F.array(*[F.lit(float(q)) for q in qs])
     ends = (
         implied.filter(F.col("v").isNotNull())
@@ -95,7 +106,7 @@ def merit_order_slope(
             ),
         )
     )
-    priced = at_points(ends, by_volume, CURVE, "pv", "p", cell_width=VOLUME_CELL)
+    priced = at_points(ends, by_volume, CURVE, "pv", "p")
     return priced.groupBy(*CURVE, "price").agg(
         *[
             (F.sum(F.when(F.col("q") == float(q), F.col("sgn") * F.col("p"))) / (2.0 * q)).alias(
@@ -146,11 +157,11 @@ def elasticity_at(
     by_volume = ts.select(*CURVE, F.col("volume").alias("x"), F.col("price").alias("y"))
     steps = F.array(*[F.lit(float(q)) for q in qs])
     asked = by_volume.select(*CURVE).distinct().select("*", F.explode(steps).alias("q"))
-    inner = at_points(asked, by_volume, CURVE, "q", "v", cell_width=VOLUME_CELL)
+    inner = at_points(asked, by_volume, CURVE, "q", "v")
     ends = inner.select(
         *CURVE, "q", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("sgn"), "v"
     ).withColumn("pv", F.col("v") + F.col("sgn") * F.col("q"))
-    priced = at_points(ends, by_volume, CURVE, "pv", "p", cell_width=VOLUME_CELL)
+    priced = at_points(ends, by_volume, CURVE, "pv", "p")
     return (
         priced.groupBy(*CURVE, "q")
         .agg((F.sum(F.col("sgn") * F.col("p")) / (2.0 * F.col("q"))).alias("elasticity"))

@@ -115,7 +115,7 @@ def density_from_coefficients(
     d = len(cols)
     names = [f"k{i + 1}" for i in range(d)]
     packed = coefs.agg(F.collect_list(F.struct(*names, "coef")).alias("_coefs"))
-    at = points.join(F.broadcast(packed), how="cross")
+    at = points.withColumn("_coefs", packed.scalar())
 
     def term(e):
         t = e["coef"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import nearest_known
@@ -15,16 +15,17 @@ def interp(
     x: str = "x",
     y: str = "y",
     outside: str = "clamp",
-    cell_width: float = 50.0,
+    cell_width: float | None = None,
     out: str = "y",
 ) -> DataFrame:
     """Value of the curve at each distinct (keys, x) of `queries`; null for keys
     without a curve.
 
     Sort, no theta join: knots and queries are merged along x and each query takes
-    the knots on either side. The x axis is cut in cells of cell_width so one
-    curve may span many tasks. Equal queries are answered once. Repeated knots
-    collapse to the highest y. outside: 'clamp' (end values) or 'zero'."""
+    the knots on either side. Equal queries are answered once. Repeated knots
+    collapse to the highest y. outside: 'clamp' (end values) or 'zero'. With a
+    cell_width the x axis is cut in cells and one curve may span many tasks; leave
+    it out only for curves of bounded size."""
     if outside not in ("clamp", "zero"):
         raise ValueError("outside is 'clamp' or 'zero'")
     knots = (
@@ -36,7 +37,7 @@ def interp(
     points = knots.select(*keys, "_x", F.struct("_x", "_y").alias("knot")).unionByName(
         asked.select(*keys, "_x", F.lit(None).cast("struct<_x:double,_y:double>").alias("knot"))
     )
-    cell = F.floor(F.col("_x") / cell_width)
+    cell = None if cell_width is None else F.floor(F.col("_x") / cell_width)
     near = nearest_known(points.withColumn("_q", F.col("knot").isNull()), keys, "_x", "knot", cell)
     lo, hi = F.col("prev_knot"), F.col("next_knot")
     inside = F.when(

@@ -14,10 +14,23 @@ from pyspark.sql import functions as F
 
 
 def nearest_known(
-    df: DataFrame, keys: list[str], order: str, value: str, cell: Column
+    df: DataFrame, keys: list[str], order: str, value: str, cell: Column | None = None
 ) -> DataFrame:
     """Adds prev_/next_<value>: the last non-null value at or before the row and
-    the first at or after it. Rows of equal order see each other."""
+    the first at or after it. Rows of equal order see each other.
+
+    Without a cell each key is one window: only for keys of bounded size."""
+    if cell is None:
+        w = W.partitionBy(*keys).orderBy(order)
+        return df.select(
+            "*",
+            F.last(value, ignorenulls=True)
+            .over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
+            .alias(f"prev_{value}"),
+            F.first(value, ignorenulls=True)
+            .over(w.rangeBetween(W.currentRow, W.unboundedFollowing))
+            .alias(f"next_{value}"),
+        )
     d = df.withColumn("_cell", cell)
     here = W.partitionBy(*keys, "_cell").orderBy(order)
     back = here.rangeBetween(W.unboundedPreceding, W.currentRow)

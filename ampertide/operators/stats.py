@@ -41,7 +41,11 @@ def scaler_fit(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
 def scale(df: DataFrame, moments: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     """z-scores; `moments` has one row per key (one row in all without keys)."""
     m = moments.drop("n")
-    joined = df.join(m, list(by), "left") if by else df.join(F.broadcast(m.limit(1)), how="cross")
+    if by:
+        joined = df.join(m, list(by), "left")
+    else:
+        # One row of moments: read as scalars, no join.
+        joined = df.withColumns({c: m.select(c).scalar() for c in m.columns})
     return joined.select(
         *[
             ((F.col(c) - F.col(f"mean_{c}")) / F.sqrt(f"var_{c}")).alias(c) if c in cols else F.col(c)
@@ -126,8 +130,8 @@ def delta_histogram(
         span = d.sparkSession.range(1).select(
             F.lit(float(xlim[0])).alias("lo"), F.lit(float(xlim[1])).alias("hi")
         )
-    # `span` is one row by construction, so attaching it costs no shuffle.
-    at = d.join(F.broadcast(span), how="cross")
+    # The span is one row, read as two scalars.
+    at = d.withColumns({c: span.select(c).scalar() for c in ("lo", "hi")})
     width = (F.col("hi") - F.col("lo")) / bins
     slot = F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     counts = at.groupBy(slot.alias("slot")).agg(
