@@ -50,3 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="ampertide-ckpt-")
     spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the shared checkpoint folder."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df):
+    """Materialises a frame in the checkpoint folder and drops its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -95,21 +95,28 @@ def _zip_lines(batches):
                 yield pd.DataFrame({"value": chunk, "member": member, "archive": path})
 
 
-def read_zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, member, archive) lines of zipped CSVs, one task per archive."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_zip_lines, "value string, member string, archive string")
+def zipped_lines(files: DataFrame) -> DataFrame:
+    """(value, member, archive) lines of the archives in `files(path, content)`.
 
+    An archive cannot be split, so it is the unit of parallelism."""
+    return files.select("path", "content").mapInPandas(
+        _zip_lines, "value string, member string, archive string"
+    )
 
-def read_zipped_csv(spark: SparkSession, path: str, marker: str = "Delivery") -> DataFrame:
+
+def zipped_csv(files: DataFrame, marker: str = "Delivery") -> DataFrame:
     """Zipped CSVs that share one header, as string columns."""
-    lines = read_zipped_lines(spark, path)
+    lines = zipped_lines(files)
     head = lines.filter(F.col("value").contains(marker)).select("value").head()
     if head is None:
-        raise ValueError(f"no header with '{marker}' in {path}")
+        raise ValueError(f"no header with '{marker}' in the archives")
     return _parse_lines(lines, head["value"])
 
 
+def read_zipped_csv(spark: SparkSession, path: str, marker: str = "Delivery") -> DataFrame:
+    return zipped_csv(spark.read.format("binaryFile").load(path), marker)
+
+
 def read_zipped_trades(spark: SparkSession, path: str) -> DataFrame:
     return _typed_trades(read_zipped_csv(spark, path))
 
