@@ -1 +1,368 @@
-"""Registered queries."""
+"""Model, streaming and parameter-store queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..models import gamlss as G
+from ..models import linear as L
+from ..models import marginals as A
+from ..models import mvt as M
+from ..operators import features as X
+from ..operators import panel as P
+from ..operators import reports as R
+from ..session import cut, scratch_path
+from ..sources import sinks as O
+from ..streaming import incremental as S
+from . import views as V
+from .registry import query
+from .stats import XS, matrix
+from .views import VIEW_SQL
+
+CFG = M.StudyConfig(lookback_days=14, block_days=7, current_lags=2, total_neighbors=2, prefer_before=1)
+
+
+def spread_panel(spark, sf):
+    b = X.with_da_price(V.bins(spark, sf), V.day_ahead(spark, sf))
+    return b.select(
+        "delivery_date", "delivery_hour", F.col("bin_timestamp").alias("ts"),
+        (F.col("da_price") - F.col("vwap")).alias("da-id"),
+    ).na.drop()
+
+
+def _one_horizon(spark, sf):
+    names = P.feature_names("daid", CFG.design(1))
+    base = spread_panel(spark, sf).withColumnRenamed("da-id", "_v")
+    rows = P.mvt_features(base, "_v", "daid", CFG.design(1), (1,))
+    return names, rows
+
+
+@query(
+    "m1_rolling_ols",
+    """SELECT day, n, total, CASE WHEN count(*) OVER w = 90 THEN regr_intercept(total, n) OVER w
+       + regr_slope(total, n) OVER w * n END AS prediction FROM (SELECT CAST(o_orderdate AS DATE) AS day,
+       count(*) AS n, sum(o_totalprice) / 7000 AS total FROM orders GROUP BY 1) d
+       WINDOW w AS (ORDER BY day ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING)""",
+    (),
+    ("total", "prediction"),
+    digits=3,
+)
+def _m1(spark, sf):
+    d = V.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("o_totalprice") / 7000).alias("total")
+    )
+    return L.rolling_ols(d, "total", ["n"], 90, ["day"], F.year("day"), block=512).drop("_idx")
+
+
+@query("m1_rolling_ols_quadratic")
+def _m1q(spark, sf):
+    d = V.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean_price"),
+        (F.sum("o_totalprice") / 1000).alias("total"),
+    )
+    out = L.rolling_ols(d, "total", ["n", "mean_price"], 180, ["day"], F.year("day"), 2, block=512)
+    return out.drop("_idx")
+
+
+@query("m2_study_rows")
+def _m2(spark, sf):
+    out = None
+    for wh, (names, rows) in M.study_rows(spread_panel(spark, sf), CFG).items():
+        part = rows.groupBy("delivery_hour").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(wh).alias("wh"), F.lit(",".join(names)).alias("features"), "delivery_hour", "n"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _flat(params):
+    """Parameters without nested arrays, for a stable comparison of rows."""
+    return params.select(
+        "date", "hour", "which_hour_before", "method", "calibration_ok", "error", "df", "n", "p",
+        F.get("mu_scaled", F.lit(0)).alias("mu_0"),
+        F.get(F.get("Sigma_scaled", F.lit(0)), F.lit(0)).alias("sigma_00"),
+        F.get("scaler_mean", F.lit(0)).alias("mean_0"), F.get("scaler_scale", F.lit(0)).alias("scale_0"),
+    )
+
+
+@query("m5_fit_ecm")
+def _m5(spark, sf):
+    names, rows = _one_horizon(spark, sf)
+    return _flat(M.fit_mvt(rows, names, 14, "ecm", 7))
+
+
+@query("m6_fit_mardia")
+def _m6(spark, sf):
+    names, rows = _one_horizon(spark, sf)
+    return _flat(M.fit_mvt(rows, names, 14, "mardia", 7))
+
+
+VIEW_SQL["fx_spread"] = (("fx_bins", "fx_da"), """SELECT b.delivery_date, b.delivery_hour, b.bin_timestamp AS ts,
+    a.price - b.vwap AS v FROM fx_bins b JOIN fx_da a ON a.delivery_date = b.delivery_date
+    AND a.delivery_hour = b.delivery_hour WHERE vwap IS NOT NULL""")
+_N1 = P.feature_names("daid", CFG.design(1))
+_D1 = [(o, k) for o, ks in CFG.design(1).items() for k in ks if (o, k) != (0, 0)]
+VIEW_SQL["fx_study1"] = (("fx_spread",), "SELECT b.delivery_date, b.delivery_hour, b.ts, b.v AS "
+    + _N1[0] + ", " + ", ".join(f"j{i}.v AS {P.lag_name('daid', o, k)}" for i, (o, k) in enumerate(_D1))
+    + " FROM fx_spread b " + " ".join(
+        f"JOIN fx_spread j{i} ON j{i}.ts = b.ts - to_minutes({15 * k}) AND j{i}.delivery_hour = "
+        f"(b.delivery_hour + {o} + 24) % 24" for i, (o, k) in enumerate(_D1))
+    + """ WHERE b.ts >= CAST(b.delivery_date AS TIMESTAMP) + to_hours(b.delivery_hour) - INTERVAL 1 HOUR""")
+
+
+@query(
+    "a25_fit_status",
+    f"""SELECT t.delivery_date AS date, t.delivery_hour AS hour, count(r.ts) AS n, CAST({len(_N1)} AS INT) AS p,
+        count(r.ts) >= {len(_N1) + 2} AS calibration_ok, CASE WHEN count(r.ts) < {len(_N1) + 2}
+        THEN 'too few samples' END AS error FROM (SELECT DISTINCT delivery_date, delivery_hour FROM fx_study1) t
+        LEFT JOIN fx_study1 r ON r.delivery_hour = t.delivery_hour AND r.delivery_date < t.delivery_date
+        AND r.delivery_date >= t.delivery_date - 14 GROUP BY 1, 2""",
+    ("fx_study1",),
+)
+def _a25(spark, sf):
+    names, rows = _one_horizon(spark, sf)
+    fit = M.fit_mvt(rows, names, 14, "mardia", 7)
+    return fit.select("date", "hour", "n", "p", "calibration_ok", "error")
+
+
+@query(
+    "j12_score_join",
+    f"""SELECT s.delivery_date AS date, s.delivery_hour AS hour, s.ts, s.{_N1[0]} AS y, k.n FROM fx_study1 s JOIN (
+        SELECT t.delivery_date, t.delivery_hour, count(*) AS n FROM (SELECT DISTINCT delivery_date, delivery_hour
+        FROM fx_study1) t JOIN fx_study1 r ON r.delivery_hour = t.delivery_hour
+        AND r.delivery_date < t.delivery_date AND r.delivery_date >= t.delivery_date - 14 GROUP BY 1, 2
+        HAVING count(*) >= {len(_N1) + 2}) k ON k.delivery_date = s.delivery_date
+        AND k.delivery_hour = s.delivery_hour""",
+    ("fx_study1",),
+    ("y",),
+)
+def _j12(spark, sf):
+    names, rows = _one_horizon(spark, sf)
+    fit = M.fit_mvt(rows, names, 14, "mardia", 7)
+    return M.score_join(rows, fit).select("date", "hour", "ts", F.col(names[0]).alias("y"), "n")
+
+
+def _forecasts(spark, sf, method="mardia"):
+    names, rows = _one_horizon(spark, sf)
+    fit = cut(M.fit_mvt(rows, names, 14, method, 7))
+    return M.predict_mvt(rows, fit, names)
+
+
+@query("m7_predict")
+def _m7(spark, sf):
+    return _forecasts(spark, sf).drop("used_features", "log_norm")
+
+
+@query("m8_score_density")
+def _m8(spark, sf):
+    return M.score_density(_forecasts(spark, sf, "ecm")).drop("used_features")
+
+
+@query("m9_run_study")
+def _m9(spark, sf):
+    return M.run_study(spread_panel(spark, sf), CFG)[2]
+
+
+@query("m10_model_covariance")
+def _m10(spark, sf):
+    names, rows = _one_horizon(spark, sf)
+    cov = M.model_covariance(M.fit_mvt(rows, names, 14, "mardia", 7))
+    return cov.select(
+        "date", "hour", "which_hour_before", F.posexplode("covariance").alias("i", "row")
+    ).select("date", "hour", "which_hour_before", F.col("i"), F.get("row", F.lit(0)).alias("with_target"))
+
+
+@query("m11_marginal_curve")
+def _m11c(spark, sf):
+    from .stats import scaled
+
+    return A.marginal_curve(scaled(spark, sf), "u", 0.0, 0.9, 8.0)
+
+
+@query("m11_nu_profile")
+def _m11p(spark, sf):
+    b = V.bins(spark, sf).filter(F.col("alpha") != 0)
+    nus = [1.05 + 0.5 * i for i in range(40)]
+    return A.nu_profile(b, "vwap_changes", nus, 0.0, 10.0, ["delivery_hour"])
+
+
+@query("a10_fit_marginals")
+def _a10(spark, sf):
+    return A.fit_marginals(V.bins(spark, sf)).select(
+        "delivery_hour", "distribution", "n", "ks", "p_value", F.get("params", F.lit(0)).alias("param_0")
+    )
+
+
+FEATURES = ["vwap_changes_lag1", "abs_vwap_changes_lag1", "alpha_lag1", "f_TTD"]
+
+
+def model_rows(spark, sf):
+    d = X.with_ttd(V.bins(spark, sf))
+    d = X.add_abs(d, ["vwap_changes"])
+    d = X.add_lags(d, {"vwap": [1], "vwap_changes": [1], "abs_vwap_changes": [1], "alpha": [1]})
+    d = d.withColumn("ttd", 16 - F.col("bin"))
+    d = X.neighbor_features(d)
+    feats = [*FEATURES, "nb_dchg_m1", "nb_dchg_p1"]
+    return X.design_columns(d, feats), feats
+
+
+@query("m12_fit_gamlss")
+def _m12(spark, sf):
+    rows, feats = model_rows(spark, sf)
+    fit = G.fit_gamlss(rows, "vwap_changes", feats, "jsu", 20, 10, 12)
+    return fit.select("delivery_date", "delivery_hour", "n", "fit_ok", "error")
+
+
+@query("m12_fit_normal_lasso")
+def _m12n(spark, sf):
+    rows, feats = model_rows(spark, sf)
+    fit = G.fit_gamlss(rows, "vwap_changes", feats, "normal", 20, 10, 12, "lasso_bic")
+    return fit.select("delivery_date", "delivery_hour", "n", "fit_ok", "error")
+
+
+@query("m13_fit_trade_logit")
+def _m13(spark, sf):
+    rows, feats = model_rows(spark, sf)
+    fit = G.fit_trade_logit(rows, feats, 20, 10)
+    return fit.select("delivery_date", "delivery_hour", "n", "logit_ok", F.get("logit_beta", F.lit(0)).alias("b0"))
+
+
+@query("m14_logit_path_bic")
+def _m14(spark, sf):
+    d = V.trades(spark, sf).select(
+        (F.col("side") == "BUY").cast("int").alias("y"), "price", "qty_mw",
+        F.hour("delivery_start").cast("double").alias("hour"), "duration_min",
+    )
+    cs = [10.0 ** (-4 + 0.5 * i) for i in range(15)]
+    path = L.logit_path_bic(d, "y", ["price", "qty_mw", "hour", "duration_min"], cs, ["duration_min"])
+    return path.select("duration_min", "C", "n", "log_lik", "bic", F.get("beta", F.lit(1)).alias("b1"))
+
+
+@query("m15_lasso_path")
+def _m15(spark, sf):
+    path = L.lasso_path(matrix(spark, sf), "x0", XS[1:], ["l_returnflag"])
+    return path.select("l_returnflag", "step", "lam", "rss", "bic", "n_active")
+
+
+@query(
+    "m15_best_step_fit",
+    """SELECT l_returnflag, regr_slope(x1, x0) AS b1, regr_intercept(x1, x0) AS b0 FROM fx_matrix GROUP BY 1""",
+    ("fx_matrix",),
+    ("b0", "b1"),
+    digits=4,
+)
+def _m15b(spark, sf):
+    # One feature and a vanishing penalty: the end of the path is least squares.
+    path = L.lasso_path(matrix(spark, sf), "x1", ["x0"], ["l_returnflag"], eps=1e-9)
+    end = path.groupBy("l_returnflag").agg(F.max_by("beta", "step").alias("b"))
+    return end.select("l_returnflag", F.col("b")[1].alias("b1"), F.col("b")[0].alias("b0"))
+
+
+@query("m16_one_step_forecast")
+def _m16(spark, sf):
+    rows, feats = model_rows(spark, sf)
+    rows = cut(rows)
+    gam = G.fit_gamlss(rows, "vwap_changes", feats, "jsu", 20, 10, 12)
+    log = G.fit_trade_logit(rows, feats, 20, 10)
+    nb = ["nb_dchg_m1", "nb_dchg_p1"]
+    return G.one_step_forecast(rows, gam, log, feats, feats, nb).select(
+        "day", "hour", "ttd", "pi_hat", "price_pred", "abs_err", "log_score", "crps", *nb
+    )
+
+
+@query(
+    "m17_conditional_moments",
+    """SELECT source, timestamp, m AS m1, CASE WHEN v > 2 THEN m * m + s * v / (v - 2) END AS m2,
+       CASE WHEN v > 3 THEN m * m * m + 3 * m * s * v / (v - 2) END AS m3,
+       CASE WHEN v > 4 THEN m * m * m * m + 6 * m * m * s * v / (v - 2) + s * s * 3 * v * v / ((v - 2) * (v - 4)) END
+       AS m4 FROM (SELECT source, timestamp, mu_cond / 100 AS m, var_cond / 10000 AS s, which_hour_before + 1.5 AS v
+       FROM fx_preds) t""",
+    ("fx_preds",),
+    ("m1", "m2", "m3", "m4"),
+    digits=9,
+)
+def _m17(spark, sf):
+    p = V.predictions(spark, sf).select(
+        "source", "timestamp", (F.col("mu_cond") / 100).alias("mu_cond"),
+        (F.col("var_cond") / 10000).alias("scale2"), (F.col("which_hour_before") + 1.5).alias("df_cond"),
+    )
+    return M.conditional_moments(p).select("source", "timestamp", "m1", "m2", "m3", "m4")
+
+
+@query(
+    "s10_params_store",
+    f"""SELECT t.delivery_date AS date, t.delivery_hour AS hour, CASE WHEN count(r.ts) >= {len(_N1) + 2} THEN 'ok'
+        ELSE 'failed' END AS status FROM (SELECT DISTINCT delivery_date, delivery_hour FROM fx_study1) t
+        LEFT JOIN fx_study1 r ON r.delivery_hour = t.delivery_hour AND r.delivery_date < t.delivery_date
+        AND r.delivery_date >= t.delivery_date - 14 GROUP BY 1, 2""",
+    ("fx_study1",),
+)
+def _s10(spark, sf):
+    names, rows = _one_horizon(spark, sf)
+    path = scratch_path(spark, "params")
+    O.save_params(M.fit_mvt(rows, names, 14, "mardia", 7), path, {"lookback_days": 14})
+    keys = rows.select(
+        F.col("delivery_date").alias("date"), F.col("delivery_hour").alias("hour"),
+        F.col("wh").alias("which_hour_before"),
+    )
+    return O.get_params(O.load_params(spark, path), keys).select("date", "hour", "status")
+
+
+# --- streams: the events arrive as one file per day ------------------------------------
+
+
+def _daily_stream(spark, sf, root):
+    e = V.table(spark, sf, "events").select(
+        "event_id", "ts", "event_type", F.col("value").alias("v"),
+        F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("k"), F.to_date("ts").alias("day"),
+    )
+    e.repartition("day").write.partitionBy("day").parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(f"{root}/in")
+
+
+VIEW_SQL["fx_stream"] = ((), """SELECT event_type, value AS v, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE)
+    AS k FROM events""")
+
+
+@query(
+    "t1_stream_scaler",
+    """SELECT event_type, count(*) AS n, avg(v) AS mean_v, var_pop(v) AS var_v, avg(k) AS mean_k, var_pop(k) AS var_k
+       FROM fx_stream GROUP BY 1""",
+    ("fx_stream",),
+    ("mean_v", "var_v", "mean_k", "var_k"),
+)
+def _t1(spark, sf):
+    root = scratch_path(spark, "t1")
+    q = S.stream_scaler(
+        _daily_stream(spark, sf, root), ["v", "k"], ["event_type"], f"{root}/state", f"{root}/ckpt"
+    )
+    q.awaitTermination()
+    return S.read_scaler(spark, f"{root}/state", ["v", "k"], ["event_type"])
+
+
+@query(
+    "t2_stream_gram",
+    """SELECT event_type, count(*) AS n, CAST(count(*) AS DOUBLE) AS sum_w, sum(v * v) AS yy, sum(k * v) AS xy_0,
+       sum(k * k) AS g_0_0 FROM fx_stream GROUP BY 1""",
+    ("fx_stream",),
+    ("sum_w", "yy", "xy_0", "g_0_0"),
+    digits=3,
+)
+def _t2(spark, sf):
+    root = scratch_path(spark, "t2")
+    q = S.stream_gram(
+        _daily_stream(spark, sf, root), ["k"], "v", ["event_type"], f"{root}/state", f"{root}/ckpt"
+    )
+    q.awaitTermination()
+    return S.read_gram(spark, f"{root}/state", 1, ["event_type"])
+
+
+@query("t3_stream_lasso_refit")
+def _t3(spark, sf):
+    root = scratch_path(spark, "t3")
+    q = S.stream_lasso_refit(
+        _daily_stream(spark, sf, root), ["k"], "v", ["event_type"], f"{root}/state", f"{root}/ckpt"
+    )
+    q.awaitTermination()
+    return S.latest_path(spark, f"{root}/state").select("event_type", "step", "lam", "rss", "n_active")

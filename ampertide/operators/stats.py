@@ -269,19 +269,3 @@ def select_best(df: DataFrame, by: list[str], score: str, payload: list[str]) ->
     pick = F.min(F.struct(score, *payload)).alias("_b")
     best = df.groupBy(*by).agg(pick) if by else df.agg(pick)
     return best.select(*by, F.col(f"_b.{score}").alias(score), *[f"_b.{c}" for c in payload])
-
-
-def ks_distance(df: DataFrame, keys: list[str], value: str, cdf: Column, cell: Column) -> DataFrame:
-    """Kolmogorov-Smirnov statistic of `value` against a cdf column, per key.
-
-    Ties collapse to one row with a count, then cumulative counts run in cells."""
-    from .ordered import running_total
-
-    ties = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m"), F.first(cdf).alias("f"))
-    cum = running_total(ties, keys, [value], ["m"], cell)
-    below = (F.col("cum_m") - F.col("m")) / F.col("tot_m")
-    upto = F.col("cum_m") / F.col("tot_m")
-    return cum.groupBy(*keys).agg(
-        F.max("tot_m").alias("n"),
-        F.max(F.greatest(upto - F.col("f"), F.col("f") - below)).alias("ks"),
-    )

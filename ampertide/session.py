@@ -63,3 +63,13 @@ def cut(df):
     """Materialises a frame in the checkpoint folder and drops its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, *keys: str):
+    """Hash-partitions by the keys over spark.sql.shuffle.partitions tasks.
+
+    For heavy per-group work on few bytes: a stated number keeps runtime coalescing,
+    which only sees bytes, from packing all groups into one task. The grouping that
+    follows reuses this partitioning."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
