@@ -196,8 +196,10 @@ def normal_cdf(x: Column, mean: Column | float = 0.0, sd: Column | float = 1.0)
 
 
 def _jsu_constants(nu: Column, tau: Column):
-    w = F.exp(1.0 / (tau * tau))
-    shape = nu / tau
+    # Bounds far outside any useful shape keep the exponentials finite.
+    tau = F.greatest(tau, F.lit(0.07))
+    w = F.greatest(F.exp(F.least(1.0 / (tau * tau), F.lit(200.0))), F.lit(1.0 + 1e-7))
+    shape = F.least(F.greatest(nu / tau, F.lit(-100.0)), F.lit(100.0))
     c = 1.0 / F.sqrt(0.5 * (w - 1.0) * (w * F.cosh(2.0 * shape) + 1.0))
     return c, w, shape
 
@@ -227,13 +229,14 @@ def jsu_meansd(loc: Column, scale: Column, skew: Column, tail: Column) -> dict[s
 
 
 def jsu_pdf(y: Column, loc: Column, scale: Column, skew: Column, tail: Column) -> Column:
-    z = (y - loc) / scale
+    z = F.try_divide(y - loc, scale)
     r = skew + tail * F.asinh(z)
-    return tail / (scale * F.sqrt(z * z + 1.0) * math.sqrt(2 * math.pi)) * F.exp(-0.5 * r * r)
+    norm = scale * F.sqrt(z * z + 1.0) * math.sqrt(2 * math.pi)
+    return F.try_divide(tail * F.exp(-0.5 * r * r), norm)
 
 
 def jsu_cdf(y: Column, loc: Column, scale: Column, skew: Column, tail: Column) -> Column:
-    return normal_cdf(skew + tail * F.asinh((y - loc) / scale))
+    return normal_cdf(skew + tail * F.asinh(F.try_divide(y - loc, scale)))
 
 
 def jsu_moments(mu: Column, sigma: Column, nu: Column, tau: Column) -> dict[str, Column]:
@@ -256,13 +259,17 @@ def jsu_moments(mu: Column, sigma: Column, nu: Column, tau: Column) -> dict[str,
 
 def gaussian_crps(y: Column, mean: Column, var: Column) -> Column:
     sd = F.sqrt(var)
-    z = (y - mean) / sd
-    return sd * (z * (2.0 * normal_cdf(z) - 1.0) + 2.0 * normal_pdf(z) - 1.0 / math.sqrt(math.pi))
+    z = F.try_divide(y - mean, sd)
+    score = sd * (z * (2.0 * normal_cdf(z) - 1.0) + 2.0 * normal_pdf(z) - 1.0 / math.sqrt(math.pi))
+    # Without variance the score is the distance.
+    return F.when(var > 0, score).otherwise(F.abs(y - mean))
 
 
 def gaussian_log_score(y: Column, mean: Column, var: Column) -> Column:
-    """Negative log density."""
-    return 0.5 * (math.log(2 * math.pi) + F.log(var) + (y - mean) * (y - mean) / var)
+    """Negative log density; null without variance."""
+    return 0.5 * (
+        math.log(2 * math.pi) + F.log(var) + F.try_divide((y - mean) * (y - mean), var)
+    )
 
 
 def mixture_moments(pi: Column, mu: Column, sd: Column) -> tuple[Column, Column]:

@@ -28,13 +28,14 @@ def _ties(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return d.groupBy(*by, "x").agg(F.count(F.lit(1)).cast("double").alias("m"))
 
 
-# Candidate factors on nu in one pass; the span shrinks when the middle wins.
+# Candidate factors on nu in one pass; the span shrinks when the middle wins and
+# grows when an outer one does.
 _STEPS = [-2, -1, 0, 1, 2]
 
 
-def fit_student(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1e-7) -> DataFrame:
-    """Location, scale and degrees of freedom per key by ECM. Odd passes move location
-    and scale, even passes choose nu among candidates on the likelihood."""
+def fit_student(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 2e-3) -> DataFrame:
+    """Location, scale and degrees of freedom per key by ECM: each pass reweights
+    location and scale and picks nu among candidates on the likelihood."""
     m, x = F.col("m"), F.col("x")
     start = ties.groupBy(*by).agg(
         F.sum(m).alias("n"), (F.sum(m * x) / F.sum(m)).alias("loc"),
@@ -56,37 +57,30 @@ def fit_student(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1
                 [f"l{i}" for i in range(len(_STEPS))]
             ].to_numpy()
             pick = ll.argmax(1)
-            span = np.where(pick == 2, pdf["span"] / 2, pdf["span"])
+            span = np.where(pick == 2, pdf["span"] / 2, np.minimum(pdf["span"] * 1.5, 0.6))
             new = cand[np.arange(len(pdf)), pick]
-            move = np.maximum(pdf["change"], np.abs(np.log(new / pdf["nu"])) + span * 1e-3)
-            yield pdf[[*by, "n", "loc", "scale"]].assign(nu=new, span=span, change=move)
-
+            shift = pdf["s1"] / pdf["s0"]
+            scale = np.sqrt(np.maximum((pdf["s2"] - pdf["s1"] * shift) / pdf["n"], 1e-300))
+            move = np.abs(shift) / scale + np.abs(np.log(scale / pdf["scale"])) + 0.1 * span
+            yield pdf[[*by, "n"]].assign(loc=pdf["loc"] + shift, scale=scale, nu=new, span=span, change=move)
+
+    w = m * (nu + 1.0) / (nu + z2)
+    # Centered sums: no cancellation.
+    dev = x - F.col("loc")
+    sums = [F.sum(w).alias("s0"), F.sum(w * dev).alias("s1"), F.sum(w * dev * dev).alias("s2")]
+    for i, s in enumerate(_STEPS):
+        cand = F.least(F.greatest(nu * F.exp(F.col("span") * s), F.lit(0.1)), F.lit(1e4))
+        sums.append(F.sum(m * F.log1p(z2 / cand)).alias(f"l{i}"))
+    params = ["n", "loc", "scale", "nu", "span"]
     for _ in range(rounds):
-        w = m * (nu + 1.0) / (nu + z2)
-        # Centered sums: no cancellation.
-        dev = x - F.col("loc")
-        moved = ties.join(state, by).groupBy(*by, "n", "loc", "scale", "nu", "span").agg(
-            F.sum(w).alias("s0"), F.sum(w * dev).alias("s1"), F.sum(w * dev * dev).alias("s2")
-        )
-        shift = F.col("s1") / F.col("s0")
-        var = F.greatest((F.col("s2") - F.col("s1") * shift) / F.col("n"), F.lit(1e-300))
-        moved = moved.select(
-            *by, "n", (F.col("loc") + shift).alias("loc"), F.sqrt(var).alias("scale"), "nu", "span",
-            (F.abs(shift) / F.sqrt(var) + F.abs(F.log(F.sqrt(var) / F.col("scale")))).alias("change"),
-        )
-        lls = [
-            F.sum(m * F.log1p(z2 / F.least(F.greatest(nu * F.exp(F.col("span") * s), F.lit(0.1)), F.lit(1e4)))).alias(f"l{i}")
-            for i, s in enumerate(_STEPS)
-        ]
-        moved = cut(moved)
-        scored = ties.join(moved, by).groupBy(*by, "n", "loc", "scale", "nu", "span", "change").agg(*lls)
-        state = cut(scored.mapInPandas(choose, ddl))
-        if state.agg(F.max(F.greatest("change", F.col("span") * 0.01))).head()[0] < max(tol, 1e-4):
+        stats = ties.join(state, by).groupBy(*by, *params).agg(*sums)
+        state = cut(stats.mapInPandas(choose, ddl))
+        if state.agg(F.max("change")).head()[0] < tol:
             break
     return state.select(*by, "n", "loc", "scale", F.col("nu").alias("df"))
 
 
-def fit_jsu(ties: DataFrame, by: list[str], rounds: int = 60, tol: float = 1e-7) -> DataFrame:
+def fit_jsu(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1e-5) -> DataFrame:
     """Location, scale, skew and tail per key by maximum likelihood: scoring steps on
     summed scores and their cross products, halved when the likelihood falls."""
     names = ["loc", "lscale", "skew", "ltail"]
@@ -122,9 +116,9 @@ def fit_jsu(ties: DataFrame, by: list[str], rounds: int = 60, tol: float = 1e-7)
                 th, best, direction = (np.asarray(q[c], float) for c in ("th", "best", "dir"))
                 ll = q["new_ll"]
                 if not np.isfinite(ll) or ll < q["ll"]:
-                    size = q["size"] / 2
+                    size = q["size"] / 4
                     out.append([*[q[b] for b in by], q["n"], (best + size * direction).tolist(), best.tolist(),
-                                q["ll"], direction.tolist(), size, 0.0 if size < 1e-6 else 1.0])
+                                q["ll"], direction.tolist(), size, 0.0 if size < 1e-3 else 1.0])
                     continue
                 g = np.array([q[f"g{i}"] for i in range(4)])
                 hess = np.zeros((4, 4))

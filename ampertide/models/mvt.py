@@ -270,7 +270,7 @@ def score_density(preds: DataFrame) -> DataFrame:
     is_t = nu < float("inf")
     var0 = F.greatest(var, F.lit(0.0))
     scale = F.sqrt(F.when(is_t, var0 * (nu - 2.0) / nu).otherwise(var0))
-    z = (y - mu) / F.col("_scale")
+    z = F.try_divide(y - mu, F.col("_scale"))
     t_log = -(F.col("log_norm") - F.log("_scale") - 0.5 * (nu + 1.0) * F.log1p(z * z / nu))
     errs = N.forecast_errors(y, mu)
     d = preds.withColumn("_scale", scale)
@@ -279,7 +279,8 @@ def score_density(preds: DataFrame) -> DataFrame:
         *[c.alias(k) for k, c in errs.items()],
         F.abs(y - mu).alias("rmse_point"),
         F.when(is_t, t_log).otherwise(N.gaussian_log_score(y, mu, var0)).alias("log_score"),
-        F.when(is_t, F.col("_scale") * F.nanvl(_student_crps(z, nu), F.lit(None).cast("double")))
+        F.when(is_t & (F.col("_scale") == 0), F.abs(y - mu))
+        .when(is_t, F.col("_scale") * F.nanvl(_student_crps(z, nu), F.lit(None).cast("double")))
         .otherwise(N.gaussian_crps(y, mu, var0)).alias("crps"),
         "used_features",
     )

@@ -60,9 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df):
-    """Materialises a frame in the checkpoint folder and drops its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes a frame as a table in the shared folder and reads it back.
+
+    Ends the lineage, survives lost executors, computes once, and gives the planner
+    the real size for its join choices."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df, *keys: str):
