@@ -195,9 +195,12 @@ def normal_cdf(x: Column, mean: Column | float = 0.0, sd: Column | float = 1.0)
     return 0.5 * erfc(-((x - mean) / sd) / math.sqrt(2.0))
 
 
+_MIN_TAU = 0.07
+
+
 def _jsu_constants(nu: Column, tau: Column):
     # Bounds far outside any useful shape keep the exponentials finite.
-    tau = F.greatest(tau, F.lit(0.07))
+    tau = F.greatest(tau, F.lit(_MIN_TAU))
     w = F.greatest(F.exp(F.least(1.0 / (tau * tau), F.lit(200.0))), F.lit(1.0 + 1e-7))
     shape = F.least(F.greatest(nu / tau, F.lit(-100.0)), F.lit(100.0))
     c = 1.0 / F.sqrt(0.5 * (w - 1.0) * (w * F.cosh(2.0 * shape) + 1.0))
@@ -213,7 +216,7 @@ def jsu_native(mu: Column, sigma: Column, nu: Column, tau: Column) -> dict[str,
         "loc": mu - c * sigma * F.sqrt(w) * F.sinh(shape),
         "scale": c * sigma,
         "skew": -nu,
-        "tail": tau,
+        "tail": F.greatest(tau, F.lit(_MIN_TAU)),
     }
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import numeric as N
 from ..operators.stats import delta_histogram
-from ..session import cut
+from ..session import cut, spread
 from . import special
 
 
@@ -33,9 +33,65 @@ def _ties(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 _STEPS = [-2, -1, 0, 1, 2]
 
 
-def fit_student(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 2e-3) -> DataFrame:
+LOCAL_ROWS = 100_000
+
+
+def _by_size(ties: DataFrame, by: list[str], local, ddl: str, passes, local_rows: int) -> DataFrame:
+    """Keys of at most local_rows distinct values are solved inside one task each; any
+    larger key goes through passes of aggregates over all tasks. Both are exact."""
+    sized = ties.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
+    big = cut(sized.filter(F.col("_k") > local_rows).select(*by))
+    small = ties.join(sized.filter(F.col("_k") <= local_rows).select(*by), by, "left_semi")
+
+    def run(key, pdf):
+        return pd.DataFrame([[*key, *local(pdf["x"].to_numpy(), pdf["m"].to_numpy())]], columns=names)
+
+    names = [c.split()[0].strip("`") for c in ddl.split(", ")]
+    out = spread(small, *by).groupBy(*by).applyInPandas(run, ddl)
+    if big.isEmpty():
+        return out
+    return out.unionByName(passes(ties.join(big, by, "left_semi")))
+
+
+def _student_step(n, nu, scale, span, loc, s0, s1, s2, lls):
+    """Next (loc, scale, nu, span, change) from the sums of one pass."""
+    cand = np.clip(nu[:, None] * np.exp(np.outer(span, _STEPS)), 0.1, 1e4)
+    ll = n[:, None] * special.student_log_norm(cand) - 0.5 * (cand + 1) * lls
+    pick = ll.argmax(1)
+    shift = s1 / s0
+    fresh = np.sqrt(np.maximum((s2 - s1 * shift) / n, 1e-300))
+    move = np.abs(shift) / fresh + np.abs(np.log(fresh / scale)) + 0.1 * span
+    wider = np.where(pick == 2, span / 2, np.minimum(span * 1.5, 0.6))
+    return loc + shift, fresh, cand[np.arange(len(n)), pick], wider, move
+
+
+def _student_local(x, m, rounds=300, tol=1e-4):
+    one = np.ones(1)
+    n, loc = m.sum() * one, (m @ x) / m.sum() * one
+    scale = np.sqrt(max(m @ (x - loc) ** 2 / n[0], 1e-12)) * one
+    nu, span = 5.0 * one, 0.6 * one
+    for _ in range(rounds):
+        z2 = ((x - loc) / scale) ** 2
+        w = m * (nu + 1) / (nu + z2)
+        dev = x - loc
+        cand = np.clip(nu[0] * np.exp(span[0] * np.array(_STEPS)), 0.1, 1e4)
+        lls = np.array([[(m * np.log1p(z2 / c)).sum() for c in cand]])
+        loc, scale, nu, span, move = _student_step(
+            n, nu, scale, span, loc, w.sum() * one, (w @ dev) * one, (w @ dev**2) * one, lls
+        )
+        if move[0] < tol:
+            break
+    return [float(n[0]), float(loc[0]), float(scale[0]), float(nu[0])]
+
+
+def fit_student(ties: DataFrame, by: list[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Location, scale and degrees of freedom per key by ECM: each pass reweights
     location and scale and picks nu among candidates on the likelihood."""
+    ddl = _ddl(ties, by) + "n double, loc double, scale double, df double"
+    return _by_size(ties, by, _student_local, ddl, lambda t: _student_passes(t, by), local_rows)
+
+
+def _student_passes(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 2e-3) -> DataFrame:
     m, x = F.col("m"), F.col("x")
     start = ties.groupBy(*by).agg(
         F.sum(m).alias("n"), (F.sum(m * x) / F.sum(m)).alias("loc"),
@@ -51,18 +107,12 @@ def fit_student(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 2
 
     def choose(batches):
         for pdf in batches:
-            cand = pdf["nu"].to_numpy()[:, None] * np.exp(np.outer(pdf["span"], _STEPS))
-            cand = np.clip(cand, 0.1, 1e4)
-            ll = pdf["n"].to_numpy()[:, None] * special.student_log_norm(cand) - 0.5 * (cand + 1) * pdf[
-                [f"l{i}" for i in range(len(_STEPS))]
-            ].to_numpy()
-            pick = ll.argmax(1)
-            span = np.where(pick == 2, pdf["span"] / 2, np.minimum(pdf["span"] * 1.5, 0.6))
-            new = cand[np.arange(len(pdf)), pick]
-            shift = pdf["s1"] / pdf["s0"]
-            scale = np.sqrt(np.maximum((pdf["s2"] - pdf["s1"] * shift) / pdf["n"], 1e-300))
-            move = np.abs(shift) / scale + np.abs(np.log(scale / pdf["scale"])) + 0.1 * span
-            yield pdf[[*by, "n"]].assign(loc=pdf["loc"] + shift, scale=scale, nu=new, span=span, change=move)
+            lls = pdf[[f"l{i}" for i in range(len(_STEPS))]].to_numpy()
+            args = [pdf[c].to_numpy() for c in ("n", "nu", "scale", "span", "loc", "s0", "s1", "s2")]
+            fresh = _student_step(*args, lls)
+            yield pdf[[*by, "n"]].assign(
+                **dict(zip(("loc", "scale", "nu", "span", "change"), fresh))
+            )[[*by, "n", "loc", "scale", "nu", "span", "change"]]
 
     w = m * (nu + 1.0) / (nu + z2)
     # Centered sums: no cancellation.
@@ -80,10 +130,50 @@ def fit_student(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 2
     return state.select(*by, "n", "loc", "scale", F.col("nu").alias("df"))
 
 
-def fit_jsu(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1e-5) -> DataFrame:
+def _jsu_direction(g, hess):
+    return np.clip(np.linalg.solve(hess + 1e-8 * np.trace(hess) * np.eye(4), g), -1.0, 1.0)
+
+
+def _jsu_local(x, m, rounds=200, tol=1e-8):
+    n, mean = m.sum(), (m @ x) / m.sum()
+    th = np.array([mean, 0.5 * np.log(max(m @ (x - mean) ** 2 / n, 1e-12)), 0.0, 0.0])
+
+    def sums(th):
+        scale, tail = np.exp(th[1]), np.exp(th[3])
+        z = (x - th[0]) / scale
+        root, a = np.sqrt(z * z + 1), np.arcsinh(z)
+        r = th[2] + tail * a
+        h = z / root**2 + r * tail / root
+        s = np.stack([h / scale, h * z - 1, -r, 1 - r * tail * a])
+        ll = m @ (th[3] - th[1] - np.log(root) - 0.5 * r * r - 0.5 * np.log(2 * np.pi))
+        return ll, s @ m, (s * m) @ s.T
+
+    ll, g, hess = sums(th)
+    for _ in range(rounds):
+        d = _jsu_direction(g, hess)
+        size = 1.0
+        while size > 1e-4:
+            new = sums(th + size * d)
+            if np.isfinite(new[0]) and new[0] >= ll:
+                break
+            size /= 4
+        else:
+            break
+        th = th + size * d
+        gain, (ll, g, hess) = new[0] - ll, new
+        if gain / n < tol:
+            break
+    return [float(n), float(th[0]), float(np.exp(th[1])), float(th[2]), float(np.exp(th[3])), float(ll)]
+
+
+def fit_jsu(ties: DataFrame, by: list[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Location, scale, skew and tail per key by maximum likelihood: scoring steps on
-    summed scores and their cross products, halved when the likelihood falls."""
-    names = ["loc", "lscale", "skew", "ltail"]
+    summed scores and their cross products, shortened when the likelihood falls."""
+    ddl = _ddl(ties, by) + "n double, loc double, scale double, skew double, tail double, log_lik double"
+    return _by_size(ties, by, _jsu_local, ddl, lambda t: _jsu_passes(t, by), local_rows)
+
+
+def _jsu_passes(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1e-5) -> DataFrame:
     m, x = F.col("m"), F.col("x")
     start = ties.groupBy(*by).agg(
         F.sum(m).alias("n"), (F.sum(m * x) / F.sum(m)).alias("loc"), (F.sum(m * x * x) / F.sum(m)).alias("_sq")
@@ -124,8 +214,7 @@ def fit_jsu(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1e-5)
                 hess = np.zeros((4, 4))
                 for i, j in pairs:
                     hess[i, j] = hess[j, i] = q[f"h{i}{j}"]
-                direction = np.linalg.solve(hess + 1e-8 * np.trace(hess) * np.eye(4), g)
-                direction = np.clip(direction, -1.0, 1.0)
+                direction = _jsu_direction(g, hess)
                 # The expected gain of the full step decides convergence.
                 out.append([*[q[b] for b in by], q["n"], (th + direction).tolist(), th.tolist(), ll,
                             direction.tolist(), 1.0, float(g @ direction) / q["n"]])
@@ -174,8 +263,9 @@ def fit_marginals(
     norm = ties.groupBy(*by).agg(
         mean.alias("loc"), F.sqrt(F.sum(m * x * x) / F.sum(m) - mean * mean).alias("scale")
     )
-    t = fit_student(ties, by)
-    j = fit_jsu(ties, by)
+    # Each fit feeds the distances and the output.
+    t = cut(fit_student(ties, by))
+    j = cut(fit_jsu(ties, by))
     cell = F.floor(F.col("x") / cell_width)
     out = None
     for label, par, cdf, cols in (
