@@ -14,13 +14,13 @@ MARKET_ZONE = "Europe/Amsterdam"
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 on the column's own clock."""
-    gap = ts - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    seconds = (
-        F.extract(F.lit("DAY"), gap).cast("long") * 86400
-        + F.extract(F.lit("HOUR"), gap).cast("long") * 3600
-        + F.extract(F.lit("MINUTE"), gap).cast("long") * 60
+    whole = (
+        F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000
+        + F.hour(ts).cast("long") * 3_600_000_000
+        + F.minute(ts).cast("long") * 60_000_000
     )
-    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("long")
+    # Below one minute a double holds microseconds exactly.
+    return whole + (F.extract(F.lit("SECOND"), ts).cast("double") * 1e6 + 0.5).cast("long")
 
 
 def minutes_between(later: Column, earlier: Column) -> Column:
@@ -39,9 +39,7 @@ def at_hour(day: Column, hour: Column | int) -> Column:
 
 
 def trunc_hour(ts: Column) -> Column:
-    return ts - F.make_dt_interval(
-        F.lit(0), F.lit(0), F.minute(ts), F.extract(F.lit("SECOND"), ts)
-    )
+    return at_hour(F.to_date(ts), F.hour(ts))
 
 
 def parse_instant(text: Column) -> Column:

@@ -51,10 +51,11 @@ def interpolate_hours(
     """Fills missing hours of a day linearly, the ends with the nearest value.
 
     At most 24 rows per window."""
-    w = W.partitionBy(day).orderBy(hour)
+    w = W.partitionBy(day)
+    past = (W.unboundedPreceding, W.currentRow)
     known = F.when(F.col(col).isNotNull(), F.struct(F.col(hour).alias("h"), F.col(col).alias("v")))
-    lo = F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    hi = F.first(known, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    lo = F.last(known, ignorenulls=True).over(w.orderBy(hour).rowsBetween(*past))
+    hi = F.last(known, ignorenulls=True).over(w.orderBy(F.desc(hour)).rowsBetween(*past))
     d = df.select("*", lo.alias("_lo"), hi.alias("_hi"))
     gap = F.col("_hi.h") - F.col("_lo.h")
     between = F.col("_lo.v") + (F.col(hour) - F.col("_lo.h")) * (

@@ -68,10 +68,10 @@ def bin_vwap(trades: DataFrame, minutes: int = 15, start_hours: int = 4) -> Data
         micros(F.col("delivery_start")) - start_hours * 3_600_000_000
     )
     k = F.floor(since / width).cast("int")
-    n = start_hours * 60 // minutes
+    start, at = F.col("delivery_start"), F.col("exec_ts")
     return (
-        trades.select("delivery_start", k.alias("bin"), "price", "qty_mw")
-        .filter(F.col("bin").between(0, n - 1))
+        trades.filter((at >= shift_minutes(start, -60 * start_hours)) & (at < start))
+        .select("delivery_start", k.alias("bin"), "price", "qty_mw")
         .groupBy("delivery_start", "bin")
         .agg(vwap(F.col("price"), F.col("qty_mw")).alias("bin_vwap"), F.count(F.lit(1)).alias("n"))
     )

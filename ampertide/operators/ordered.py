@@ -20,25 +20,23 @@ def nearest_known(
     the first at or after it. Rows of equal order see each other.
 
     Without a cell each key is one window: only for keys of bounded size."""
+    # Both sides are growing frames from the start of an order: a frame that shrinks
+    # towards the end is evaluated anew for every row.
+    past = (W.unboundedPreceding, W.currentRow)
+    known_last = F.last(value, ignorenulls=True)
     if cell is None:
-        w = W.partitionBy(*keys).orderBy(order)
+        w = W.partitionBy(*keys)
         return df.select(
             "*",
-            F.last(value, ignorenulls=True)
-            .over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
-            .alias(f"prev_{value}"),
-            F.first(value, ignorenulls=True)
-            .over(w.rangeBetween(W.currentRow, W.unboundedFollowing))
-            .alias(f"next_{value}"),
+            known_last.over(w.orderBy(order).rangeBetween(*past)).alias(f"prev_{value}"),
+            known_last.over(w.orderBy(F.desc(order)).rangeBetween(*past)).alias(f"next_{value}"),
         )
     d = df.withColumn("_cell", cell)
-    here = W.partitionBy(*keys, "_cell").orderBy(order)
-    back = here.rangeBetween(W.unboundedPreceding, W.currentRow)
-    ahead = here.rangeBetween(W.currentRow, W.unboundedFollowing)
+    here = W.partitionBy(*keys, "_cell")
     local = d.select(
         "*",
-        F.last(value, ignorenulls=True).over(back).alias("_p"),
-        F.first(value, ignorenulls=True).over(ahead).alias("_n"),
+        known_last.over(here.orderBy(order).rangeBetween(*past)).alias("_p"),
+        known_last.over(here.orderBy(F.desc(order)).rangeBetween(*past)).alias("_n"),
     )
     # The edge values of each cell, then their carry over the cells of the key.
     known = d.filter(F.col(value).isNotNull())
@@ -46,12 +44,13 @@ def nearest_known(
         F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last")
     )
     slots = d.select(*keys, "_cell").distinct().join(edges, [*keys, "_cell"], "left")
-    w = W.partitionBy(*keys).orderBy("_cell")
+    w = W.partitionBy(*keys)
+    earlier = (W.unboundedPreceding, -1)
     carry = slots.select(
         *keys,
         "_cell",
-        F.last("_last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_cp"),
-        F.first("_first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_cn"),
+        F.last("_last", ignorenulls=True).over(w.orderBy("_cell").rowsBetween(*earlier)).alias("_cp"),
+        F.last("_first", ignorenulls=True).over(w.orderBy(F.desc("_cell")).rowsBetween(*earlier)).alias("_cn"),
     )
     return local.join(carry, [*keys, "_cell"]).select(
         *df.columns,

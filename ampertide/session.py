@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Plans here have thousands of column expressions; recording the Python line of
+    # each one costs more than small queries do.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

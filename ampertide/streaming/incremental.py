@@ -60,7 +60,7 @@ def scaler_part(
 def _rows_after(parts: DataFrame, by: list[str]) -> DataFrame:
     # One row per key and batch.
     w = W.partitionBy(*by)
-    later = w.orderBy("batch").rowsBetween(1, W.unboundedFollowing)
+    later = w.orderBy(F.desc("batch")).rowsBetween(W.unboundedPreceding, -1)
     return parts.select(
         "*",
         F.coalesce(F.sum("n").over(later), F.lit(0)).cast("double").alias("_after"),
