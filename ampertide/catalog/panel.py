@@ -158,15 +158,14 @@ _PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 @query(
     "a19_rolling_moments",
     f"""SELECT t.delivery_hour, t.wh, t.delivery_date, count(r.ts) AS n,
-        {", ".join(f"avg(r.{NAMES[i]}) AS mean_{i}" for i in range(3))},
-        {", ".join(f"round(covar_samp(r.{NAMES[j]}, r.{NAMES[i]}), 5) AS cov_{i}_{j}" for i, j in _PAIRS)}
+        {", ".join(f"avg(r.{NAMES[i]} / 7.31) AS mean_{i}" for i in range(3))},
+        {", ".join(f"covar_samp(r.{NAMES[j]} / 7.31, r.{NAMES[i]} / 7.31) AS cov_{i}_{j}" for i, j in _PAIRS)}
         FROM (SELECT DISTINCT delivery_hour, wh, delivery_date FROM fx_mvt) t LEFT JOIN fx_mvt r
         ON r.delivery_hour = t.delivery_hour AND r.wh = t.wh AND r.delivery_date BETWEEN t.delivery_date - 10
         AND t.delivery_date - 1 GROUP BY 1, 2, 3""",
     ("fx_mvt",),
     tuple([f"mean_{i}" for i in range(3)] + [f"cov_{i}_{j}" for i, j in _PAIRS]),
-    digits=8,
 )
 def _a19(spark, sf):
-    d = S.rolling_moments(mvt_rows(spark, sf), NAMES[:3], 10, ["delivery_hour", "wh"])
-    return d.withColumns({f"cov_{i}_{j}": F.round(f"cov_{i}_{j}", 5) for i, j in _PAIRS})
+    d = mvt_rows(spark, sf).withColumns({n: F.col(n) / 7.31 for n in NAMES[:3]})
+    return S.rolling_moments(d, NAMES[:3], 10, ["delivery_hour", "wh"])

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ordered import running_total
+
 
 def gram(
     df: DataFrame, xs: list[str], y: str | None = None, w: str | None = None, by: list[str] = ()
@@ -205,22 +208,39 @@ def hour_correlation(bins: DataFrame) -> DataFrame:
 
 
 def describe_scores(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles, max; one row per column."""
+    """count, mean, std, min, quartiles, max; one row per column.
+
+    The quartiles are exact order statistics with linear interpolation, from counts
+    cumulated over cells of the value axis: no task holds a whole column."""
     stacked = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols])
         ).alias("s")
-    ).select("s.*")
-    return stacked.filter(F.col("v").isNotNull()).groupBy("metric").agg(
+    ).select("s.*").filter(F.col("v").isNotNull())
+    moments = stacked.groupBy("metric").agg(
         F.count("v").alias("count"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"),
-        F.percentile("v", 0.25).alias("p25"),
-        F.percentile("v", 0.5).alias("p50"),
-        F.percentile("v", 0.75).alias("p75"),
         F.max("v").alias("max"),
     )
+    ties = stacked.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("m"))
+    # asinh keeps the order and spaces cells evenly over all magnitudes.
+    cum = running_total(ties, ["metric"], ["v"], ["m"], F.floor(F.asinh("v") * 50))
+
+    def quantile(q):
+        at = (F.col("tot_m") - 1) * q
+        lo = F.min(F.when(F.col("cum_m") > F.floor(at), F.col("v")))
+        hi = F.min(F.when(F.col("cum_m") > F.ceil(at), F.col("v")))
+        part = F.max(at - F.floor(at))
+        return lo + (hi - lo) * part
+
+    quartiles = cum.groupBy("metric").agg(
+        *[quantile(q).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)]
+    )
+    return moments.join(quartiles, "metric").select(
+        "metric", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    )
 
 
 def mardia_nu(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
@@ -247,7 +267,8 @@ def mardia_nu(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
             yield pdf.drop(columns="s").assign(sinv=list(inv.reshape(-1, p * p)))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mom.schema if f.name != "s")
-    inv = mom.mapInPandas(invert, fields + ", sinv array<double>")
+    # One row per key: as a written table its size is known to the join below.
+    inv = cut(mom.mapInPandas(invert, fields + ", sinv array<double>"))
     rows = d.select(*by, *cols).join(inv.drop("n"), by)
     dev = [F.col(c) - F.col("mu")[i] for i, c in enumerate(cols)]
     quad = sum(
