@@ -58,6 +58,11 @@ def parse_instant(text: Column) -> Column:
     return shift_minutes(bare.try_cast("timestamp_ntz"), -minutes)
 
 
+def iso_day_first(text: Column) -> Column:
+    """'31/10/2021 02:00' -> '2021-10-31 02:00', ready for a cast that knows no zone."""
+    return F.regexp_replace(F.btrim(text), r"^(\d{1,2})/(\d{1,2})/(\d{4})(.*)$", "$3-$2-$1$4")
+
+
 def to_local(instant: Column, zone: str = MARKET_ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), instant)
 

@@ -10,7 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import MARKET_ZONE, is_spring_change, micros, parse_instant, to_local
+from ..functions.clock import (
+    MARKET_ZONE,
+    iso_day_first,
+    is_spring_change,
+    micros,
+    parse_instant,
+    to_local,
+)
 from ..functions.labels import hour_of_label, unpivot_hours
 from ..operators.curves import combine
 from ..operators.tape import dedupe
@@ -127,7 +134,7 @@ def read_auction_wide(spark: SparkSession, path: str, combine_mode: str = "first
     date_col = raw.columns[0]
     keep = [date_col] + [c for c in raw.columns[1:] if "hour" in c.lower()]
     d = raw.select(
-        F.try_to_timestamp(F.col(f"`{date_col}`"), F.lit("dd/MM/yyyy")).cast("date").alias("d"),
+        iso_day_first(F.col(f"`{date_col}`")).try_cast("date").alias("d"),
         *[F.col(f"`{c}`").try_cast("double").alias(c) for c in keep[1:]],
     ).filter(F.col("d").isNotNull())
     return unpivot_hours(d, "d", combine_mode)
@@ -138,7 +145,7 @@ def clean_curve_rows(df: DataFrame) -> DataFrame:
     '3B' dropped, 'A' stripped, 1..24 -> 0..23, day-first dates."""
     hour = hour_of_label(F.col("Hour"))
     return df.select(
-        F.try_to_timestamp("Date", F.lit("d/M/yyyy")).cast("date").alias("curve_date"),
+        iso_day_first(F.col("Date")).try_cast("date").alias("curve_date"),
         hour.alias("curve_hour"),
         F.col("`Sale/Purchase`").alias("side"),
         F.col("Price").try_cast("double").alias("price"),
@@ -157,9 +164,8 @@ def clean_res_rows(
 ) -> DataFrame:
     """Forecast rows -> one per (date, hour): bracketed day-first times, the first of
     a doubled hour, and on spring change days hour 2 copied from hour 3."""
-    ts = F.try_to_timestamp(
-        F.btrim(F.col(f"`{time_col}`"), F.lit("[] ")), F.lit("dd/MM/yyyy HH:mm")
-    ).cast("timestamp_ntz")
+    bare = F.btrim(F.col(f"`{time_col}`"), F.lit("[] "))
+    ts = iso_day_first(bare).try_cast("timestamp_ntz")
     name = f"{kind.lower()}_forecast"
     d = df.select(
         F.to_date(ts).alias("delivery_date"),
