@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curves as K
 from ..operators.interp import interp
+from ..session import cut
 from . import views as V
 from .registry import query
 from .views import VIEW_SQL
@@ -146,7 +147,7 @@ def _c2(spark, sf):
 @query("c3_merit_order_slope", "SELECT * FROM k_slopes", ("k_slopes",), SLOPES)
 def _c3(spark, sf):
     c = V.curves(spark, sf)
-    return K.merit_order_slope(_ts(spark, sf), c.select(*CK, "price"))
+    return K.merit_order_slope(cut(_ts(spark, sf)), c.select(*CK, "price"))
 
 
 def _curve_bins(spark, sf):
@@ -169,7 +170,7 @@ def _curve_bins(spark, sf):
     SLOPES,
 )
 def _c4(spark, sf):
-    return K.slopes_for_bins(_curve_bins(spark, sf), _ts(spark, sf))
+    return K.slopes_for_bins(_curve_bins(spark, sf), cut(_ts(spark, sf)))
 
 
 @query(
@@ -210,4 +211,4 @@ VIEW_SQL.update({
     ("elasticity",),
 )
 def _c5(spark, sf):
-    return K.elasticity_at(_ts(spark, sf))
+    return K.elasticity_at(cut(_ts(spark, sf)))
