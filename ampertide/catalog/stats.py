@@ -254,3 +254,20 @@ def _f21(spark, sf):
 def _w12(spark, sf):
     grid = D.ecf_grid(scaled(spark, sf), ["u"], A[:1], B[:1], 64)
     return D.ecf_shrink_1d(grid, 1000)
+
+
+@query(
+    "a20_mardia_nu_pair",
+    """WITH m AS (SELECT l_returnflag, avg(x0) AS a, avg(x1) AS b, var_samp(x0) AS saa, var_samp(x1) AS sbb,
+       covar_samp(x0, x1) AS sab FROM fx_matrix GROUP BY 1),
+       q AS (SELECT f.l_returnflag, (sbb * (x0 - a) ** 2 - 2 * sab * (x0 - a) * (x1 - b) + saa * (x1 - b) ** 2)
+       / (saa * sbb - sab * sab) AS d2 FROM fx_matrix f JOIN m ON m.l_returnflag = f.l_returnflag),
+       k AS (SELECT l_returnflag, count(*) AS n, avg(d2 * d2) AS beta FROM q GROUP BY 1)
+       SELECT *, CASE WHEN beta / 8 <= 1 + 1e-9 THEN CAST('inf' AS DOUBLE)
+       ELSE (4 * beta / 8 - 2) / (beta / 8 - 1) END AS nu FROM k""",
+    ("fx_matrix",),
+    ("beta", "nu"),
+    digits=5,
+)
+def _a20p(spark, sf):
+    return S.mardia_nu(matrix(spark, sf), ["x0", "x1"], ["l_returnflag"])
