@@ -275,16 +275,16 @@ def _m16(spark, sf):
     """SELECT source, timestamp, m AS m1, CASE WHEN v > 2 THEN m * m + s * v / (v - 2) END AS m2,
        CASE WHEN v > 3 THEN m * m * m + 3 * m * s * v / (v - 2) END AS m3,
        CASE WHEN v > 4 THEN m * m * m * m + 6 * m * m * s * v / (v - 2) + s * s * 3 * v * v / ((v - 2) * (v - 4)) END
-       AS m4 FROM (SELECT source, timestamp, mu_cond / 100 AS m, var_cond / 10000 AS s, which_hour_before + 1.5 AS v
+       AS m4 FROM (SELECT source, timestamp, mu_cond / 73.1 AS m, var_cond / 5343.7 AS s, which_hour_before + 1.5 AS v
        FROM fx_preds) t""",
     ("fx_preds",),
     ("m1", "m2", "m3", "m4"),
-    digits=9,
+    digits=7,
 )
 def _m17(spark, sf):
     p = V.predictions(spark, sf).select(
-        "source", "timestamp", (F.col("mu_cond") / 100).alias("mu_cond"),
-        (F.col("var_cond") / 10000).alias("scale2"), (F.col("which_hour_before") + 1.5).alias("df_cond"),
+        "source", "timestamp", (F.col("mu_cond") / 73.1).alias("mu_cond"),
+        (F.col("var_cond") / 5343.7).alias("scale2"), (F.col("which_hour_before") + 1.5).alias("df_cond"),
     )
     return M.conditional_moments(p).select("source", "timestamp", "m1", "m2", "m3", "m4")
 
