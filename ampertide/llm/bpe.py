@@ -47,7 +47,9 @@ class Encoder:
             and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
             and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in added)
         )
-        self.special = [a["content"] for a in added]
+        # Ids of parts of a text can be joined where a space parts two letters, unless a special
+        # token may span that place.
+        self.reusable = self.fast and not any(" " in a["content"] for a in added)
         if self.fast:
             import tiktoken
 
