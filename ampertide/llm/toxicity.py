@@ -12,9 +12,11 @@ the whole corpus. Models of one category, one per fold and one over all folds, t
 side as groups of one Spark job. Every document is then scored over its whole text.
 
 Categories over the given labels: `low_quality` (quality 0), `toxic`, and `toxic_low_quality`
-(both). A document is rejected if the chain's probability of `toxic` is over one half.
+(both). A document is rejected if the chain's probability of `toxic` is over the threshold
+with the best F1 measure on the out-of-fold predictions (one half if they hold one class only).
 
-Defined results: null and empty texts have no features and get the models' base rates; labels
+Defined results: null and empty texts have no features, get the models' base rates and are never
+rejected; labels
 with nulls do not train; repeated labels of a document count each, contradictory ones too; a
 category without positive or negative labels gets its constant base rate; no labels at all
 reject nothing; repeated rows get a row each; further columns are ignored.
@@ -38,10 +40,11 @@ from .common import packed_row, text_of, unpacked
 
 DIM = 1 << 17
 FOLDS = 3
-PER_CLASS = 2000
+PER_CLASS = 3000
+MIN_DOCS = 3
 PREFIXES = (4, 5)
-L2 = 1e-4
-STEPS = 60
+L2 = 0.05
+STEPS = 120
 CACHE = 300_000
 EDGES = ".,;:!?\"'()[]|*#"
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
@@ -98,9 +101,11 @@ def fit_linear(idx: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, weight
     if not 0 < base < 1:
         return model
     sizes = np.array([len(i) for i in idx])
-    flat = np.concatenate(idx) if len(idx) else np.empty(0, np.int32)
+    flat, row = np.concatenate(idx), np.repeat(np.arange(len(idx)), sizes)
+    # A feature of one or two training documents only helps to memorise them.
+    common = np.bincount(flat, minlength=DIM) >= MIN_DOCS
+    row, flat = row[common[flat]], flat[common[flat]]
     used, flat = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(idx)), sizes)
     scale = 1 / np.sqrt(np.maximum(sizes, 1))
     # Both classes carry equal weight while fitting; the bias is put right below.
     w = weight * np.where(y == 1, 0.5 / base, 0.5 / (1 - base)) / total
@@ -191,6 +196,15 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict, per_class:
     return models, sample.select("key", "y", "weight", "oof")
 
 
+def chain_probabilities(idx: list[np.ndarray], models: list[Linear]) -> np.ndarray:
+    sizes = np.array([len(i) for i in idx])
+    probs = np.zeros((len(idx), 0))
+    for model in models:
+        sums = np.array([model.weights[i].sum(dtype=np.float64) for i in idx])
+        probs = np.column_stack([probs, _sigmoid(model.raw(sums, sizes, _logit(probs)))])
+    return probs
+
+
 def score_chain(rows: DataFrame, models: list[Linear], names: list[str], text_field: str | None = None) -> DataFrame:
     """Adds a probability per category to (row, text); with text_field the text is that field of
     the struct `row`, so that it travels once."""
@@ -200,13 +214,7 @@ def score_chain(rows: DataFrame, models: list[Linear], names: list[str], text_fi
         chain, cache = shared.value, {}
         for batch in batches:
             texts = batch.column(1) if text_field is None else batch.column(0).field(text_field).cast(pa.string())
-            idx = [features(t or "", cache) for t in texts.to_pylist()]
-            sizes = np.array([len(i) for i in idx])
-            probs = np.zeros((len(idx), 0))
-            for model in chain:
-                sums = np.array([model.weights[i].sum(dtype=np.float64) for i in idx])
-                p = _sigmoid(model.raw(sums, sizes, _logit(probs)))
-                probs = np.column_stack([probs, p])
+            probs = chain_probabilities([features(t or "", cache) for t in texts.to_pylist()], chain)
             cols = [pa.array(probs[:, k]) for k in range(len(chain))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["row", *[f"p{k}" for k in range(len(chain))]])
 
@@ -214,21 +222,47 @@ def score_chain(rows: DataFrame, models: list[Linear], names: list[str], text_fi
     return rows.mapInArrow(run, out).withColumnsRenamed({f"p{k}": n for k, n in enumerate(names)})
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The probability above which calling positive gives the best weighted F1; midway between
+    the two predictions it separates."""
+    if not 0 < (weight * y).sum() < weight.sum():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, y, weight = p[order], y[order], weight[order]
+    hit, called = np.cumsum(weight * y), np.cumsum(weight)
+    f1 = np.where(np.append(p[1:] < p[:-1], True), 2 * hit / (called + (weight * y).sum()), 0.0)
+    k = int(f1.argmax())
+    return float((p[k] + p[k + 1]) / 2) if k + 1 < len(p) else -1.0
+
+
+def decision_threshold(sample: DataFrame, category: int) -> float:
+    """From the out-of-fold predictions of the sample, whose size is bounded."""
+    rows = sample.select(F.col("oof")[category].alias("p"), F.col("y")[category].alias("y"), "weight").toPandas()
+    return best_threshold(rows["p"].to_numpy(float), rows["y"].to_numpy(float), rows["weight"].to_numpy(float))
+
+
 def label_categories() -> dict:
     low, toxic = F.col("quality") == 0, F.col("toxic") == 1
     return dict(zip(CATEGORIES, [low, toxic, low & toxic]))
 
 
+def _rejecting(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> tuple[list[Linear], float]:
+    models, sample = train_chain(docs, labels, label_categories(), per_class, id_col, text_col)
+    at = CATEGORIES.index("toxic")
+    # A text must say more than a text without words does.
+    return models, max(decision_threshold(sample, at), chain_probabilities([np.empty(0, np.int32)], models)[0, at])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
-    """One row per document: identifier, a probability per category, rejected."""
-    models, _ = train_chain(docs, labels, label_categories(), per_class, id_col, text_col)
+    """One row per document: identifier, a probability per category, toxic (rejected or not)."""
+    models, threshold = _rejecting(docs, labels, id_col, text_col, per_class)
     rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id")).alias("row"), text_of(text_col).alias("text"))
     scored = score_chain(rows, models, [f"p_{c}" for c in CATEGORIES])
-    return scored.select(F.col("row.id").alias(id_col), *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") > 0.5).alias("toxic"))
+    return scored.select(F.col("row.id").alias(id_col), *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") > threshold).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
     """The table without the documents that the chain rejects."""
-    models, _ = train_chain(docs, labels, label_categories(), per_class, id_col, text_col)
+    models, threshold = _rejecting(docs, labels, id_col, text_col, per_class)
     scored = score_chain(docs.select(packed_row(docs).alias("row")), models, [f"p_{c}" for c in CATEGORIES], text_col)
-    return unpacked(scored.filter("p_toxic <= 0.5"), docs.schema)
+    return unpacked(scored.filter(F.col("p_toxic") <= threshold), docs.schema)
