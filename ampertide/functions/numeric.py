@@ -58,15 +58,17 @@ def row_sum(cols: list[Column]) -> Column:
 # --- link functions -----------------------------------------------------------
 
 
+# least and greatest skip nulls; a bound must not turn a null into itself.
 def _cap(x: Column, hi: float) -> Column:
-    return F.least(x, F.lit(hi))
+    return F.when(x.isNotNull(), F.least(x, F.lit(hi)))
 
 
 def _floor(x: Column, lo: float) -> Column:
-    return F.greatest(x, F.lit(lo))
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(lo)))
 
 
 def link(name: str, mu: Column) -> Column:
+    # The bounds of the links, here and below.
     if name == "identity":
         return mu
     if name == "log":
@@ -200,9 +202,9 @@ _MIN_TAU = 0.07
 
 def _jsu_constants(nu: Column, tau: Column):
     # Bounds far outside any useful shape keep the exponentials finite.
-    tau = F.greatest(tau, F.lit(_MIN_TAU))
-    w = F.greatest(F.exp(F.least(1.0 / (tau * tau), F.lit(200.0))), F.lit(1.0 + 1e-7))
-    shape = F.least(F.greatest(nu / tau, F.lit(-100.0)), F.lit(100.0))
+    tau = _floor(tau, _MIN_TAU)
+    w = _floor(F.exp(_cap(1.0 / (tau * tau), 200.0)), 1.0 + 1e-7)
+    shape = _cap(_floor(nu / tau, -100.0), 100.0)
     c = 1.0 / F.sqrt(0.5 * (w - 1.0) * (w * F.cosh(2.0 * shape) + 1.0))
     return c, w, shape
 
@@ -216,7 +218,7 @@ def jsu_native(mu: Column, sigma: Column, nu: Column, tau: Column) -> dict[str,
         "loc": mu - c * sigma * F.sqrt(w) * F.sinh(shape),
         "scale": c * sigma,
         "skew": -nu,
-        "tail": F.greatest(tau, F.lit(_MIN_TAU)),
+        "tail": _floor(tau, _MIN_TAU),
     }
 
 
@@ -282,8 +284,8 @@ def mixture_moments(pi: Column, mu: Column, sd: Column) -> tuple[Column, Column]
 
 def zero_inflated_log_score(y: Column, pi: Column, density: Column) -> Column:
     """Log probability: point mass at zero, density elsewhere."""
-    return F.when(F.abs(y) <= 1e-8, F.log(_floor(1.0 - pi, 1e-300))).otherwise(
-        F.log(_floor(pi * density, 1e-300))
+    return F.when(F.abs(y) <= 1e-8, F.log(_floor(1.0 - pi, 1e-300))).when(
+        y.isNotNull(), F.log(_floor(pi * density, 1e-300))
     )
 
 

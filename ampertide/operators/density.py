@@ -11,30 +11,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_GRID = 1 << 16
+# Numbers in a task's largest matrix of one chunk, whatever the grid.
+CHUNK_CELLS = 1 << 22
+SLAB_ROWS = 1 << 16
 
 
 def _grid_check(k: int, d: int) -> None:
     if not 1 <= d <= 2:
         raise ValueError("one or two columns")
-    if k**d > MAX_GRID:
-        raise ValueError(f"grid of {k**d} frequencies; at most {MAX_GRID}")
 
 
-def _partial_sums(df: DataFrame, cols: list[str], kernel, schema: str) -> DataFrame:
-    """Each task reduces its batches to one row per frequency by a matrix product;
-    only those rows are shuffled and added."""
+def _partial_sums(df: DataFrame, cols: list[str], k: int, kernel, schema: str) -> DataFrame:
+    """Each task reduces its batches to one row per frequency by matrix products over chunks
+    of rows x k numbers; only those rows are shuffled and added, in slabs. A task holds the
+    grid's sums once."""
     clean = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    rows = max(1, CHUNK_CELLS // max(k, 1))
 
     def run(batches):
         total, n = None, 0
         for pdf in batches:
-            for part in np.array_split(pdf.to_numpy(dtype=float), max(1, len(pdf) // 8192)):
-                s = kernel(part)
+            x = pdf.to_numpy(dtype=float)
+            for lo in range(0, len(x), rows):
+                s = kernel(x[lo : lo + rows])
                 total = s if total is None else total + s
             n += len(pdf)
         if n:
-            yield pd.DataFrame(total).assign(n=float(n))
+            size = len(next(iter(total.values())))
+            for lo in range(0, size, SLAB_ROWS):
+                yield pd.DataFrame({c: v[lo : lo + SLAB_ROWS] for c, v in total.items()}).assign(n=float(n))
 
     return clean.mapInPandas(run, schema)
 
@@ -61,7 +66,7 @@ def cos_coefficients(
             return _Sum({**self, "s": self["s"] + other["s"]})
 
     schema = ", ".join(f"{n} int" for n in names) + ", s double, n double"
-    parts = _partial_sums(df, cols, lambda x: _Sum(kernel(x)), schema)
+    parts = _partial_sums(df, cols, k, lambda x: _Sum(kernel(x)), schema)
     scale = 2.0**d / float(np.prod(span))
     return parts.groupBy(*names).agg((F.sum("s") / F.sum("n") * scale).alias("coef"))
 
@@ -99,7 +104,7 @@ def ecf_grid(
 
     names = list(labels)
     schema = ", ".join(f"{n} int" for n in names) + ", re double, im double, n double"
-    parts = _partial_sums(df, cols, kernel, schema)
+    parts = _partial_sums(df, cols, k, kernel, schema)
     return parts.groupBy(*names).agg(
         (F.sum("re") / F.sum("n")).alias("re"), (F.sum("im") / F.sum("n")).alias("im")
     )
@@ -110,7 +115,7 @@ def density_from_coefficients(
 ) -> DataFrame:
     """Series value at each point; the k=0 terms count half.
 
-    The coefficients (at most MAX_GRID by construction) become one array row that
+    The coefficients (one per frequency) become one array row that
     every point reads; no row is multiplied."""
     d = len(cols)
     names = [f"k{i + 1}" for i in range(d)]

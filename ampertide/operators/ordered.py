@@ -13,6 +13,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the key columns of the left side stay."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    match = None
+    for c in on:
+        same = F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`"))
+        match = same if match is None else match & same
+    return left.join(other, match, how).drop(*[f"_r_{c}" for c in on])
+
+
 def nearest_known(
     df: DataFrame, keys: list[str], order: str, value: str, cell: Column | None = None
 ) -> DataFrame:
@@ -43,7 +53,7 @@ def nearest_known(
     edges = known.groupBy(*keys, "_cell").agg(
         F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last")
     )
-    slots = d.select(*keys, "_cell").distinct().join(edges, [*keys, "_cell"], "left")
+    slots = join_null_safe(d.select(*keys, "_cell").distinct(), edges, [*keys, "_cell"], "left")
     w = W.partitionBy(*keys)
     earlier = (W.unboundedPreceding, -1)
     carry = slots.select(
@@ -52,7 +62,7 @@ def nearest_known(
         F.last("_last", ignorenulls=True).over(w.orderBy("_cell").rowsBetween(*earlier)).alias("_cp"),
         F.last("_first", ignorenulls=True).over(w.orderBy(F.desc("_cell")).rowsBetween(*earlier)).alias("_cn"),
     )
-    return local.join(carry, [*keys, "_cell"]).select(
+    return join_null_safe(local, carry, [*keys, "_cell"]).select(
         *df.columns,
         F.coalesce("_p", "_cp").alias(f"prev_{value}"),
         F.coalesce("_n", "_cn").alias(f"next_{value}"),
@@ -75,7 +85,7 @@ def running_total(
         *[F.sum(f"_s_{v}").over(before).alias(f"_b_{v}") for v in values],
         *[F.sum(f"_s_{v}").over(w).alias(f"tot_{v}") for v in values],
     )
-    return local.join(carry, [*keys, "_cell"]).select(
+    return join_null_safe(local, carry, [*keys, "_cell"]).select(
         *df.columns,
         *[(F.col(f"_c_{v}") + F.coalesce(f"_b_{v}", F.lit(0))).alias(f"cum_{v}") for v in values],
         *[f"tot_{v}" for v in values],

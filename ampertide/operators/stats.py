@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .ordered import running_total
+from .ordered import join_null_safe, running_total
 
 
 def gram(
@@ -89,11 +89,20 @@ def rolling_moments(
     """Mean and sample covariance over the previous `lookback` days per key and day.
 
     Rows collapse to daily sums first; the window then runs over one row per day,
-    so its partitions are bounded by the calendar."""
-    x = [F.col(c).cast("double") for c in cols]
+    so its partitions are bounded by the calendar. Values are centred per key before they
+    are squared and summed: a large common level does not cancel the digits of the spread."""
+    by = list(by)
+    level = [F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(cols)]
+    # One row per key; as a written table its size is known to the join.
+    levels = cut(df.groupBy(*by).agg(*level))
+    if by:
+        df = join_null_safe(df, levels, by)
+    else:
+        df = df.withColumns({c: levels.select(c).scalar() for c in levels.columns})
+    x = [F.col(c).cast("double") - F.col(f"_m{i}") for i, c in enumerate(cols)]
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
     daily = df.groupBy(*by, day).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_n"), *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(len(cols))],
         *[F.sum(x[i]).alias(f"_s{i}") for i in range(len(cols))],
         *[F.sum(x[i] * x[j]).alias(f"_p{i}_{j}") for i, j in pairs],
     )
@@ -104,7 +113,7 @@ def rolling_moments(
         *by,
         day,
         F.coalesce(n, F.lit(0)).alias("n"),
-        *[(s[i] / n).alias(f"mean_{i}") for i in range(len(cols))],
+        *[(F.col(f"_m{i}") + s[i] / n).alias(f"mean_{i}") for i in range(len(cols))],
         *[
             ((F.sum(f"_p{i}_{j}").over(w) - s[i] * s[j] / n) / F.when(n > 1, n - 1)).alias(
                 f"cov_{i}_{j}"
@@ -159,7 +168,12 @@ def pairwise_correlation(
 
     Rows become one vector per key; each task turns its vectors into partial cross
     products by one matrix product per batch, and Spark adds those up. No pair of
-    rows is ever emitted."""
+    rows is ever emitted. Values are centred by the mean of their level first (one number per
+    level): correlations do not change, and large levels do not cancel the digits."""
+    means = df.groupBy(axis).agg(F.avg(F.col(value).cast("double")).alias("_m")).filter(F.col(axis).isin(levels))
+    table = means.agg(F.map_from_entries(F.collect_list(F.struct(F.col(axis).cast("string"), "_m"))).alias("t"))
+    df = df.withColumn("_t", table.scalar())
+    df = df.withColumn(value, F.col(value).cast("double") - F.get(F.array(F.element_at("_t", F.col(axis).cast("string"))), F.lit(0))).drop("_t")
     wide = df.groupBy(*keys).pivot(axis, levels).agg(F.avg(value))
     names = [f"v{i}" for i in range(len(levels))]
     vec = wide.select(*[F.col(f"`{lv}`").cast("double").alias(n) for lv, n in zip(levels, names)])
@@ -250,8 +264,8 @@ def mardia_nu(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     Pass one: moments per key, inverted as p x p matrices. Pass two: the quadratic
     form of every row in plain expressions, averaged map-side."""
     p = len(cols)
-    by = list(by) or ["_all"]
-    d = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
+    by = list(by)
+    d = df
     mom = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(c) for c in cols]).alias("mu"),
@@ -269,7 +283,11 @@ def mardia_nu(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mom.schema if f.name != "s")
     # One row per key: as a written table its size is known to the join below.
     inv = cut(mom.mapInPandas(invert, fields + ", sinv array<double>"))
-    rows = d.select(*by, *cols).join(inv.drop("n"), by)
+    rows = d.select(*by, *cols)
+    if by:
+        rows = join_null_safe(rows, inv.drop("n"), by)
+    else:
+        rows = rows.withColumns({c: inv.select(c).scalar() for c in ("mu", "sinv")})
     dev = [F.col(c) - F.col("mu")[i] for i, c in enumerate(cols)]
     quad = sum(
         (dev[i] * dev[j] * F.col("sinv")[i * p + j] for i in range(p) for j in range(p)),
@@ -282,7 +300,7 @@ def mardia_nu(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     out = beta.withColumn(
         "nu", F.when(k <= 1 + 1e-9, F.lit(float("inf"))).otherwise((4 * k - 2) / (k - 1))
     )
-    return out.drop("_all")
+    return out
 
 
 def select_best(df: DataFrame, by: list[str], score: str, payload: list[str]) -> DataFrame:

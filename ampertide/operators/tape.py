@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import minutes_between, trunc_hour
+from ..functions.clock import minutes_between, to_instant, to_local, trunc_hour
 from ..functions.numeric import vwap
 
 PRODUCT_MINUTES = {"hourly": 60, "half_hourly": 30, "quarterly": 15}
@@ -48,15 +48,22 @@ def with_product_type(
     return out if keep_other else out.filter(F.col("product_type") != "other")
 
 
-def of_year(df: DataFrame, year: int, col: str = "delivery_start") -> DataFrame:
+def of_year(df: DataFrame, year: int, col: str = "delivery_start", zone: str | None = None) -> DataFrame:
+    """Rows of one year; with a zone the column holds instants and the year is the local one."""
     # A range on the column, not year(col): it reaches the Parquet scan.
-    lo = F.expr(f"TIMESTAMP_NTZ'{year:04d}-01-01 00:00:00'")
-    hi = F.expr(f"TIMESTAMP_NTZ'{year + 1:04d}-01-01 00:00:00'")
+    lo, hi = (F.expr(f"TIMESTAMP_NTZ'{y:04d}-01-01 00:00:00'") for y in (year, year + 1))
+    if zone:
+        lo, hi = to_instant(lo, zone), to_instant(hi, zone)
     return df.filter((F.col(col) >= lo) & (F.col(col) < hi))
 
 
-def drop_hours(df: DataFrame, hours: list[int], col: str = "delivery_start") -> DataFrame:
-    return df.filter(~F.hour(F.col(col)).isin(hours))
+def _hour_of(col: str, zone: str | None) -> Column:
+    return F.hour(to_local(F.col(col), zone) if zone else F.col(col))
+
+
+def drop_hours(df: DataFrame, hours: list[int], col: str = "delivery_start", zone: str | None = None) -> DataFrame:
+    """Without the given hours of the day; local ones of instants when a zone is given."""
+    return df.filter(~_hour_of(col, zone).isin(hours))
 
 
 def dedupe(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -95,10 +102,11 @@ def side_volume(trades: DataFrame) -> DataFrame:
     return trades.groupBy("side").agg(F.sum("qty_mw").alias("volume"))
 
 
-def volume_by_hour(trades: DataFrame, duration: str = "duration") -> DataFrame:
-    """Traded volume per delivery hour, one column per product type."""
+def volume_by_hour(trades: DataFrame, duration: str = "duration", zone: str | None = None) -> DataFrame:
+    """Traded volume per delivery hour (local if the starts are instants and a zone is given),
+    one column per product type."""
     typed = with_product_type(trades, duration)
-    hour = F.hour("delivery_start").alias("delivery_hour")
+    hour = _hour_of("delivery_start", zone).alias("delivery_hour")
     return (
         typed.groupBy(hour)
         .pivot("product_type", list(PRODUCT_MINUTES))

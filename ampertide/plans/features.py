@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import is_spring_change
+from ..functions.clock import is_spring_change, to_local
 from ..operators import bins as B
 from ..operators import curves as K
 from ..operators import features as X
@@ -28,14 +28,19 @@ class FeatureConfig:
     sentinel: float | None = None
 
 
+def product_trades(trades: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """Trades of the product, year and hours; the year is a range that reaches the scan."""
+    if cfg.year is not None:
+        trades = T.of_year(trades, cfg.year, zone=cfg.zone)
+    d = T.of_product(T.with_duration(T.clean_tape(trades)), cfg.product)
+    return T.drop_hours(d, list(cfg.dropped_hours), zone=cfg.zone) if cfg.dropped_hours else d
+
+
 def clean_trades(trades: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Continuous trades of one product, one row per trade id, needed columns only.
 
     Pruned before the dedupe shuffle, the only one that moves single trades."""
-    d = T.of_product(T.with_duration(T.clean_tape(trades)), cfg.product)
-    if cfg.dropped_hours:
-        d = T.drop_hours(d, list(cfg.dropped_hours))
-    d = d.select("trade_id", "exec_ts", "delivery_start", "price", "qty_mw")
+    d = product_trades(trades, cfg).select("trade_id", "exec_ts", "delivery_start", "price", "qty_mw")
     return T.dedupe(d, ["trade_id"], [F.col("exec_ts"), F.col("price"), F.col("qty_mw")])
 
 
@@ -44,12 +49,13 @@ def price_grid(spark, trades: DataFrame, da: DataFrame, cfg: FeatureConfig) -> D
     if cfg.year is not None:
         hours = B.year_calendar(spark, cfg.year)
     else:
+        # Bounds need no dedupe, and so no shuffle of trades.
+        start = to_local(F.col("delivery_start"), cfg.zone) if cfg.zone else F.col("delivery_start")
         hours = B.calendar(
-            clean.agg(
-                F.to_date(F.min("delivery_start")).alias("first_day"),
-                F.to_date(F.max("delivery_start")).alias("last_day"),
-            )
+            product_trades(trades, cfg).agg(F.to_date(F.min(start)).alias("first_day"), F.to_date(F.max(start)).alias("last_day"))
         )
+    if cfg.dropped_hours:
+        hours = hours.filter(~F.col("delivery_hour").isin(list(cfg.dropped_hours)))
     return B.bin_series(clean, da, hours, cfg.minutes, cfg.start_hours, cfg.zone, cfg.sentinel)
 
 

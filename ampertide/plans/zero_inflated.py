@@ -69,5 +69,5 @@ def run_zero_inflated(
         rows, "vwap_changes", xs, cfg.dist, cfg.window, cfg.block_days, cfg.min_rows, cfg.penalty
     )
     log = G.fit_trade_logit(rows, logit_xs, cfg.window, cfg.block_days, min_rows=cfg.min_rows)
-    out = cut(G.one_step_forecast(rows, gam, log, xs, logit_xs, NEIGHBORS, cfg.nodes))
+    out = cut(G.one_step_forecast(rows, gam, log, xs, logit_xs, NEIGHBORS, cfg.nodes, cfg.dist))
     return out, R.summary_table(R.normalize_predictions(out, "zero-inflated"))

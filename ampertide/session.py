@@ -41,13 +41,16 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names in spark.checkpoint.dir; only when it is
-    unset (tests, laptops) fall back to a fresh local one."""
+    """Use the folder the cluster names in spark.checkpoint.dir. Only a local master may go
+    without: there one machine's folder is shared by all tasks. Elsewhere executors would
+    write to their own disks, so an unset folder is an error."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="ampertide-ckpt-")

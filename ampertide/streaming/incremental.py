@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..models.linear import path_from_gram
-from ..operators.ordered import running_total
+from ..operators.ordered import join_null_safe, running_total
 
 
 def _part(path: str, batch_id: int) -> str:
@@ -47,12 +47,18 @@ def scaler_part(
             ]
         return df.groupBy(*by).agg(*aggs)
     d = _decay(df, by, list(order), cell, forget)
+    # Sums are about the batch's first value per key, one small row each: a large level
+    # does not cancel the digits of the spread.
+    heads = d.filter("_head").select(*by, *[F.col(c).cast("double").alias(f"first_{c}") for c in cols])
+    d = join_null_safe(d, heads, by) if by else d.withColumns({f"first_{c}": heads.select(f"first_{c}").scalar() for c in cols})
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
+        dev = F.col(c) - F.col(f"first_{c}")
         aggs += [
-            F.sum(F.col("_w") * forget * F.col(c)).alias(f"s1_{c}"),
-            F.sum(F.col("_w") * forget * F.col(c) * F.col(c)).alias(f"s2_{c}"),
-            F.max(F.when(F.col("_head"), F.col(c))).alias(f"first_{c}"),
+            F.sum(F.when(dev.isNotNull(), F.col("_w") * forget)).alias(f"s0_{c}"),
+            F.sum(F.col("_w") * forget * dev).alias(f"s1_{c}"),
+            F.sum(F.col("_w") * forget * dev * dev).alias(f"s2_{c}"),
+            F.max(f"first_{c}").alias(f"first_{c}"),
         ]
     return d.groupBy(*by).agg(*aggs)
 
@@ -72,39 +78,35 @@ def _rows_after(parts: DataFrame, by: list[str]) -> DataFrame:
 def merge_scaler(parts: DataFrame, cols: list[str], by: list[str], forget: float = 0.0) -> DataFrame:
     """n, mean_<c> and var_<c> (population, or exponentially weighted) per key."""
     by = list(by)
+    key = W.partitionBy(*by)  # one row per key and part
     if forget == 0:
+        d = parts.withColumns(
+            {f"_all_{c}": F.sum(F.col(f"n_{c}") * F.col(f"mean_{c}")).over(key) / F.sum(f"n_{c}").over(key) for c in cols}
+        )
         aggs = [F.sum("n").alias("n")]
         for c in cols:
-            n, m = F.col(f"n_{c}"), F.col(f"mean_{c}")
-            aggs += [
-                F.sum(n).alias(f"_n_{c}"), (F.sum(n * m) / F.sum(n)).alias(f"mean_{c}"),
-                F.sum(n * m * m).alias(f"_q_{c}"), F.sum(f"m2_{c}").alias(f"_m2_{c}"),
-            ]
-        d = parts.groupBy(*by).agg(*aggs)
-        return d.select(
-            *by, "n",
-            *[x for c in cols for x in (
-                F.col(f"mean_{c}"),
-                ((F.col(f"_m2_{c}") + F.col(f"_q_{c}") - F.col(f"_n_{c}") * F.col(f"mean_{c}") ** 2)
-                 / F.col(f"_n_{c}")).alias(f"var_{c}"),
-            )],
-        )
+            n, off = F.col(f"n_{c}"), F.col(f"mean_{c}") - F.col(f"_all_{c}")
+            within = F.sum(F.coalesce(f"m2_{c}", F.lit(0.0)) + F.coalesce(n * off * off, F.lit(0.0)))
+            aggs += [F.max(f"_all_{c}").alias(f"mean_{c}"), F.try_divide(within, F.sum(n)).alias(f"var_{c}")]
+        return d.groupBy(*by).agg(*aggs)
     d = _rows_after(parts, by)
+    # All sums move to the first value of the opening part.
+    d = d.withColumns({f"_base_{c}": F.max(F.when(F.col("_opening"), F.col(f"first_{c}"))).over(key) for c in cols})
     fade = F.pow(F.lit(1.0 - forget), F.col("_after"))
-    opening = F.pow(F.lit(1.0 - forget), F.col("_total"))
     aggs = [F.sum("n").alias("n")]
     for c in cols:
-        first = F.when(F.col("_opening"), F.col(f"first_{c}") * opening).otherwise(0.0)
-        first2 = F.when(F.col("_opening"), F.col(f"first_{c}") ** 2 * opening).otherwise(0.0)
+        off = F.col(f"first_{c}") - F.col(f"_base_{c}")
+        s0, s1, s2 = (F.col(f"s{i}_{c}") for i in range(3))
         aggs += [
-            F.sum(fade * F.col(f"s1_{c}") + first).alias(f"mean_{c}"),
-            F.sum(fade * F.col(f"s2_{c}") + first2).alias(f"_s2_{c}"),
+            F.max(f"_base_{c}").alias(f"_base_{c}"), F.sum(fade * (s1 + s0 * off)).alias(f"_d1_{c}"),
+            F.sum(fade * (s2 + 2.0 * off * s1 + s0 * off * off)).alias(f"_d2_{c}"),
         ]
     out = d.groupBy(*by).agg(*aggs)
     return out.select(
         *by, "n",
         *[x for c in cols for x in (
-            F.col(f"mean_{c}"), (F.col(f"_s2_{c}") - F.col(f"mean_{c}") ** 2).alias(f"var_{c}"),
+            (F.col(f"_base_{c}") + F.col(f"_d1_{c}")).alias(f"mean_{c}"),
+            (F.col(f"_d2_{c}") - F.col(f"_d1_{c}") ** 2).alias(f"var_{c}"),
         )],
     )
 
