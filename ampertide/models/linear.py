@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.ordered import halo_blocks, row_index
+from ..operators.ordered import halo_blocks, join_null_safe, row_index
 from ..operators.stats import gram, scaler_fit, select_best
 from ..session import cut
 
@@ -233,10 +233,12 @@ def logit_path_bic(
     by = list(by)
     key = by or ["_all"]
     d = df.select(*by, F.col(y).cast("double").alias("_y"), *xs).na.drop()
-    if not by:
-        d = d.withColumn("_all", F.lit(0))
-    mom = scaler_fit(d, xs, key)
-    d = d.join(mom.drop("n"), key)
+    # Small and written before it meets the data: its size is known to the join.
+    mom = cut(scaler_fit(d, xs, by).drop("n"))
+    if by:
+        d = join_null_safe(d, mom, by)
+    else:
+        d = d.withColumns({c: mom.select(c).scalar() for c in mom.columns}).withColumn("_all", F.lit(0))
     z = [
         F.when(F.col(f"var_{c}") > 0, (F.col(c) - F.col(f"mean_{c}")) / F.sqrt(f"var_{c}")).otherwise(0.0)
         for c in xs
@@ -291,7 +293,7 @@ def logit_path_bic(
 
     state_ddl = key_ddl + "c int, beta array<double>, best array<double>, obj double, ll double, n double, change double"
     zeros = F.array_repeat(F.lit(0.0), p)
-    state = data.select(*key).distinct().select(
+    state = cut(data.select(*key).distinct()).select(
         *key, F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("c"),
         zeros.alias("beta"), zeros.alias("best"), F.lit(float("inf")).alias("obj"),
     ).withColumn("ll", F.lit(0.0))
@@ -310,5 +312,5 @@ def logit_path_bic(
     n_par = n_free + F.when(F.abs(F.get("best", F.lit(0))) > 1e-8, 0.0).otherwise(1.0)
     return state.select(
         *by, c_col.alias("C"), F.col("best").alias("beta"), F.col("ll").alias("log_lik"), F.col("n").cast("long").alias("n"),
-        (-2.0 * F.col("ll") + n_par * F.log("n")).alias("bic"),
+        (-2.0 * F.col("ll") + n_par * F.log("n")).alias("bic"), (F.col("change") < tol).alias("converged"),
     )

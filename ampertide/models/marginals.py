@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric as N
+from ..operators.ordered import join_null_safe
 from ..operators.stats import delta_histogram
-from ..session import cut, spread
+from ..session import cut
 from . import special
 
 
@@ -28,34 +29,29 @@ def _ties(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return d.groupBy(*by, "x").agg(F.count(F.lit(1)).cast("double").alias("m"))
 
 
+def _start(ties: DataFrame, by: list[str]) -> DataFrame:
+    """n, mean (loc) and sd per key, in two passes: no cancellation."""
+    m, x = F.col("m"), F.col("x")
+    mean = cut(ties.groupBy(*by).agg(F.sum(m).alias("n"), (F.sum(m * x) / F.sum(m)).alias("loc")))
+    dev = x - F.col("loc")
+    spread_ = ties.join(mean, by).groupBy(*by, "n", "loc").agg(F.sum(m * dev * dev).alias("_q"))
+    return spread_.select(*by, "n", "loc", F.sqrt(F.greatest(F.col("_q") / F.col("n"), F.lit(1e-12))).alias("sd"))
+
+
 # Candidate factors on nu in one pass; the span shrinks when the middle wins and
 # grows when an outer one does.
 _STEPS = [-2, -1, 0, 1, 2]
 
 
-LOCAL_ROWS = 100_000
-
-
-def _by_size(ties: DataFrame, by: list[str], local, ddl: str, passes, local_rows: int) -> DataFrame:
-    """Keys of at most local_rows distinct values are solved inside one task each; any
-    larger key goes through passes of aggregates over all tasks. Both are exact."""
-    sized = ties.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"))
-    big = cut(sized.filter(F.col("_k") > local_rows).select(*by))
-    small = ties.join(sized.filter(F.col("_k") <= local_rows).select(*by), by, "left_semi")
-
-    def run(key, pdf):
-        return pd.DataFrame([[*key, *local(pdf["x"].to_numpy(), pdf["m"].to_numpy())]], columns=names)
+# One tolerance and one limit of passes for keys of every size; fits report whether they met it.
+TOLERANCE = 5e-4
+PASSES = 60
+MAX_DF = 1e4
 
-    names = [c.split()[0].strip("`") for c in ddl.split(", ")]
-    out = spread(small, *by).groupBy(*by).applyInPandas(run, ddl)
-    if big.isEmpty():
-        return out
-    return out.unionByName(passes(ties.join(big, by, "left_semi")))
 
-
-def _student_step(n, nu, scale, span, loc, s0, s1, s2, lls):
+def _student_step(n, nu, scale, span, loc, s0, s1, s2, lls, max_df):
     """Next (loc, scale, nu, span, change) from the sums of one pass."""
-    cand = np.clip(nu[:, None] * np.exp(np.outer(span, _STEPS)), 0.1, 1e4)
+    cand = np.clip(nu[:, None] * np.exp(np.outer(span, _STEPS)), 0.1, max_df)
     ll = n[:, None] * special.student_log_norm(cand) - 0.5 * (cand + 1) * lls
     pick = ll.argmax(1)
     shift = s1 / s0
@@ -65,43 +61,19 @@ def _student_step(n, nu, scale, span, loc, s0, s1, s2, lls):
     return loc + shift, fresh, cand[np.arange(len(n)), pick], wider, move
 
 
-def _student_local(x, m, rounds=300, tol=1e-4):
-    one = np.ones(1)
-    n, loc = m.sum() * one, (m @ x) / m.sum() * one
-    scale = np.sqrt(max(m @ (x - loc) ** 2 / n[0], 1e-12)) * one
-    nu, span = 5.0 * one, 0.6 * one
-    for _ in range(rounds):
-        z2 = ((x - loc) / scale) ** 2
-        w = m * (nu + 1) / (nu + z2)
-        dev = x - loc
-        cand = np.clip(nu[0] * np.exp(span[0] * np.array(_STEPS)), 0.1, 1e4)
-        lls = np.array([[(m * np.log1p(z2 / c)).sum() for c in cand]])
-        loc, scale, nu, span, move = _student_step(
-            n, nu, scale, span, loc, w.sum() * one, (w @ dev) * one, (w @ dev**2) * one, lls
-        )
-        if move[0] < tol:
-            break
-    return [float(n[0]), float(loc[0]), float(scale[0]), float(nu[0])]
-
-
-def fit_student(ties: DataFrame, by: list[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
+def fit_student(
+    ties: DataFrame, by: list[str], passes: int = PASSES, tol: float = TOLERANCE, max_df: float = MAX_DF
+) -> DataFrame:
     """Location, scale and degrees of freedom per key by ECM: each pass reweights
-    location and scale and picks nu among candidates on the likelihood."""
-    ddl = _ddl(ties, by) + "n double, loc double, scale double, df double"
-    return _by_size(ties, by, _student_local, ddl, lambda t: _student_passes(t, by), local_rows)
-
+    location and scale and picks nu among candidates on the likelihood, up to max_df.
 
-def _student_passes(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 2e-3) -> DataFrame:
+    Adds converged and rounds; without convergence the last pass is given."""
     m, x = F.col("m"), F.col("x")
-    start = ties.groupBy(*by).agg(
-        F.sum(m).alias("n"), (F.sum(m * x) / F.sum(m)).alias("loc"),
-        (F.sum(m * x * x) / F.sum(m)).alias("_sq"),
-    )
-    state = cut(start.select(
-        *by, "n", "loc", F.sqrt(F.greatest(F.col("_sq") - F.col("loc") ** 2, F.lit(1e-12))).alias("scale"),
-        F.lit(5.0).alias("nu"), F.lit(0.6).alias("span"), F.lit(1.0).alias("change"),
+    state = cut(_start(ties, by).select(
+        *by, "n", "loc", F.col("sd").alias("scale"), F.lit(5.0).alias("nu"), F.lit(0.6).alias("span"), F.lit(1.0).alias("change"),
+        F.lit(0).alias("rounds"),
     ))
-    ddl = _ddl(ties, by) + "n double, loc double, scale double, nu double, span double, change double"
+    ddl = _ddl(ties, by) + "n double, loc double, scale double, nu double, span double, change double, rounds int"
     nu = F.col("nu")
     z2 = ((x - F.col("loc")) / F.col("scale")) ** 2
 
@@ -109,83 +81,50 @@ def _student_passes(ties: DataFrame, by: list[str], rounds: int = 40, tol: float
         for pdf in batches:
             lls = pdf[[f"l{i}" for i in range(len(_STEPS))]].to_numpy()
             args = [pdf[c].to_numpy() for c in ("n", "nu", "scale", "span", "loc", "s0", "s1", "s2")]
-            fresh = _student_step(*args, lls)
-            yield pdf[[*by, "n"]].assign(
-                **dict(zip(("loc", "scale", "nu", "span", "change"), fresh))
-            )[[*by, "n", "loc", "scale", "nu", "span", "change"]]
+            fresh = _student_step(*args, lls, max_df)
+            out = pdf[[*by, "n"]].assign(**dict(zip(("loc", "scale", "nu", "span", "change"), fresh)))
+            # A key that has met the tolerance stays as it is.
+            done = (pdf["change"] < tol).to_numpy()
+            for c in ("loc", "scale", "nu", "span", "change"):
+                out[c] = np.where(done, pdf[c], out[c])
+            yield out.assign(rounds=pdf["rounds"] + ~done)[[*by, "n", "loc", "scale", "nu", "span", "change", "rounds"]]
 
     w = m * (nu + 1.0) / (nu + z2)
     # Centered sums: no cancellation.
     dev = x - F.col("loc")
     sums = [F.sum(w).alias("s0"), F.sum(w * dev).alias("s1"), F.sum(w * dev * dev).alias("s2")]
     for i, s in enumerate(_STEPS):
-        cand = F.least(F.greatest(nu * F.exp(F.col("span") * s), F.lit(0.1)), F.lit(1e4))
+        cand = F.least(F.greatest(nu * F.exp(F.col("span") * s), F.lit(0.1)), F.lit(max_df))
         sums.append(F.sum(m * F.log1p(z2 / cand)).alias(f"l{i}"))
-    params = ["n", "loc", "scale", "nu", "span"]
-    for _ in range(rounds):
+    params = ["n", "loc", "scale", "nu", "span", "change", "rounds"]
+    for _ in range(passes):
         stats = ties.join(state, by).groupBy(*by, *params).agg(*sums)
         state = cut(stats.mapInPandas(choose, ddl))
-        if state.agg(F.max("change")).head()[0] < tol:
+        if (state.agg(F.max("change")).head()[0] or 0.0) < tol:
             break
-    return state.select(*by, "n", "loc", "scale", F.col("nu").alias("df"))
+    return state.select(
+        *by, "n", "loc", "scale", F.col("nu").alias("df"), (F.col("change") < tol).alias("converged"), "rounds"
+    )
 
 
 def _jsu_direction(g, hess):
     return np.clip(np.linalg.solve(hess + 1e-8 * np.trace(hess) * np.eye(4), g), -1.0, 1.0)
 
 
-def _jsu_local(x, m, rounds=200, tol=1e-8):
-    n, mean = m.sum(), (m @ x) / m.sum()
-    th = np.array([mean, 0.5 * np.log(max(m @ (x - mean) ** 2 / n, 1e-12)), 0.0, 0.0])
-
-    def sums(th):
-        scale, tail = np.exp(th[1]), np.exp(th[3])
-        z = (x - th[0]) / scale
-        root, a = np.sqrt(z * z + 1), np.arcsinh(z)
-        r = th[2] + tail * a
-        h = z / root**2 + r * tail / root
-        s = np.stack([h / scale, h * z - 1, -r, 1 - r * tail * a])
-        ll = m @ (th[3] - th[1] - np.log(root) - 0.5 * r * r - 0.5 * np.log(2 * np.pi))
-        return ll, s @ m, (s * m) @ s.T
-
-    ll, g, hess = sums(th)
-    for _ in range(rounds):
-        d = _jsu_direction(g, hess)
-        size = 1.0
-        while size > 1e-4:
-            new = sums(th + size * d)
-            if np.isfinite(new[0]) and new[0] >= ll:
-                break
-            size /= 4
-        else:
-            break
-        th = th + size * d
-        gain, (ll, g, hess) = new[0] - ll, new
-        if gain / n < tol:
-            break
-    return [float(n), float(th[0]), float(np.exp(th[1])), float(th[2]), float(np.exp(th[3])), float(ll)]
-
-
-def fit_jsu(ties: DataFrame, by: list[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
+def fit_jsu(ties: DataFrame, by: list[str], passes: int = PASSES, tol: float = TOLERANCE) -> DataFrame:
     """Location, scale, skew and tail per key by maximum likelihood: scoring steps on
-    summed scores and their cross products, shortened when the likelihood falls."""
-    ddl = _ddl(ties, by) + "n double, loc double, scale double, skew double, tail double, log_lik double"
-    return _by_size(ties, by, _jsu_local, ddl, lambda t: _jsu_passes(t, by), local_rows)
+    summed scores and their cross products, shortened when the likelihood falls.
 
-
-def _jsu_passes(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1e-5) -> DataFrame:
+    Converged: the gain that the next step promises, per row, is below tol squared."""
     m, x = F.col("m"), F.col("x")
-    start = ties.groupBy(*by).agg(
-        F.sum(m).alias("n"), (F.sum(m * x) / F.sum(m)).alias("loc"), (F.sum(m * x * x) / F.sum(m)).alias("_sq")
-    )
-    sd = F.sqrt(F.greatest(F.col("_sq") - F.col("loc") ** 2, F.lit(1e-12)))
-    state = cut(start.select(
-        *by, "n", F.array(F.col("loc"), F.log(sd), F.lit(0.0), F.lit(0.0)).alias("th"),
+    state = cut(_start(ties, by).select(
+        *by, "n", F.array(F.col("loc"), F.log("sd"), F.lit(0.0), F.lit(0.0)).alias("th"),
         F.array(*[F.lit(0.0)] * 4).alias("best"), F.lit(float("-inf")).alias("ll"),
         F.array(*[F.lit(0.0)] * 4).alias("dir"), F.lit(1.0).alias("size"), F.lit(1.0).alias("change"),
+        F.lit(0).alias("rounds"),
     ))
     ddl = _ddl(ties, by) + (
-        "n double, th array<double>, best array<double>, ll double, dir array<double>, size double, change double"
+        "n double, th array<double>, best array<double>, ll double, dir array<double>, size double, change double, rounds int"
     )
     loc, scale, skew, tail = (
         F.col("th")[0], F.exp(F.col("th")[1]), F.col("th")[2], F.exp(F.col("th")[3])
@@ -205,10 +144,13 @@ def _jsu_passes(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1
             for q in pdf.to_dict("records"):
                 th, best, direction = (np.asarray(q[c], float) for c in ("th", "best", "dir"))
                 ll = q["new_ll"]
+                if q["change"] < tol**2:
+                    out.append([q[c] for c in (*by, "n", "th", "best", "ll", "dir", "size", "change", "rounds")])
+                    continue
                 if not np.isfinite(ll) or ll < q["ll"]:
                     size = q["size"] / 4
                     out.append([*[q[b] for b in by], q["n"], (best + size * direction).tolist(), best.tolist(),
-                                q["ll"], direction.tolist(), size, 0.0 if size < 1e-3 else 1.0])
+                                q["ll"], direction.tolist(), size, 0.0 if size < 1e-3 else 1.0, q["rounds"] + 1])
                     continue
                 g = np.array([q[f"g{i}"] for i in range(4)])
                 hess = np.zeros((4, 4))
@@ -217,20 +159,20 @@ def _jsu_passes(ties: DataFrame, by: list[str], rounds: int = 40, tol: float = 1
                 direction = _jsu_direction(g, hess)
                 # The expected gain of the full step decides convergence.
                 out.append([*[q[b] for b in by], q["n"], (th + direction).tolist(), th.tolist(), ll,
-                            direction.tolist(), 1.0, float(g @ direction) / q["n"]])
-            yield pd.DataFrame(out, columns=[*by, "n", "th", "best", "ll", "dir", "size", "change"])
+                            direction.tolist(), 1.0, float(g @ direction) / q["n"], q["rounds"] + 1])
+            yield pd.DataFrame(out, columns=[*by, "n", "th", "best", "ll", "dir", "size", "change", "rounds"])
 
-    for _ in range(rounds):
+    for _ in range(passes):
         sums = [F.sum(m * dens).alias("new_ll")] + [F.sum(m * s).alias(f"g{i}") for i, s in enumerate(score)]
         sums += [F.sum(m * score[i] * score[j]).alias(f"h{i}{j}") for i, j in pairs]
         stats = ties.join(state, by).groupBy(*by).agg(*sums)
-        state = cut(stats.join(state.drop("change"), by).mapInPandas(step, ddl))
-        if state.agg(F.max("change")).head()[0] < tol:
+        state = cut(stats.join(state, by).mapInPandas(step, ddl))
+        if (state.agg(F.max("change")).head()[0] or 0.0) < tol**2:
             break
     b = F.col("best")
     return state.select(
         *by, "n", b[0].alias("loc"), F.exp(b[1]).alias("scale"), b[2].alias("skew"),
-        F.exp(b[3]).alias("tail"), F.col("ll").alias("log_lik"),
+        F.exp(b[3]).alias("tail"), F.col("ll").alias("log_lik"), (F.col("change") < tol**2).alias("converged"), "rounds",
     )
 
 
@@ -254,15 +196,12 @@ def fit_marginals(
     cell_width: float = 1.0,
 ) -> DataFrame:
     """Normal, t and Johnson-SU fits of traded price changes per key, each with its KS
-    distance and p-value: (by, distribution, n, params, ks, p_value)."""
+    distance and p-value: (by, distribution, n, params, ks, p_value, converged, rounds)."""
     by = list(by)
     d = df.filter(F.col(flag) != 0) if flag else df
     ties = cut(_ties(d, value, by))
     x, m = F.col("x"), F.col("m")
-    mean = F.sum(m * x) / F.sum(m)
-    norm = ties.groupBy(*by).agg(
-        mean.alias("loc"), F.sqrt(F.sum(m * x * x) / F.sum(m) - mean * mean).alias("scale")
-    )
+    norm = cut(_start(ties, by).select(*by, "loc", F.col("sd").alias("scale"), F.lit(True).alias("converged"), F.lit(0).alias("rounds")))
     # Each fit feeds the distances and the output.
     t = cut(fit_student(ties, by))
     j = cut(fit_jsu(ties, by))
@@ -277,11 +216,12 @@ def fit_marginals(
             ["skew", "tail", "loc", "scale"],
         ),
     ):
-        placed = ties.join(par.drop("n"), by).select(*by, "x", m.cast("long").alias("m"), cdf.alias("f"))
+        placed = ties.join(par.drop("n", "converged", "rounds"), by).select(*by, "x", m.cast("long").alias("m"), cdf.alias("f"))
         ks = ks_distance_ties(placed, by, cell)
         row = ks.join(par.drop("n"), by).select(
             *by, F.lit(label).alias("distribution"), "n",
             F.array(*cols).alias("params"), "ks", ks_p_value(F.col("ks"), F.col("n")).alias("p_value"),
+            "converged", "rounds",
         )
         out = row if out is None else out.unionByName(row)
     return out
@@ -326,10 +266,13 @@ def nu_profile(
 ) -> DataFrame:
     """t log-likelihood over a grid of nu, for the fitted and the empirical location and
     scale, with the maximum of each marked. One pass; the grid is a row of sums."""
-    by = list(by) or ["_all"]
-    d = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
-    emp = d.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    rows = d.select(*by, F.col(value).cast("double").alias("x")).na.drop().join(emp, by)
+    by = list(by)
+    emp = cut(df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")))
+    rows = df.select(*by, F.col(value).cast("double").alias("x")).na.drop(subset=["x"])
+    if by:
+        rows = join_null_safe(rows, emp, by)
+    else:
+        rows = rows.withColumns({c: emp.select(c).scalar() for c in ("_m", "_s")})
     # Fixed by the grid, computed at plan time.
     consts = [float(c) for c in special.student_log_norm(np.array(nus, float))]
     both = {"fitted": (F.lit(loc), F.lit(scale)), "empirical": (F.col("_m"), F.col("_s"))}
@@ -347,4 +290,4 @@ def nu_profile(
             *by, F.lit(label).alias("kind"), "g.*", (F.col("g.log_lik") == F.col("_top")).alias("is_max")
         )
         out = part if out is None else out.unionByName(part)
-    return out.drop("_all")
+    return out

@@ -237,18 +237,23 @@ def predict_mvt(rows: DataFrame, params: DataFrame, names: list[str], compat: bo
             c = F.col("inverse")[i * q + j] * (1.0 if i == j else 2.0)
             quad = quad + c * F.col("_u")[i] * F.col("_u")[j]
     nu = F.col("nu")
-    factor = (nu + F.col("_quad")) / (nu + q - 2.0)
+    # The variance exists for nu + q > 2 only; the squared scale always does.
+    factor = F.when(nu + q > 2, (nu + F.col("_quad")) / (nu + q - 2.0))
     if compat:
         factor = factor * F.when(nu + q > 2, (nu + q) / (nu + q - 2.0))
     finite = nu < float("inf")
     var = F.when(finite, factor * F.col("schur")).otherwise(F.col("schur"))
+    if compat:
+        scale2 = F.when(finite, var * (F.col("df_cond") - 2.0) / F.col("df_cond")).otherwise(var)
+    else:
+        scale2 = F.when(finite, (nu + F.col("_quad")) / (nu + q) * F.col("schur")).otherwise(F.col("schur"))
     d = d.withColumn("_quad", quad).withColumn("_lin", lin)
     return d.select(
         F.col("ts").alias("timestamp"), "date", "hour", "which_hour_before", "method",
         F.col(names[0]).alias("y_true"),
         (F.col("mean_y") + F.col("scale_y") * F.col("_lin")).alias("mu_cond"),
         (var * F.col("scale_y") * F.col("scale_y")).alias("var_cond"),
-        "df_cond", "log_norm",
+        (scale2 * F.col("scale_y") * F.col("scale_y")).alias("scale2"), "df_cond", "log_norm",
         F.array(*[F.lit(n) for n in names[1:]]).alias("used_features"),
     )
 
@@ -268,20 +273,22 @@ def score_density(preds: DataFrame) -> DataFrame:
     The t CRPS is the exact expectation; it does not depend on draws or row order."""
     y, mu, var, nu = (F.col(c) for c in ("y_true", "mu_cond", "var_cond", "df_cond"))
     is_t = nu < float("inf")
-    var0 = F.greatest(var, F.lit(0.0))
-    scale = F.sqrt(F.when(is_t, var0 * (nu - 2.0) / nu).otherwise(var0))
+    scale2 = F.col("scale2") if "scale2" in preds.columns else F.when(is_t, F.when(nu > 2, var * (nu - 2.0) / nu)).otherwise(var)
+    # Rounding may leave a tiny negative; null stays null.
+    scale2 = F.when(scale2 < 0, F.lit(0.0)).otherwise(scale2)
+    scale = F.sqrt(scale2)
     z = F.try_divide(y - mu, F.col("_scale"))
     t_log = -(F.col("log_norm") - F.log("_scale") - 0.5 * (nu + 1.0) * F.log1p(z * z / nu))
     errs = N.forecast_errors(y, mu)
     d = preds.withColumn("_scale", scale)
     return d.select(
-        *[c for c in preds.columns if c not in ("log_norm", "used_features")],
+        *[c for c in preds.columns if c not in ("log_norm", "scale2", "used_features")],
         *[c.alias(k) for k, c in errs.items()],
         F.abs(y - mu).alias("rmse_point"),
-        F.when(is_t, t_log).otherwise(N.gaussian_log_score(y, mu, var0)).alias("log_score"),
+        F.when(is_t, t_log).otherwise(N.gaussian_log_score(y, mu, scale2)).alias("log_score"),
         F.when(is_t & (F.col("_scale") == 0), F.abs(y - mu))
         .when(is_t, F.col("_scale") * F.nanvl(_student_crps(z, nu), F.lit(None).cast("double")))
-        .otherwise(N.gaussian_crps(y, mu, var0)).alias("crps"),
+        .otherwise(N.gaussian_crps(y, mu, scale2)).alias("crps"),
         "used_features",
     )
 
@@ -362,14 +369,31 @@ def study_rows(df: DataFrame, cfg: StudyConfig) -> dict[int, tuple[list[str], Da
     return out
 
 
+def effective_start(df: DataFrame, cfg: StudyConfig) -> dt.date:
+    """First target day: the asked one, but not before a whole lookback of data lies behind it.
+
+    Too little data is an error, not an empty study."""
+    lo, hi = df.agg(F.min("delivery_date"), F.max("delivery_date")).head()
+    if lo is None:
+        raise ValueError("the study has no rows")
+    first = lo + dt.timedelta(cfg.lookback_days)
+    if cfg.first_day:
+        first = max(first, dt.date.fromisoformat(cfg.first_day))
+    last = min(hi, dt.date.fromisoformat(cfg.last_day)) if cfg.last_day else hi
+    if first > last:
+        raise ValueError(f"no target day: data from {lo} to {hi}, {cfg.lookback_days} days of lookback")
+    return first
+
+
 def run_study(df: DataFrame, cfg: StudyConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parameters, scored predictions, summary) of a rolling study over the panel
     df(delivery_date, delivery_hour, ts, value)."""
     params, preds = None, None
+    first = effective_start(df, cfg)
     for names, rows in study_rows(df, cfg).values():
         fit = fit_mvt(
             rows, names, cfg.lookback_days, cfg.method, cfg.block_days, cfg.extra_day,
-            cfg.first_day, cfg.last_day,
+            first.isoformat(), cfg.last_day,
         )
         # Fits feed the output and the forecasts: computed once.
         fit = cut(fit)

@@ -99,7 +99,7 @@ def test_covariance_of_a_fit(spark):
     assert np.allclose(np.array(c), np.array([list(r) for r in p.Sigma_scaled]) * f * np.outer(sd, sd))
 
 
-@pytest.mark.parametrize("name", ["normal", "jsu"])
+@pytest.mark.parametrize("name", ["normal", "normal_var", "jsu", "jsu_native"])
 def test_scores_are_derivatives(name):
     dist = G.DISTRIBUTIONS[name]()
     rng = np.random.default_rng(6)
@@ -112,6 +112,8 @@ def test_scores_are_derivatives(name):
         dn[:, k] -= h
         want = (dist.log_pdf(y, up) - dist.log_pdf(y, dn)) / (2 * h)
         assert np.allclose(dist.score(y, th, k), want, atol=1e-5)
+        bend = (dist.score(y, up, k) - dist.score(y, dn, k)) / (2 * h)
+        assert np.allclose(dist.curvature(y, th, k), bend, atol=1e-4, rtol=1e-4)
 
 
 def test_regression_finds_mean_and_spread():
@@ -120,10 +122,12 @@ def test_regression_finds_mean_and_spread():
     x = np.column_stack([np.ones(3000), z])
     y = 1.0 + 2.0 * z[:, 0] + np.exp(0.2 + 0.5 * z[:, 1]) * rng.normal(size=3000)
     for penalty in ("none", "lasso_bic"):
-        betas, _ = G.fit_regression(x, y, G.Normal(), penalty)
+        betas, _, converged, _ = G.fit_regression(x, y, G.Normal(), penalty)
+        assert converged
         assert np.allclose(betas[0], [1, 2, 0], atol=0.12)
         assert np.allclose(betas[1], [0.2, 0, 0.5], atol=0.12)
-    betas, nll = G.fit_regression(x, y, G.JohnsonSU())
+    betas, nll, converged, _ = G.fit_regression(x, y, G.JohnsonSU())
+    assert converged
     assert np.allclose(betas[0], [1, 2, 0], atol=0.2)
     th = np.column_stack([lk.inverse(x @ b) for lk, b in zip(G.JohnsonSU.links, betas)])
     assert nll == pytest.approx(-G.JohnsonSU().log_pdf(y, th).sum())
@@ -195,18 +199,41 @@ def test_rolling_ols_equals_least_squares(spark, degree):
         assert abs(got[i] - (design(pdf.iloc[i : i + 1]) @ beta)[0]) < 1e-5
 
 
-def test_marginals_by_passes_equal_local_ones(spark):
+def test_marginal_fits_are_optimal(spark):
     rng = np.random.default_rng(11)
     x = np.round(3 + 2 * rng.standard_t(4, 4000), 2)
-    d = spark.createDataFrame(pd.DataFrame({"k": np.arange(4000) % 2, "x": x}))
-    ties = A._ties(d, "x", ["k"])
-    for fit, cols, tol in ((A.fit_student, ["loc", "scale", "df"], 0.05), (A.fit_jsu, ["scale", "tail"], 0.05)):
-        a = fit(ties, ["k"]).toPandas().sort_values("k")
-        b = fit(ties, ["k"], local_rows=0).toPandas().sort_values("k")
-        assert np.allclose(a[cols], b[cols], rtol=tol)
+    k = np.arange(4000) % 2
+    ties = A._ties(spark.createDataFrame(pd.DataFrame({"k": k, "x": x})), "x", ["k"])
     t = A.fit_student(ties, ["k"]).toPandas()
+    assert t.converged.all() and (t.rounds < A.PASSES).all()
     assert (np.abs(t["loc"] - 3) < 0.2).all() and (np.abs(t["df"] - 4) < 1.2).all()
 
+    def t_ll(part, loc, scale, df):
+        z = (part - loc) / scale
+        norm = special.student_log_norm(np.array([df]))[0] - np.log(scale)
+        return (norm - 0.5 * (df + 1) * np.log1p(z * z / df)).sum()
+
+    for r in t.itertuples():
+        part, best = x[k == r.k], None
+        best = t_ll(part, r.loc, r.scale, r.df)
+        for a, b, c in [(1, 1, 1.03), (1, 1, 0.97), (1, 1.01, 1), (1, 0.99, 1), (1.01, 1, 1), (0.99, 1, 1)]:
+            assert t_ll(part, r.loc * a, r.scale * b, r.df * c) <= best + 1e-3
+    j = A.fit_jsu(ties, ["k"]).toPandas()
+    assert j.converged.all()
+    for r in j.itertuples():
+        grad = G.johnson_score(x[k == r.k], r.loc, np.log(r.scale), r.skew, np.log(r.tail)).sum(axis=0)
+        assert np.abs(grad).max() < 0.5
+
+
+def test_a_fit_does_not_depend_on_how_a_key_is_split(spark):
+    x = np.random.default_rng(14).standard_t(5, 600)
+    d = spark.createDataFrame(pd.DataFrame({"k": 0, "x": x}))
+    one = A.fit_student(A._ties(d.coalesce(1), "x", ["k"]), ["k"]).toPandas()
+    many = A.fit_student(A._ties(d.repartition(13), "x", ["k"]), ["k"]).toPandas()
+    assert np.allclose(one[["loc", "scale", "df"]], many[["loc", "scale", "df"]], rtol=1e-6)
+    few = A.fit_student(A._ties(d, "x", ["k"]), ["k"], passes=2).toPandas()
+    assert not few.converged.any() and (few.rounds == 2).all()
+
 
 def test_fit_marginals_reports_distances(spark):
     rng = np.random.default_rng(12)
