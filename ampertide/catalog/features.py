@@ -275,15 +275,14 @@ def _j3(spark, sf):
     """SELECT coalesce(a.delivery_start, b.delivery_start) AS delivery_start, a.volume AS volume_fc,
        b.volume AS volume_act, a.n, b.high FROM
        (SELECT delivery_start, sum(qty_mw) AS volume, count(*) AS n FROM fx_trades WHERE side = 'BUY'
-        AND duration_min = 15 GROUP BY 1) a FULL OUTER JOIN
+        GROUP BY 1) a FULL OUTER JOIN
        (SELECT delivery_start, sum(qty_mw) AS volume, max(price) AS high FROM fx_trades WHERE side = 'SELL'
-        AND duration_min = 15 GROUP BY 1) b ON a.delivery_start = b.delivery_start""",
+        GROUP BY 1) b ON a.delivery_start = b.delivery_start""",
     ("fx_trades",),
     ("volume_fc", "volume_act", "high"),
 )
 def _j4(spark, sf):
-    t = V.trades(spark, sf).filter(F.col("duration_min") == 15)
-    g = t.groupBy("delivery_start")
+    t = V.trades(spark, sf)
     a = t.filter(F.col("side") == "BUY").groupBy("delivery_start").agg(
         F.sum("qty_mw").alias("volume"), F.count(F.lit(1)).alias("n")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..models import gamlss as G
@@ -30,11 +32,17 @@ def spread_panel(spark, sf):
     ).na.drop()
 
 
-def _one_horizon(spark, sf):
-    names = P.feature_names("daid", CFG.design(1))
-    base = spread_panel(spark, sf).withColumnRenamed("da-id", "_v")
-    rows = P.mvt_features(base, "_v", "daid", CFG.design(1), (1,))
-    return names, rows
+def _horizons(spark, sf):
+    """(feature names, rows) of every horizon."""
+    return list(M.study_rows(spread_panel(spark, sf), CFG).values())
+
+
+def _all(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def _fits(spark, sf, method):
+    return [(names, rows, M.fit_mvt(rows, names, 14, method, 7)) for names, rows in _horizons(spark, sf)]
 
 
 @query(
@@ -87,70 +95,82 @@ def _flat(params):
 
 @query("m5_fit_ecm")
 def _m5(spark, sf):
-    names, rows = _one_horizon(spark, sf)
-    return _flat(M.fit_mvt(rows, names, 14, "ecm", 7))
+    return _flat(_all(fit for _, _, fit in _fits(spark, sf, "ecm")))
 
 
 @query("m6_fit_mardia")
 def _m6(spark, sf):
-    names, rows = _one_horizon(spark, sf)
-    return _flat(M.fit_mvt(rows, names, 14, "mardia", 7))
+    return _flat(_all(fit for _, _, fit in _fits(spark, sf, "mardia")))
 
 
 VIEW_SQL["fx_spread"] = (("fx_bins", "fx_da"), """SELECT b.delivery_date, b.delivery_hour, b.bin_timestamp AS ts,
     a.price - b.vwap AS v FROM fx_bins b JOIN fx_da a ON a.delivery_date = b.delivery_date
     AND a.delivery_hour = b.delivery_hour WHERE vwap IS NOT NULL""")
-_N1 = P.feature_names("daid", CFG.design(1))
-_D1 = [(o, k) for o, ks in CFG.design(1).items() for k in ks if (o, k) != (0, 0)]
-VIEW_SQL["fx_study1"] = (("fx_spread",), "SELECT b.delivery_date, b.delivery_hour, b.ts, b.v AS "
-    + _N1[0] + ", " + ", ".join(f"j{i}.v AS {P.lag_name('daid', o, k)}" for i, (o, k) in enumerate(_D1))
-    + " FROM fx_spread b " + " ".join(
-        f"JOIN fx_spread j{i} ON j{i}.ts = b.ts - to_minutes({15 * k}) AND j{i}.delivery_hour = "
-        f"(b.delivery_hour + {o} + 24) % 24" for i, (o, k) in enumerate(_D1))
-    + """ WHERE b.ts >= CAST(b.delivery_date AS TIMESTAMP) + to_hours(b.delivery_hour) - INTERVAL 1 HOUR""")
+
+
+def _study_view(wh):
+    """Rows of one horizon with their lags, as SQL; the number of features beside."""
+    design = CFG.design(wh)
+    names = P.feature_names("daid", design)
+    lags = [(o, k) for o, ks in design.items() for k in ks if (o, k) != (0, 0)]
+    cols = ", ".join(f"j{i}.v AS {P.lag_name('daid', o, k)}" for i, (o, k) in enumerate(lags))
+    joins = " ".join(
+        f"JOIN fx_spread j{i} ON j{i}.ts = b.ts - to_minutes({15 * k}) AND j{i}.delivery_hour = (b.delivery_hour + {o} + 24) % 24"
+        for i, (o, k) in enumerate(lags)
+    )
+    start = "CAST(b.delivery_date AS TIMESTAMP) + to_hours(b.delivery_hour)"
+    VIEW_SQL[f"fx_study{wh}"] = (("fx_spread",), f"SELECT b.delivery_date, b.delivery_hour, b.ts, b.v AS {names[0]}, {cols} "
+        f"FROM fx_spread b {joins} WHERE b.ts >= {start} - INTERVAL {wh} HOUR AND b.ts < {start} - INTERVAL {wh - 1} HOUR")
+    return names
+
+
+_STUDY = {wh: _study_view(wh) for wh in CFG.horizons}
+_STUDY_VIEWS = tuple(f"fx_study{wh}" for wh in _STUDY)
+
+
+def _per_horizon(sql):
+    """One SELECT per horizon; {v}, {wh}, {p} and {y} stand for view, horizon, features, value."""
+    return " UNION ALL ".join(sql.format(v=f"fx_study{wh}", wh=wh, p=len(n), y=n[0]) for wh, n in _STUDY.items())
+
+
+_TARGETS = """(SELECT DISTINCT delivery_date, delivery_hour FROM {v}) t LEFT JOIN {v} r
+    ON r.delivery_hour = t.delivery_hour AND r.delivery_date < t.delivery_date AND r.delivery_date >= t.delivery_date - 14"""
 
 
 @query(
     "a25_fit_status",
-    f"""SELECT t.delivery_date AS date, t.delivery_hour AS hour, count(r.ts) AS n, CAST({len(_N1)} AS INT) AS p,
-        count(r.ts) >= {len(_N1) + 2} AS calibration_ok, CASE WHEN count(r.ts) < {len(_N1) + 2}
-        THEN 'too few samples' END AS error FROM (SELECT DISTINCT delivery_date, delivery_hour FROM fx_study1) t
-        LEFT JOIN fx_study1 r ON r.delivery_hour = t.delivery_hour AND r.delivery_date < t.delivery_date
-        AND r.delivery_date >= t.delivery_date - 14 GROUP BY 1, 2""",
-    ("fx_study1",),
+    _per_horizon(f"""SELECT t.delivery_date AS date, t.delivery_hour AS hour, CAST({{wh}} AS INT) AS which_hour_before,
+        count(r.ts) AS n, CAST({{p}} AS INT) AS p, count(r.ts) >= {{p}} + 2 AS calibration_ok, CASE WHEN count(r.ts) < {{p}} + 2
+        THEN 'too few samples' END AS error FROM {_TARGETS} GROUP BY 1, 2"""),
+    _STUDY_VIEWS,
 )
 def _a25(spark, sf):
-    names, rows = _one_horizon(spark, sf)
-    fit = M.fit_mvt(rows, names, 14, "mardia", 7)
-    return fit.select("date", "hour", "n", "p", "calibration_ok", "error")
+    fits = _all(fit for _, _, fit in _fits(spark, sf, "mardia"))
+    return fits.select("date", "hour", "which_hour_before", "n", "p", "calibration_ok", "error")
 
 
 @query(
     "j12_score_join",
-    f"""SELECT s.delivery_date AS date, s.delivery_hour AS hour, s.ts, s.{_N1[0]} AS y, k.n FROM fx_study1 s JOIN (
-        SELECT t.delivery_date, t.delivery_hour, count(*) AS n FROM (SELECT DISTINCT delivery_date, delivery_hour
-        FROM fx_study1) t JOIN fx_study1 r ON r.delivery_hour = t.delivery_hour
-        AND r.delivery_date < t.delivery_date AND r.delivery_date >= t.delivery_date - 14 GROUP BY 1, 2
-        HAVING count(*) >= {len(_N1) + 2}) k ON k.delivery_date = s.delivery_date
-        AND k.delivery_hour = s.delivery_hour""",
-    ("fx_study1",),
+    _per_horizon(f"""SELECT s.delivery_date AS date, s.delivery_hour AS hour, CAST({{wh}} AS INT) AS which_hour_before, s.ts,
+        s.{{y}} AS y, k.n FROM {{v}} s JOIN (SELECT t.delivery_date, t.delivery_hour, count(r.ts) AS n FROM {_TARGETS}
+        GROUP BY 1, 2 HAVING count(r.ts) >= {{p}} + 2) k ON k.delivery_date = s.delivery_date AND k.delivery_hour = s.delivery_hour"""),
+    _STUDY_VIEWS,
     ("y",),
 )
 def _j12(spark, sf):
-    names, rows = _one_horizon(spark, sf)
-    fit = M.fit_mvt(rows, names, 14, "mardia", 7)
-    return M.score_join(rows, fit).select("date", "hour", "ts", F.col(names[0]).alias("y"), "n")
+    return _all(
+        M.score_join(rows, fit).select("date", "hour", "which_hour_before", "ts", F.col(names[0]).alias("y"), "n")
+        for names, rows, fit in _fits(spark, sf, "mardia")
+    )
 
 
 def _forecasts(spark, sf, method="mardia"):
-    names, rows = _one_horizon(spark, sf)
-    fit = cut(M.fit_mvt(rows, names, 14, method, 7))
-    return M.predict_mvt(rows, fit, names)
+    return _all(M.predict_mvt(rows, cut(fit), names) for names, rows, fit in _fits(spark, sf, method))
 
 
 @query("m7_predict")
 def _m7(spark, sf):
-    return _forecasts(spark, sf).drop("used_features", "log_norm")
+    return _forecasts(spark, sf).drop("used_features", "log_norm", "scale2")
 
 
 @query("m8_score_density")
@@ -165,8 +185,7 @@ def _m9(spark, sf):
 
 @query("m10_model_covariance")
 def _m10(spark, sf):
-    names, rows = _one_horizon(spark, sf)
-    cov = M.model_covariance(M.fit_mvt(rows, names, 14, "mardia", 7))
+    cov = M.model_covariance(_all(fit for _, _, fit in _fits(spark, sf, "mardia")))
     return cov.select(
         "date", "hour", "which_hour_before", F.posexplode("covariance").alias("i", "row")
     ).select("date", "hour", "which_hour_before", F.col("i"), F.get("row", F.lit(0)).alias("with_target"))
@@ -210,14 +229,14 @@ def model_rows(spark, sf):
 def _m12(spark, sf):
     rows, feats = model_rows(spark, sf)
     fit = G.fit_gamlss(rows, "vwap_changes", feats, "jsu", 20, 10, 12)
-    return fit.select("delivery_date", "delivery_hour", "n", "fit_ok", "error")
+    return fit.select("delivery_date", "delivery_hour", "n", "fit_ok", "error", "beta", "nll", "converged", "rounds")
 
 
 @query("m12_fit_normal_lasso")
 def _m12n(spark, sf):
     rows, feats = model_rows(spark, sf)
     fit = G.fit_gamlss(rows, "vwap_changes", feats, "normal", 20, 10, 12, "lasso_bic")
-    return fit.select("delivery_date", "delivery_hour", "n", "fit_ok", "error")
+    return fit.select("delivery_date", "delivery_hour", "n", "fit_ok", "error", "beta", "nll", "converged", "rounds")
 
 
 @query("m13_fit_trade_logit")
@@ -291,21 +310,21 @@ def _m17(spark, sf):
 
 @query(
     "s10_params_store",
-    f"""SELECT t.delivery_date AS date, t.delivery_hour AS hour, CASE WHEN count(r.ts) >= {len(_N1) + 2} THEN 'ok'
-        ELSE 'failed' END AS status FROM (SELECT DISTINCT delivery_date, delivery_hour FROM fx_study1) t
-        LEFT JOIN fx_study1 r ON r.delivery_hour = t.delivery_hour AND r.delivery_date < t.delivery_date
-        AND r.delivery_date >= t.delivery_date - 14 GROUP BY 1, 2""",
-    ("fx_study1",),
+    _per_horizon(f"""SELECT t.delivery_date AS date, t.delivery_hour AS hour, CAST({{wh}} AS INT) AS which_hour_before,
+        CASE WHEN count(r.ts) >= {{p}} + 2 THEN 'ok' ELSE 'failed' END AS status FROM {_TARGETS} GROUP BY 1, 2"""),
+    _STUDY_VIEWS,
 )
 def _s10(spark, sf):
-    names, rows = _one_horizon(spark, sf)
     path = scratch_path(spark, "params")
-    O.save_params(M.fit_mvt(rows, names, 14, "mardia", 7), path, {"lookback_days": 14})
-    keys = rows.select(
-        F.col("delivery_date").alias("date"), F.col("delivery_hour").alias("hour"),
-        F.col("wh").alias("which_hour_before"),
+    fits = _fits(spark, sf, "mardia")
+    O.save_params(_all(fit for _, _, fit in fits), path, {"lookback_days": 14})
+    keys = _all(
+        rows.select(
+            F.col("delivery_date").alias("date"), F.col("delivery_hour").alias("hour"), F.col("wh").alias("which_hour_before")
+        )
+        for _, rows, _ in fits
     )
-    return O.get_params(O.load_params(spark, path), keys).select("date", "hour", "status")
+    return O.get_params(O.load_params(spark, path), keys).select("date", "hour", "which_hour_before", "status")
 
 
 # --- streams: the events arrive as one file per day ------------------------------------

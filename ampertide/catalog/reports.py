@@ -110,13 +110,13 @@ def _a13(spark, sf):
     """SELECT s.source, CAST(h AS INT) AS hour, e.mae AS "MAE", e.rmse AS "RMSE" FROM
        (SELECT DISTINCT source FROM fx_scored) s CROSS JOIN (SELECT unnest(range(24)) AS h) a LEFT JOIN
        (SELECT source, hour, avg(abs_error) AS mae, sqrt(avg(sq_error)) AS rmse FROM fx_scored
-        WHERE which_hour_before = 1 GROUP BY 1, 2) e ON e.source = s.source AND e.hour = h""",
+        GROUP BY 1, 2) e ON e.source = s.source AND e.hour = h""",
     ("fx_scored",),
     ("MAE", "RMSE"),
 )
 def _a14(spark, sf):
     n = R.normalize_predictions(scored(spark, sf))
-    near = R.error_by(n.filter(F.col("which_hour_before") == 1), ["source", "hour"])
+    near = R.error_by(n, ["source", "hour"])
     axis = R.complete_axis(n.select("source", "hour").distinct(), "hour", list(range(24)), ["source"])
     return axis.join(near, ["source", "hour"], "left")
 

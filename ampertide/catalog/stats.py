@@ -244,16 +244,17 @@ def _f21(spark, sf):
     f"""WITH g AS (SELECT CAST(i AS INT) AS k1, avg(cos({_PI} / 8 * i * u)) AS re, avg(sin({_PI} / 8 * i * u)) AS im
         FROM fx_scaled, (SELECT unnest(range(64)) AS i) a GROUP BY 1),
         m AS (SELECT *, sqrt(re * re + im * im) AS r FROM g),
-        k AS (SELECT *, min(CAST(r >= 2 * sqrt(999.0) / 1000 AS INT)) OVER (ORDER BY k1) = 1 AS accepted FROM m),
-        s AS (SELECT *, CASE WHEN accepted THEN 1000 / 1998.0 * (1 + sqrt(greatest(1 - 3996.0 / (1000000.0 * r * r), 0)))
+        z AS (SELECT count(*)::DOUBLE AS n FROM fx_scaled),
+        k AS (SELECT *, min(CAST(r >= 2 * sqrt(n - 1) / n AS INT)) OVER (ORDER BY k1) = 1 AS accepted FROM m, z),
+        s AS (SELECT *, CASE WHEN accepted THEN n / (2 * (n - 1)) * (1 + sqrt(greatest(1 - 4 * (n - 1) / (n * n * r * r), 0)))
           ELSE 0 END AS gain FROM k)
         SELECT k1, accepted, CAST(gain AS DOUBLE) AS gain, CAST(gain * re AS DOUBLE) AS re, CAST(gain * im AS DOUBLE) AS im FROM s""",
     ("fx_scaled",),
     ("gain", "re", "im"),
 )
 def _w12(spark, sf):
-    grid = D.ecf_grid(scaled(spark, sf), ["u"], A[:1], B[:1], 64)
-    return D.ecf_shrink_1d(grid, 1000)
+    d = scaled(spark, sf)
+    return D.ecf_shrink_1d(D.ecf_grid(d, ["u"], A[:1], B[:1], 64), d.filter("u IS NOT NULL").count())
 
 
 @query(
