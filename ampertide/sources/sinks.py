@@ -6,20 +6,26 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Feature rows by year; the repartition gives each year few large files."""
+    """Feature rows by year; the repartition gives each year few large files. The schema is
+    kept beside them, for formats that hold text only."""
     d = df.withColumn("year", F.year("delivery_date"))
     d.repartition("year", "delivery_date").write.mode("overwrite").partitionBy("year").option(
         "header", "true"
     ).format(fmt).save(path)
+    df.sparkSession.createDataFrame([(d.schema.json(),)], "value string").coalesce(1).write.text(f"{path}/_schema")
 
 
 def read_features(
     spark: SparkSession, path: str, years: list[int] | None = None, fmt: str = "parquet", schema=None
 ) -> DataFrame:
-    """Feature rows of the given years; the others are never listed or read."""
+    """Feature rows of the given years; the others are never listed or read. Columns have the
+    types they were written with, also in CSV."""
+    if schema is None and fmt == "csv":
+        schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").head()[0]))
     r = spark.read.format(fmt).option("header", "true")
     d = (r.schema(schema) if schema is not None else r).load(path)
     return d.filter(F.col("year").isin(years)) if years else d

@@ -163,3 +163,26 @@ def test_shared_folder_is_needed_off_a_local_master():
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.ensure_checkpoint_dir(Spark())
+
+
+def test_csv_features_come_back_typed_and_pruned(spark):
+    from ampertide.sources import sinks
+
+    path = session.scratch_path(spark, "features-csv")
+    rows = [(dt.date(y, 5, 1), y % 24, 1.5 * y, None) for y in (2020, 2021, 2022)]
+    d = spark.createDataFrame(rows, "delivery_date date, delivery_hour int, v double, note string")
+    sinks.write_features(d, path, "csv")
+    got = sinks.read_features(spark, path, [2021], "csv")
+    assert dict(got.dtypes) == {"delivery_date": "date", "delivery_hour": "int", "v": "double", "note": "string", "year": "int"}
+    assert [tuple(r)[:3] for r in got.collect()] == [rows[1][:3]]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "year" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_study_starts_after_the_lookback(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(10)]
+    d = spark.createDataFrame([(x,) for x in days], "delivery_date date")
+    assert M.effective_start(d, M.StudyConfig(lookback_days=4)) == days[4]
+    assert M.effective_start(d, M.StudyConfig(lookback_days=4, first_day="2024-01-08")) == days[7]
+    with pytest.raises(ValueError, match="no target day"):
+        M.effective_start(d, M.StudyConfig(lookback_days=40))
