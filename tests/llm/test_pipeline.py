@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from ampertide.llm import simhash
+from ampertide.llm import simhash, toxicity
 
 from test_simhash import brute_components, brute_fp
 
@@ -25,8 +25,14 @@ def test_stages_equal_brute_force(spark, tmp_path):
         else:
             kept[name] = got.collect()
         docs = got
-    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
-    assert all((r.doc_id in kept["toxicity"]) == (r.toxic == 0) for r in labels)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    called = toxicity.toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels).collect()
+    assert set(kept["toxicity"]) == {r.doc_id for r in called if not r.toxic}
+    # Eleven toxic labels are few to learn from: none may slip through, most clean ones must stay.
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    assert not any(marks.get(i) == 1 for i in kept["toxicity"])
+    clean = [i for i, t in marks.items() if t == 0]
+    assert sum(i in kept["toxicity"] for i in clean) >= 0.8 * len(clean)
     first = {}
     for i in sorted(kept["toxicity"]):
         first.setdefault(norm(kept["toxicity"][i]), i)
