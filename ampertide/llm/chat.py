@@ -62,21 +62,31 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.array_join(F.transform(turns, one), "")
 
 
-def parse(rendered: Column) -> Column:
-    """One string to array<struct<role, text>>; null where the grammar does not hold."""
-    pieces = F.regexp_extract_all(rendered, F.lit(ONE_TURN), F.lit(0))
-
-    def one(x: Column) -> Column:
-        opening, text, closing = (F.regexp_extract(x, ONE_TURN, i) for i in (1, 2, 3))
+def parsed(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Adds array<struct<role, text>> parsed from a rendered column; null where the grammar does
+    not hold. The marks and texts of all turns are taken out of the whole string by group, and
+    their lengths must add up to the string's."""
+    o, t, c = (f"{out}_{x}" for x in ("open", "text", "close"))
+    groups = df.withColumns({n: F.regexp_extract_all(F.col(source), F.lit(ONE_TURN), F.lit(g)) for g, n in enumerate((o, t, c), 1)})
+
+    def role_of(opening: Column) -> Column:
         role = F.url_decode(F.substring(opening, len(OTHER_OPEN) + 1, F.length(opening) - len(OTHER_OPEN) - 1))
         for name, pair in MARKS.items():
             role = F.when(opening == pair[0], F.lit(name)).otherwise(role)
-        sound = (closing == _by_role(role, 1, F.lit(OTHER_CLOSE))) & ~text.rlike(BARE_MARK)
-        return F.when(sound, F.struct(role.alias("role"), unescape(text).alias("text")))
-
-    turns = F.transform(pieces, one)
-    whole = (F.array_join(pieces, "") == rendered) & ~F.exists(turns, lambda t: t.isNull())
-    return F.when(whole, turns)
+        return role
+
+    def close_of(opening: Column) -> Column:
+        mark = F.lit(OTHER_CLOSE)
+        for pair in MARKS.values():
+            mark = F.when(opening == pair[0], F.lit(pair[1])).otherwise(mark)
+        return mark
+
+    chars = F.length(F.array_join(o, "")) + F.length(F.array_join(t, "")) + F.length(F.array_join(c, "")) + 2 * F.size(o)
+    sound = (chars == F.length(source)) & (F.transform(o, close_of) == F.col(c)) & ~F.exists(t, lambda x: x.rlike(BARE_MARK))
+    turns = F.zip_with(
+        F.col(o), F.col(t), lambda a, x: F.struct(role_of(a).alias("role"), F.when(x.contains("\\"), unescape(x)).otherwise(x).alias("text"))
+    )
+    return groups.withColumn(out, F.when(sound, turns)).drop(o, t, c)
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
@@ -93,19 +103,19 @@ def conversations_of(rows: DataFrame) -> DataFrame:
 
 def format_chats(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, escaped): the rendered text, and whether it needed escapes."""
-    source = conversations_of(rows)
-    plain = source.withColumn("plain", render(F.col("turns"), False))
-    tried = plain.withColumn("escaped", ~parse(F.col("plain")).eqNullSafe(F.col("turns")))
-    out = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("turns"), True)).otherwise(F.col("plain")))
-    proof = F.when(
-        parse(F.col("formatted")).eqNullSafe(F.col("turns")), F.col("formatted")
-    ).otherwise(F.raise_error(F.lit("the round trip of a conversation failed")).cast("string"))
-    return out.select("conv_id", proof.alias("formatted"), "escaped")
+    plain = conversations_of(rows).withColumn("plain", render(F.col("turns"), False))
+    tried = parsed(plain, "plain", "back").withColumn("escaped", ~F.col("back").eqNullSafe(F.col("turns"))).drop("back")
+    # Only what differed is rendered, and parsed, a second time.
+    second = tried.withColumn("again", F.when(F.col("escaped"), render(F.col("turns"), True)))
+    checked = parsed(second, "again", "back")
+    failed = F.raise_error(F.lit("the round trip of a conversation failed")).cast("string")
+    text = F.when(~F.col("escaped"), F.col("plain")).when(F.col("back").eqNullSafe(F.col("turns")), F.col("again")).otherwise(failed)
+    return checked.select("conv_id", text.alias("formatted"), "escaped")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
     """(conv_id, turns, formatted) read back from the rendered text."""
-    return formatted.select("conv_id", parse(F.col("formatted")).alias("turns"), "formatted")
+    return parsed(formatted.select("conv_id", "formatted"), "formatted", "turns")
 
 
 def with_probe(rows: DataFrame) -> DataFrame:
