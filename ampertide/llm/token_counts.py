@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ampertide.session import cut
+
 from .bpe import default_path, encoder
 from .common import text_of
 
-BLOCK = 1024
+BLOCK = 256
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -46,7 +48,8 @@ def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None =
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """One row per occurring length, read as a context limit: documents and tokens that fit,
     documents that are longer, the total after truncation and the share that fits."""
-    h = hist.withColumns({"block": F.floor(F.col("length") / BLOCK), "tokens": F.col("length") * F.col("docs")})
+    # Read twice below; without a table the documents would be encoded twice.
+    h = cut(hist).withColumns({"block": F.floor(F.col("length") / BLOCK), "tokens": F.col("length") * F.col("docs")})
     blocks = h.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = blocks.select(
