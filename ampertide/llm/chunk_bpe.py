@@ -31,13 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampertide.session import cut
-
 from .bpe import Encoder, default_path, encoder
-from .common import text_of
+from .common import text_of, written
 
 MIN_BYTES, MEAN_BITS, MAX_BYTES = 128, 9, 4096
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint32)
 
 
@@ -118,6 +116,16 @@ def token_sizes(enc: Encoder) -> np.ndarray:
     return sizes
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit; the first byte tells the width."""
+    small = len(ids) == 0 or int(ids.max()) < 1 << 16
+    return (b"2" if small else b"4") + ids.astype("<u2" if small else "<u4").tobytes()
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if data[:1] == b"2" else "<u4", offset=1).astype("<u4")
+
+
 def _digests(ids: np.ndarray, enc: Encoder) -> tuple[int, str, str]:
     text = enc.decode(ids)
     return len(ids), hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()
@@ -183,38 +191,38 @@ def encode_documents(
             )
 
     digest_cols = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    seen = cut(texts.mapInArrow(first, f"id {id_type}, row long, {digest_cols}, text string"))
+    seen = written(texts.mapInArrow(first, f"id {id_type}, row long, {digest_cols}, text string"))
     done = seen.filter("text IS NULL").select("id", "n_tokens", "ids_sha256", "decoded_sha256")
     waiting = seen.filter("text IS NOT NULL").select("id", "row", "text")
 
-    def pieces(batches):
-        """(row, key, chunk): each chunk that may be shared, once per batch; further
-        occurrences carry the key alone."""
-        bits = bitmap.value
+    def shared_chunks(data: bytes) -> dict[bytes, bytes]:
+        return {xxhash.xxh3_128_digest(data[x:y]): data[x:y] for x, y in spans_of(data) if _maybe(bitmap.value, _short(data[x:y]))}
+
+    def refs_of(batches):
+        """(row, key): the chunks of each document that may be shared."""
         for batch in batches:
-            rows, keys, chunks, sent = [], [], [], set()
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = t.encode("utf-8")
-                for key, chunk in {xxhash.xxh3_128_digest(data[x:y]): data[x:y] for x, y in spans_of(data) if _maybe(bits, _short(data[x:y]))}.items():
-                    rows.append(row)
-                    keys.append(key)
-                    chunks.append(None if key in sent else chunk)
-                    sent.add(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(chunks, pa.binary())], names=["row", "key", "chunk"]
-            )
+            keys = [list(shared_chunks(t.encode("utf-8"))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.binary()))], names=["row", "keys"])
+
+    def chunks_of(batches):
+        """(key, chunk): each such chunk once per batch."""
+        for batch in batches:
+            once: dict[bytes, bytes] = {}
+            for t in batch.column(0).to_pylist():
+                once |= shared_chunks(t.encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(once.keys()), pa.binary()), pa.array(list(once.values()), pa.binary())], names=["key", "chunk"])
 
-    refs = cut(waiting.select("row", "text").mapInArrow(pieces, "row long, key binary, chunk binary"))
-    single = refs.filter("chunk IS NOT NULL").groupBy("key").agg(F.first("chunk").alias("chunk"))
+    refs = waiting.select("row", "text").mapInArrow(refs_of, "row long, keys array<binary>").select("row", F.explode("keys").alias("key"))
+    single = waiting.select("text").mapInArrow(chunks_of, "key binary, chunk binary").groupBy("key").agg(F.first("chunk").alias("chunk"))
 
     def encode_once(batches):
         enc = encoder(path)
         for batch in batches:
-            ids = [enc.encode(c.decode("utf-8")).astype("<u4", copy=False).tobytes() for c in batch.column(1).to_pylist()]
+            ids = [pack_ids(enc.encode(c.decode("utf-8"))) for c in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
-    encoded = cut(single.mapInArrow(encode_once, "key binary, ids binary"))
-    found = refs.select("row", "key").join(encoded, "key")
+    encoded = written(single.mapInArrow(encode_once, "key binary, ids binary"))
+    found = refs.join(encoded, "key")
     by_row = found.groupBy("row").agg(F.collect_list(F.struct("key", "ids")).alias("known"))
 
     def finish(batches):
@@ -224,7 +232,7 @@ def encode_documents(
             n, a, d = [], [], []
             for t, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = t.encode("utf-8")
-                table = {x["key"]: np.frombuffer(x["ids"], "<u4") for x in known or []}
+                table = {x["key"]: unpack_ids(x["ids"]) for x in known or []}
                 stretches: list[tuple[int, int, np.ndarray | None]] = []
                 for x, y in spans_of(data):
                     ids = table.get(xxhash.xxh3_128_digest(data[x:y]))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ampertide.session import scratch_path
+
 # Rows in one Arrow batch. Texts average a few kilobytes but may be very long, so a
 # batch stays small enough for a worker to hold several of them.
 BATCH_ROWS = 512
@@ -30,3 +32,10 @@ def packed_row(df: DataFrame) -> Column:
 
 def unpacked(df: DataFrame, schema: T.StructType, column: str = "row") -> DataFrame:
     return df.select(*[F.col(f"`{column}`.`{f.name}`").alias(f.name) for f in schema.fields])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like session.cut, in the denser of Spark's common codecs: for tables that hold texts."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
