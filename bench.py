@@ -18,7 +18,7 @@ HEADLINE = [
     "c3_merit_order_slope", "a16_gram", "a9_hour_correlation", "a21_ecf_grid", "a22_cos_coefficients",
     "w9_ensemble_rank", "w11_empirical_cdf", "a12_summary_table", "m1_rolling_ols", "m6_fit_mardia",
     "m5_fit_ecm", "m7_predict", "m9_run_study", "m12_fit_gamlss", "m13_fit_trade_logit", "m14_logit_path_bic", "m15_lasso_path",
-    "a10_fit_marginals", "plan_prepare_features", "plan_zero_inflated",
+    "a10_fit_marginals", "plan_prepare_features",
 ]
 
 
