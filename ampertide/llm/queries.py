@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, chat, chunk_bpe, content_sort, filter_audit, maxent, packing, simhash, token_counts, toxicity, warc
+from . import ann_forest, chat, chunk_bpe, content_sort, filter_audit, maxent, packing, ranked_ids, simhash, token_counts, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_filter_audit", filter_audit.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_ranked_ids")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_ids.id_file_round_trip(table(spark, sf_dir, "documents"))
