@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_forest, chat, chunk_bpe, content_sort, filter_audit, maxent, packing, ranked_ids, simhash, token_counts, toxicity, warc
+from . import ann_forest, chat, chunk_bpe, content_sort, filter_audit, maxent, packing, ranked_ids, simhash, token_counts, toxicity, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_ranked_ids")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_ids.id_file_round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op12_chebyshev_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
