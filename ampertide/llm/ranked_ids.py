@@ -131,15 +131,17 @@ def encode_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: i
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            n, crc, out = [], [], []
+            n, crc, out, new = [], [], [], []
             for t in batch.column(2):
                 ids = np.append(enc.encode(t.as_py()), np.uint32(end_id)).astype("<u4", copy=False)
-                found = np.bincount(ids, minlength=len(seen))
-                found[: len(seen)] += seen
-                seen = found
+                new.append(ids)
                 n.append(len(ids))
                 crc.append(zlib.crc32(ids.tobytes()))
                 out.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else ids.tobytes())
+            if new:
+                found = np.bincount(np.concatenate(new), minlength=len(seen))
+                found[: len(seen)] += seen
+                seen = found
             void = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(out, pa.binary()),
