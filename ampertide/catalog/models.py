@@ -16,6 +16,7 @@ from ..operators import reports as R
 from ..session import cut, scratch_path
 from ..sources import sinks as O
 from ..streaming import incremental as S
+from ..streaming import keyed as K
 from . import views as V
 from .registry import query
 from .stats import XS, matrix
@@ -360,6 +361,66 @@ def _t1(spark, sf):
     return S.read_scaler(spark, f"{root}/state", ["v", "k"], ["event_type"])
 
 
+FORGET = 0.02
+
+# Decay by the rows of the key that follow: the closed form of the sequential rule.
+VIEW_SQL["fx_faded"] = ((), f"""SELECT *, CASE WHEN after + 1 = rows THEN 1.0 ELSE {FORGET} END * pow({1 - FORGET}, after) AS w,
+      pow({1 - FORGET}, after) AS fade
+    FROM (
+      SELECT event_type, value AS v, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k,
+        count(*) OVER (PARTITION BY event_type) AS rows,
+        row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1 AS after
+      FROM events)""")
+
+
+def _in_thirds(spark, sf, root, start):
+    """The events land in three parts, in the order of time; the stream is stopped and started
+    again between them."""
+    e = V.table(spark, sf, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("v"),
+        F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("k"),
+    )
+    bounds = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    third = F.floor(3 * F.try_divide(
+        F.col("ts").cast("double") - bounds.select(F.col("lo").cast("double")).scalar(),
+        bounds.select((F.col("hi").cast("double") - F.col("lo").cast("double"))).scalar()))
+    e = cut(e.withColumn("third", F.least(F.coalesce(third, F.lit(0)), F.lit(2))))
+    for i in range(3):
+        e.filter(F.col("third") == i).drop("third").write.mode("append").parquet(f"{root}/in")
+        start(spark.readStream.schema(e.drop("third").schema).parquet(f"{root}/in")).awaitTermination()
+
+
+@query(
+    "t1_stream_forgetting",
+    """SELECT event_type, count(*) AS n, sum(w * v) AS mean_v, sum(w * v * v) - sum(w * v) ** 2 AS var_v,
+         sum(w * k) AS mean_k, sum(w * k * k) - sum(w * k) ** 2 AS var_k
+       FROM fx_faded GROUP BY 1""",
+    ("fx_faded",),
+    ("mean_v", "var_v", "mean_k", "var_k"),
+    digits=5,
+)
+def _t1f(spark, sf):
+    root = scratch_path(spark, "t1f")
+    _in_thirds(spark, sf, root, lambda s: K.stream_forgetting(s, ["v", "k"], ["event_type"], "ts", f"{root}/ckpt", FORGET, tie="event_id"))
+    return K.read_forgetting(spark, f"{root}/ckpt", ["v", "k"], ["event_type"], FORGET)
+
+
+@query(
+    "t2_stream_gram_forgetting",
+    """SELECT event_type, count(*) AS n, sum(fade) AS sum_w, sum(fade * v * v) AS yy, sum(fade * k * v) AS xy_0,
+       sum(fade * k * k) AS g_0_0 FROM fx_faded GROUP BY 1""",
+    ("fx_faded",),
+    ("sum_w", "yy", "xy_0", "g_0_0"),
+    digits=4,
+)
+def _t2f(spark, sf):
+    root = scratch_path(spark, "t2f")
+    day = F.to_date("ts")
+    _in_thirds(spark, sf, root, lambda s: S.stream_gram(
+        s, ["k"], "v", ["event_type"], f"{root}/state", f"{root}/ckpt", None, FORGET, ["ts", "event_id"], day))
+    return S.read_gram(spark, f"{root}/state", 1, ["event_type"], FORGET)
+
+
 @query(
     "t2_stream_gram",
     """SELECT event_type, count(*) AS n, CAST(count(*) AS DOUBLE) AS sum_w, sum(v * v) AS yy, sum(k * v) AS xy_0,

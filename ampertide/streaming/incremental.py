@@ -1,8 +1,9 @@
 """Incremental statistics as streaming jobs.
 
 Each micro-batch is reduced to a few mergeable sums per key and written under its
-batch id; a replayed batch overwrites its own part, so every row counts once.
-The state is the merge of the parts. Nothing is kept on one machine."""
+batch id; a replayed batch overwrites its own part, so every row counts once. Parts are
+folded in tiers (`tiers`), so a look at the state reads a number of parts that grows with
+the logarithm of the number of batches. Nothing is kept on one machine."""
 
 from __future__ import annotations
 
@@ -15,10 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..models.linear import path_from_gram
 from ..operators.ordered import join_null_safe, running_total
-
-
-def _part(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id}"
+from . import tiers
 
 
 def _decay(df: DataFrame, by: list[str], order: list[str], cell: Column, forget: float) -> DataFrame:
@@ -75,8 +73,8 @@ def _rows_after(parts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def merge_scaler(parts: DataFrame, cols: list[str], by: list[str], forget: float = 0.0) -> DataFrame:
-    """n, mean_<c> and var_<c> (population, or exponentially weighted) per key."""
+def fold_scaler(parts: DataFrame, cols: list[str], by: list[str], forget: float = 0.0) -> DataFrame:
+    """One part per key from parts that follow each other in the order of `batch`."""
     by = list(by)
     key = W.partitionBy(*by)  # one row per key and part
     if forget == 0:
@@ -87,7 +85,7 @@ def merge_scaler(parts: DataFrame, cols: list[str], by: list[str], forget: float
         for c in cols:
             n, off = F.col(f"n_{c}"), F.col(f"mean_{c}") - F.col(f"_all_{c}")
             within = F.sum(F.coalesce(f"m2_{c}", F.lit(0.0)) + F.coalesce(n * off * off, F.lit(0.0)))
-            aggs += [F.max(f"_all_{c}").alias(f"mean_{c}"), F.try_divide(within, F.sum(n)).alias(f"var_{c}")]
+            aggs += [F.sum(n).alias(f"n_{c}"), F.max(f"_all_{c}").alias(f"mean_{c}"), within.alias(f"m2_{c}")]
         return d.groupBy(*by).agg(*aggs)
     d = _rows_after(parts, by)
     # All sums move to the first value of the opening part.
@@ -98,17 +96,23 @@ def merge_scaler(parts: DataFrame, cols: list[str], by: list[str], forget: float
         off = F.col(f"first_{c}") - F.col(f"_base_{c}")
         s0, s1, s2 = (F.col(f"s{i}_{c}") for i in range(3))
         aggs += [
-            F.max(f"_base_{c}").alias(f"_base_{c}"), F.sum(fade * (s1 + s0 * off)).alias(f"_d1_{c}"),
-            F.sum(fade * (s2 + 2.0 * off * s1 + s0 * off * off)).alias(f"_d2_{c}"),
+            F.sum(fade * s0).alias(f"s0_{c}"), F.sum(fade * (s1 + s0 * off)).alias(f"s1_{c}"),
+            F.sum(fade * (s2 + 2.0 * off * s1 + s0 * off * off)).alias(f"s2_{c}"), F.max(f"_base_{c}").alias(f"first_{c}"),
         ]
-    out = d.groupBy(*by).agg(*aggs)
-    return out.select(
-        *by, "n",
-        *[x for c in cols for x in (
-            (F.col(f"_base_{c}") + F.col(f"_d1_{c}")).alias(f"mean_{c}"),
-            (F.col(f"_d2_{c}") - F.col(f"_d1_{c}") ** 2).alias(f"var_{c}"),
-        )],
-    )
+    return d.groupBy(*by).agg(*aggs)
+
+
+def merge_scaler(parts: DataFrame, cols: list[str], by: list[str], forget: float = 0.0) -> DataFrame:
+    """n, mean_<c> and var_<c> (population, or exponentially weighted) per key."""
+    whole = fold_scaler(parts, cols, by, forget)
+    out = [F.col(c) for c in by] + [F.col("n")]
+    for c in cols:
+        if forget == 0:
+            out += [F.col(f"mean_{c}"), F.try_divide(f"m2_{c}", f"n_{c}").alias(f"var_{c}")]
+        else:
+            s1 = F.col(f"s1_{c}")
+            out += [(F.col(f"first_{c}") + s1).alias(f"mean_{c}"), (F.col(f"s2_{c}") - s1 * s1).alias(f"var_{c}")]
+    return whole.select(*out)
 
 
 def stream_scaler(
@@ -119,7 +123,7 @@ def stream_scaler(
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         part = scaler_part(batch, cols, by, forget, order, cell)
-        part.write.mode("overwrite").parquet(_part(path, batch_id))
+        tiers.absorb(part, path, batch_id, lambda parts: fold_scaler(parts, cols, by, forget))
 
     return _start(stream, absorb, checkpoint, available_now)
 
@@ -127,7 +131,7 @@ def stream_scaler(
 def read_scaler(
     spark: SparkSession, path: str, cols: list[str], by: list[str], forget: float = 0.0
 ) -> DataFrame:
-    return merge_scaler(spark.read.parquet(path), cols, by, forget)
+    return merge_scaler(tiers.state(spark, path), cols, by, forget)
 
 
 def gram_part(
@@ -145,6 +149,7 @@ def gram_part(
 
 
 def merge_gram(parts: DataFrame, k: int, by: list[str], forget: float = 0.0) -> DataFrame:
+    """One part per key from parts that follow each other in the order of `batch`."""
     names = ["sum_w", "yy"] + [f"xy_{i}" for i in range(k)]
     names += [f"g_{i}_{j}" for i, j in combinations_with_replacement(range(k), 2)]
     if forget == 0:
@@ -168,13 +173,13 @@ def stream_gram(
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         part = gram_part(batch, xs, y, by, w, forget, order, cell)
-        part.write.mode("overwrite").parquet(_part(path, batch_id))
+        tiers.absorb(part, path, batch_id, lambda parts: merge_gram(parts, len(xs), by, forget))
 
     return _start(stream, absorb, checkpoint, available_now)
 
 
 def read_gram(spark: SparkSession, path: str, k: int, by: list[str], forget: float = 0.0) -> DataFrame:
-    return merge_gram(spark.read.parquet(path), k, by, forget)
+    return merge_gram(tiers.state(spark, path), k, by, forget)
 
 
 def stream_lasso_refit(
@@ -191,15 +196,14 @@ def stream_lasso_refit(
     def absorb(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         d, cols = _with_const(batch, xs)
-        gram_part(d, cols, y, by, None, forget, order, cell).write.mode("overwrite").parquet(
-            _part(f"{path}/sums", batch_id)
-        )
-        sums = spark.read.parquet(f"{path}/sums").filter(F.col("batch") <= batch_id)
+        part = gram_part(d, cols, y, by, None, forget, order, cell)
+        tiers.absorb(part, f"{path}/sums", batch_id, lambda parts: merge_gram(parts, k, by, forget))
+        sums = tiers.state(spark, f"{path}/sums", batch_id)
         from ..models.linear import gram_arrays
 
         stats = gram_arrays(merge_gram(sums, k, by, forget), k)
         if batch_id > 0:
-            prev = spark.read.parquet(f"{path}/paths").filter(F.col("batch") == batch_id - 1)
+            prev = spark.read.parquet(f"{path}/paths/batch={batch_id - 1}")
             # n_lambda steps per key.
             warm = prev.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "beta"))).alias("_p"))
             warm = warm.select(*by, F.transform("_p", lambda e: e["beta"]).alias("_start"))
@@ -207,7 +211,7 @@ def stream_lasso_refit(
             fit = path_from_gram(stats, k, by, free, n_lambda, start="_start")
         else:
             fit = path_from_gram(stats, k, by, free, n_lambda)
-        fit.write.mode("overwrite").parquet(_part(f"{path}/paths", batch_id))
+        fit.write.mode("overwrite").parquet(f"{path}/paths/batch={batch_id}")
 
     return _start(stream, absorb, checkpoint, available_now)
 
