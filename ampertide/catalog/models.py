@@ -209,7 +209,7 @@ def _m11p(spark, sf):
 @query("a10_fit_marginals")
 def _a10(spark, sf):
     return A.fit_marginals(V.bins(spark, sf)).select(
-        "delivery_hour", "distribution", "n", "ks", "p_value", F.get("params", F.lit(0)).alias("param_0")
+        "delivery_hour", "distribution", "n", "ks", "p_value", F.get("params", F.lit(0)).alias("param_0"), "converged", "rounds"
     )
 
 

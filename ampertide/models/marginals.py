@@ -6,6 +6,8 @@ parameters follow from those sums. Key sizes do not matter."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,142 +40,216 @@ def _start(ties: DataFrame, by: list[str]) -> DataFrame:
     return spread_.select(*by, "n", "loc", F.sqrt(F.greatest(F.col("_q") / F.col("n"), F.lit(1e-12))).alias("sd"))
 
 
-# Candidate factors on nu in one pass; the span shrinks when the middle wins and
-# grows when an outer one does.
-_STEPS = [-2, -1, 0, 1, 2]
-
-
 # One tolerance and one limit of passes for keys of every size; fits report whether they met it.
-TOLERANCE = 5e-4
-PASSES = 60
+TOLERANCE = 1e-4
+PASSES = 30
 MAX_DF = 1e4
+MIN_DF = 0.1
+
+
+@dataclass(frozen=True)
+class Family:
+    """A distribution with parameters (location, log scale, further ones), as Newton steps see it.
+
+    `terms` gives per row, from the array column of parameters and the value: the log density without the
+    parts that depend on parameters alone, its score and its second derivatives (upper triangle), both
+    with the location in units of the scale. `norm` adds the missing parts, per row and key:
+    (value, score, second derivatives). `low` and `high` bound the parameters."""
+
+    name: str
+    first: Callable[[Column, Column], list[Column]]
+    terms: Callable[[Column, Column], tuple[Column, list[Column], dict[tuple[int, int], Column]]]
+    norm: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+
+    @property
+    def size(self) -> int:
+        return len(self.low)
+
+    @property
+    def pairs(self) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(self.size) for j in range(i, self.size)]
+
+
+def _student_terms(th: Column, x: Column):
+    nu = F.exp(th[2])
+    z = (x - th[0]) / F.exp(th[1])
+    q = z * z
+    d = nu + q
+    w = (nu + 1.0) / d
+    fade = F.log1p(q / nu)
+    slope = -0.5 * fade + (nu + 1.0) * q / (2.0 * nu * d)
+    bend = q / (2.0 * nu * d) - 0.5 * q * (nu * nu + 2.0 * nu + q) / (nu * nu * d * d)
+    pull = (q - 1.0) / (d * d)
+    second = {
+        (0, 0): -w * (nu - q) / d, (0, 1): -2.0 * nu * w * z / d, (0, 2): nu * z * pull,
+        (1, 1): -2.0 * w * q * nu / d, (1, 2): nu * q * pull, (2, 2): nu * slope + nu * nu * bend,
+    }
+    return -0.5 * (nu + 1.0) * fade, [w * z, w * q, nu * slope], second
+
+
+def _student_norm(th: np.ndarray):
+    nu = math.exp(th[2])
+    c1, c2 = (float(v) for v in special.student_log_norm_slopes(nu))
+    second = np.zeros((3, 3))
+    second[2, 2] = nu * c1 + nu * nu * c2
+    return float(special.student_log_norm(nu)) - th[1], np.array([0.0, -1.0, nu * c1]), second
+
+
+def _johnson_terms(th: Column, x: Column):
+    tail = F.exp(th[3])
+    z = (x - th[0]) / F.exp(th[1])
+    root2 = z * z + 1.0
+    root = F.sqrt(root2)
+    a = tail * F.asinh(z)
+    r = th[2] + a
+    h = z / root2 + r * tail / root
+    hz = (1.0 - z * z) / (root2 * root2) + tail * tail / root2 - r * tail * z / (root2 * root)
+    hs, ht = tail / root, tail * (a + r) / root
+    second = {
+        (0, 0): -hz, (0, 1): -(z * hz + h), (0, 2): hs, (0, 3): ht, (1, 1): -z * (z * hz + h), (1, 2): z * hs,
+        (1, 3): z * ht, (2, 2): F.lit(-1.0), (2, 3): -a, (3, 3): -a * (a + r),
+    }
+    return -F.log(root) - 0.5 * r * r, [h, h * z, -r, -r * a], second
+
+
+def _johnson_norm(th: np.ndarray):
+    return th[3] - th[1] - 0.5 * math.log(2 * math.pi), np.array([0.0, -1.0, 0.0, 1.0]), np.zeros((4, 4))
+
+
+def student(max_df: float = MAX_DF) -> Family:
+    return Family(
+        "student", lambda loc, sd: [loc, F.log(sd) - 0.25, F.lit(math.log(5.0))], _student_terms, _student_norm,
+        (-math.inf, -math.inf, math.log(MIN_DF)), (math.inf, math.inf, math.log(max_df)),
+    )
 
 
-def _student_step(n, nu, scale, span, loc, s0, s1, s2, lls, max_df):
-    """Next (loc, scale, nu, span, change) from the sums of one pass."""
-    cand = np.clip(nu[:, None] * np.exp(np.outer(span, _STEPS)), 0.1, max_df)
-    ll = n[:, None] * special.student_log_norm(cand) - 0.5 * (cand + 1) * lls
-    pick = ll.argmax(1)
-    shift = s1 / s0
-    fresh = np.sqrt(np.maximum((s2 - s1 * shift) / n, 1e-300))
-    move = np.abs(shift) / fresh + np.abs(np.log(fresh / scale)) + 0.1 * span
-    wider = np.where(pick == 2, span / 2, np.minimum(span * 1.5, 0.6))
-    return loc + shift, fresh, cand[np.arange(len(n)), pick], wider, move
+# A Johnson-SU with tail 1 and no skew has 1.79 times its scale as standard deviation.
+JOHNSON = Family(
+    "johnson", lambda loc, sd: [loc, F.log(sd) - 0.58, F.lit(0.0), F.lit(0.0)], _johnson_terms, _johnson_norm,
+    (-math.inf, -math.inf, -50.0, -6.0), (math.inf, math.inf, 50.0, 6.0),
+)
+
+
+def newton_direction(g: np.ndarray, second: np.ndarray, th: np.ndarray, low, high) -> tuple[np.ndarray, float]:
+    """Ascent direction and the gain it promises. Directions of wrong or no curvature are turned round;
+    a parameter that its bound holds back stays."""
+    free = ~((th >= high) & (g > 0) | (th <= low) & (g < 0))
+    out = np.zeros(len(g))
+    if not free.any():
+        return out, 0.0
+    values, vectors = np.linalg.eigh(-second[np.ix_(free, free)])
+    values = np.maximum(np.abs(values), 1e-8 * np.abs(values).max() + 1e-300)
+    out[free] = np.clip(vectors @ (vectors.T @ g[free] / values), -1.0, 1.0)
+    return out, float(g @ out)
+
+
+def _newton_step(family: Family, q: dict, tol: float) -> dict:
+    """The next state of one key from the sums of a pass: a shorter step where the likelihood fell,
+    else a new direction from the point just reached."""
+    th, best, direction = (np.asarray(q[c], float) for c in ("th", "best", "dir"))
+    if q["change"] < tol**2:
+        return {c: q[c] for c in ("th", "best", "ll", "dir", "size", "change", "rounds")}
+    value, score, second = family.norm(th)
+    ll = q["value"] + q["n"] * value
+    if not np.isfinite(ll) or ll < q["ll"] - 1e-9 * abs(q["ll"]):
+        size = q["size"] / 4
+        th = np.clip(best + size * direction, family.low, family.high)
+        return {
+            "th": th.tolist(), "best": best.tolist(), "ll": q["ll"], "dir": direction.tolist(), "size": size,
+            "change": 0.0 if size < 1e-3 else 1.0, "rounds": q["rounds"] + 1,
+        }
+    g = np.array(q["g"], float) + q["n"] * score
+    for (i, j), v in zip(family.pairs, q["h"]):
+        second[i, j] = second[j, i] = v + q["n"] * second[i, j]
+    direction, gain = newton_direction(g, second, th, np.array(family.low), np.array(family.high))
+    direction[0] *= math.exp(th[1])
+    return {
+        "th": np.clip(th + direction, family.low, family.high).tolist(), "best": th.tolist(), "ll": ll,
+        "dir": direction.tolist(), "size": 1.0, "change": gain / q["n"], "rounds": q["rounds"] + 1,
+    }
+
+
+STATE = "th array<double>, best array<double>, ll double, dir array<double>, size double, change double, rounds int"
+
+
+def fit_families(ties: DataFrame, by: list[str], families: list[Family], passes: int = PASSES, tol: float = TOLERANCE) -> DataFrame:
+    """Per key: n and, per family, a struct with its best parameters `best`, log likelihood, change and
+    rounds. All families advance by one Newton step in each pass over the data."""
+    m, x = F.col("m"), F.col("x")
 
+    def opening(f: Family) -> Column:
+        zeros = F.array(*[F.lit(0.0)] * f.size)
+        th = F.array(*f.first(F.col("loc"), F.col("sd")))
+        return F.struct(
+            th.alias("th"), zeros.alias("best"), F.lit(float("-inf")).alias("ll"), zeros.alias("dir"), F.lit(1.0).alias("size"),
+            F.lit(1.0).alias("change"), F.lit(0).alias("rounds"),
+        ).alias(f.name)
 
-def fit_student(
-    ties: DataFrame, by: list[str], passes: int = PASSES, tol: float = TOLERANCE, max_df: float = MAX_DF
-) -> DataFrame:
-    """Location, scale and degrees of freedom per key by ECM: each pass reweights
-    location and scale and picks nu among candidates on the likelihood, up to max_df.
+    state = cut(_start(ties, by).select(*by, "n", *[opening(f) for f in families]))
+    ddl = _ddl(ties, by) + "n double, " + ", ".join(f"{f.name} struct<{STATE}>" for f in families)
 
-    Adds converged and rounds; without convergence the last pass is given."""
-    m, x = F.col("m"), F.col("x")
-    state = cut(_start(ties, by).select(
-        *by, "n", "loc", F.col("sd").alias("scale"), F.lit(5.0).alias("nu"), F.lit(0.6).alias("span"), F.lit(1.0).alias("change"),
-        F.lit(0).alias("rounds"),
-    ))
-    ddl = _ddl(ties, by) + "n double, loc double, scale double, nu double, span double, change double, rounds int"
-    nu = F.col("nu")
-    z2 = ((x - F.col("loc")) / F.col("scale")) ** 2
-
-    def choose(batches):
+    def sums(f: Family) -> list[Column]:
+        value, score, second = f.terms(F.col(f"{f.name}.th"), x)
+        out = [F.sum(m * value).alias(f"{f.name}_value")]
+        out += [F.sum(m * s).alias(f"{f.name}_g{i}") for i, s in enumerate(score)]
+        return out + [F.sum(m * second[p]).alias(f"{f.name}_h{k}") for k, p in enumerate(f.pairs)]
+
+    def step(batches):
         for pdf in batches:
-            lls = pdf[[f"l{i}" for i in range(len(_STEPS))]].to_numpy()
-            args = [pdf[c].to_numpy() for c in ("n", "nu", "scale", "span", "loc", "s0", "s1", "s2")]
-            fresh = _student_step(*args, lls, max_df)
-            out = pdf[[*by, "n"]].assign(**dict(zip(("loc", "scale", "nu", "span", "change"), fresh)))
-            # A key that has met the tolerance stays as it is.
-            done = (pdf["change"] < tol).to_numpy()
-            for c in ("loc", "scale", "nu", "span", "change"):
-                out[c] = np.where(done, pdf[c], out[c])
-            yield out.assign(rounds=pdf["rounds"] + ~done)[[*by, "n", "loc", "scale", "nu", "span", "change", "rounds"]]
-
-    w = m * (nu + 1.0) / (nu + z2)
-    # Centered sums: no cancellation.
-    dev = x - F.col("loc")
-    sums = [F.sum(w).alias("s0"), F.sum(w * dev).alias("s1"), F.sum(w * dev * dev).alias("s2")]
-    for i, s in enumerate(_STEPS):
-        cand = F.least(F.greatest(nu * F.exp(F.col("span") * s), F.lit(0.1)), F.lit(max_df))
-        sums.append(F.sum(m * F.log1p(z2 / cand)).alias(f"l{i}"))
-    params = ["n", "loc", "scale", "nu", "span", "change", "rounds"]
+            rows = []
+            for q in pdf.to_dict("records"):
+                row = [q[b] for b in by] + [q["n"]]
+                for f in families:
+                    seen = dict(q[f.name]) | {
+                        "n": q["n"], "value": q[f"{f.name}_value"], "g": [q[f"{f.name}_g{i}"] for i in range(f.size)],
+                        "h": [q[f"{f.name}_h{k}"] for k in range(len(f.pairs))],
+                    }
+                    row.append(_newton_step(f, seen, tol))
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=[*by, "n", *[f.name for f in families]])
+
+    going = F.greatest(F.lit(0.0), *[F.col(f"{f.name}.change") for f in families])
     for _ in range(passes):
-        stats = ties.join(state, by).groupBy(*by, *params).agg(*sums)
-        state = cut(stats.mapInPandas(choose, ddl))
-        if (state.agg(F.max("change")).head()[0] or 0.0) < tol:
+        stats = ties.join(state.drop("n"), by).groupBy(*by).agg(*[c for f in families for c in sums(f)])
+        state = cut(stats.join(state, by).mapInPandas(step, ddl))
+        if (state.agg(F.max(going)).head()[0] or 0.0) < tol**2:
             break
-    return state.select(
-        *by, "n", "loc", "scale", F.col("nu").alias("df"), (F.col("change") < tol).alias("converged"), "rounds"
-    )
+    return state
 
 
-def _jsu_direction(g, hess):
-    return np.clip(np.linalg.solve(hess + 1e-8 * np.trace(hess) * np.eye(4), g), -1.0, 1.0)
+def _marks(family: str, tol: float) -> list[Column]:
+    return [(F.col(f"{family}.change") < tol**2).alias("converged"), F.col(f"{family}.rounds").alias("rounds")]
 
 
-def fit_jsu(ties: DataFrame, by: list[str], passes: int = PASSES, tol: float = TOLERANCE) -> DataFrame:
-    """Location, scale, skew and tail per key by maximum likelihood: scoring steps on
-    summed scores and their cross products, shortened when the likelihood falls.
+def _student_columns(tol: float) -> list[Column]:
+    b = F.col("student.best")
+    return [b[0].alias("loc"), F.exp(b[1]).alias("scale"), F.exp(b[2]).alias("df"), *_marks("student", tol)]
 
-    Converged: the gain that the next step promises, per row, is below tol squared."""
-    m, x = F.col("m"), F.col("x")
-    state = cut(_start(ties, by).select(
-        *by, "n", F.array(F.col("loc"), F.log("sd"), F.lit(0.0), F.lit(0.0)).alias("th"),
-        F.array(*[F.lit(0.0)] * 4).alias("best"), F.lit(float("-inf")).alias("ll"),
-        F.array(*[F.lit(0.0)] * 4).alias("dir"), F.lit(1.0).alias("size"), F.lit(1.0).alias("change"),
-        F.lit(0).alias("rounds"),
-    ))
-    ddl = _ddl(ties, by) + (
-        "n double, th array<double>, best array<double>, ll double, dir array<double>, size double, change double, rounds int"
-    )
-    loc, scale, skew, tail = (
-        F.col("th")[0], F.exp(F.col("th")[1]), F.col("th")[2], F.exp(F.col("th")[3])
-    )
-    z = (x - loc) / scale
-    root = F.sqrt(z * z + 1.0)
-    a = F.asinh(z)
-    r = skew + tail * a
-    h = z / (root * root) + r * tail / root
-    score = [h / scale, h * z - 1.0, -r, 1.0 - r * tail * a]
-    dens = F.col("th")[3] - F.col("th")[1] - F.log(root) - 0.5 * r * r - 0.5 * math.log(2 * math.pi)
-    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
 
-    def step(batches):
-        for pdf in batches:
-            out = []
-            for q in pdf.to_dict("records"):
-                th, best, direction = (np.asarray(q[c], float) for c in ("th", "best", "dir"))
-                ll = q["new_ll"]
-                if q["change"] < tol**2:
-                    out.append([q[c] for c in (*by, "n", "th", "best", "ll", "dir", "size", "change", "rounds")])
-                    continue
-                if not np.isfinite(ll) or ll < q["ll"]:
-                    size = q["size"] / 4
-                    out.append([*[q[b] for b in by], q["n"], (best + size * direction).tolist(), best.tolist(),
-                                q["ll"], direction.tolist(), size, 0.0 if size < 1e-3 else 1.0, q["rounds"] + 1])
-                    continue
-                g = np.array([q[f"g{i}"] for i in range(4)])
-                hess = np.zeros((4, 4))
-                for i, j in pairs:
-                    hess[i, j] = hess[j, i] = q[f"h{i}{j}"]
-                direction = _jsu_direction(g, hess)
-                # The expected gain of the full step decides convergence.
-                out.append([*[q[b] for b in by], q["n"], (th + direction).tolist(), th.tolist(), ll,
-                            direction.tolist(), 1.0, float(g @ direction) / q["n"], q["rounds"] + 1])
-            yield pd.DataFrame(out, columns=[*by, "n", "th", "best", "ll", "dir", "size", "change", "rounds"])
+def _johnson_columns(tol: float) -> list[Column]:
+    b = F.col("johnson.best")
+    return [
+        b[0].alias("loc"), F.exp(b[1]).alias("scale"), b[2].alias("skew"), F.exp(b[3]).alias("tail"),
+        F.col("johnson.ll").alias("log_lik"), *_marks("johnson", tol),
+    ]
 
-    for _ in range(passes):
-        sums = [F.sum(m * dens).alias("new_ll")] + [F.sum(m * s).alias(f"g{i}") for i, s in enumerate(score)]
-        sums += [F.sum(m * score[i] * score[j]).alias(f"h{i}{j}") for i, j in pairs]
-        stats = ties.join(state, by).groupBy(*by).agg(*sums)
-        state = cut(stats.join(state, by).mapInPandas(step, ddl))
-        if (state.agg(F.max("change")).head()[0] or 0.0) < tol**2:
-            break
-    b = F.col("best")
-    return state.select(
-        *by, "n", b[0].alias("loc"), F.exp(b[1]).alias("scale"), b[2].alias("skew"),
-        F.exp(b[3]).alias("tail"), F.col("ll").alias("log_lik"), (F.col("change") < tol**2).alias("converged"), "rounds",
-    )
+
+def fit_student(
+    ties: DataFrame, by: list[str], passes: int = PASSES, tol: float = TOLERANCE, max_df: float = MAX_DF
+) -> DataFrame:
+    """Location, scale and degrees of freedom (up to max_df) per key by maximum likelihood.
+
+    Newton steps on summed scores and second derivatives, shortened when the likelihood falls. Converged:
+    the gain that the next step promises, per row, is below tol squared. Adds converged and
+    rounds; without convergence the best point so far is given."""
+    return fit_families(ties, by, [student(max_df)], passes, tol).select(*by, "n", *_student_columns(tol))
+
+
+def fit_jsu(ties: DataFrame, by: list[str], passes: int = PASSES, tol: float = TOLERANCE) -> DataFrame:
+    """Location, scale, skew and tail per key, like fit_student."""
+    return fit_families(ties, by, [JOHNSON], passes, tol).select(*by, "n", *_johnson_columns(tol))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -202,9 +278,10 @@ def fit_marginals(
     ties = cut(_ties(d, value, by))
     x, m = F.col("x"), F.col("m")
     norm = cut(_start(ties, by).select(*by, "loc", F.col("sd").alias("scale"), F.lit(True).alias("converged"), F.lit(0).alias("rounds")))
-    # Each fit feeds the distances and the output.
-    t = cut(fit_student(ties, by))
-    j = cut(fit_jsu(ties, by))
+    # Both families in the same passes; the written state feeds the distances and the output.
+    fits = fit_families(ties, by, [student(), JOHNSON])
+    t = fits.select(*by, "n", *_student_columns(TOLERANCE))
+    j = fits.select(*by, "n", *_johnson_columns(TOLERANCE))
     cell = F.floor(F.col("x") / cell_width)
     out = None
     for label, par, cdf, cols in (

@@ -71,3 +71,29 @@ def student_crps(z, nu):
         + 2.0 * pdf * (nu + z * z) / (nu - 1.0)
         - 2.0 * np.sqrt(nu) / (nu - 1.0) * np.exp(log_b - log_b2)
     )
+
+
+def _psi_tail(x, order):
+    """digamma (order 0) or trigamma (order 1) for x >= 8, by the asymptotic series."""
+    i = 1.0 / (x * x)
+    if order == 0:
+        return np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
+    return 1 / x + i / 2 + i / x * (1 / 6 - i * (1 / 30 - i * (1 / 42 - i * (1 / 30 - i * 5 / 66))))
+
+
+def psi(x, order: int = 0):
+    """digamma or trigamma of positive numbers."""
+    x = np.asarray(x, float).copy()
+    total = np.zeros_like(x)
+    while (low := x < 8).any():
+        total += np.where(low, -1.0 / x if order == 0 else 1.0 / (x * x), 0.0)
+        x = np.where(low, x + 1.0, x)
+    return total + _psi_tail(x, order)
+
+
+def student_log_norm_slopes(nu):
+    """First and second derivative of student_log_norm."""
+    nu = np.asarray(nu, float)
+    first = 0.5 * (psi((nu + 1) / 2) - psi(nu / 2) - 1 / nu)
+    second = 0.25 * (psi((nu + 1) / 2, 1) - psi(nu / 2, 1)) + 0.5 / (nu * nu)
+    return first, second
