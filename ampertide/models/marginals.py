@@ -51,14 +51,14 @@ MIN_DF = 0.1
 class Family:
     """A distribution with parameters (location, log scale, further ones), as Newton steps see it.
 
-    `terms` gives per row, from the array column of parameters and the value: the log density without the
-    parts that depend on parameters alone, its score and its second derivatives (upper triangle), both
-    with the location in units of the scale. `norm` adds the missing parts, per row and key:
+    `terms` gives columns to add layer by layer (each used by later ones, so that nothing is computed
+    twice), then per row the log density without the parts that depend on parameters alone, its
+    score and its second derivatives (upper triangle), both with the location in units of the scale. `norm` adds the missing parts, per row and key:
     (value, score, second derivatives). `low` and `high` bound the parameters."""
 
     name: str
     first: Callable[[Column, Column], list[Column]]
-    terms: Callable[[Column, Column], tuple[Column, list[Column], dict[tuple[int, int], Column]]]
+    terms: Callable[[], tuple[list[dict[str, Column]], Column, list[Column], dict[tuple[int, int], Column]]]
     norm: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]
     low: tuple[float, ...]
     high: tuple[float, ...]
@@ -72,21 +72,21 @@ class Family:
         return [(i, j) for i in range(self.size) for j in range(i, self.size)]
 
 
-def _student_terms(th: Column, x: Column):
-    nu = F.exp(th[2])
-    z = (x - th[0]) / F.exp(th[1])
-    q = z * z
-    d = nu + q
-    w = (nu + 1.0) / d
-    fade = F.log1p(q / nu)
-    slope = -0.5 * fade + (nu + 1.0) * q / (2.0 * nu * d)
-    bend = q / (2.0 * nu * d) - 0.5 * q * (nu * nu + 2.0 * nu + q) / (nu * nu * d * d)
-    pull = (q - 1.0) / (d * d)
+def _student_terms():
+    th, x = F.col("student.th"), F.col("x")
+    nu, z, q, d, w, pull, slope = (F.col(c) for c in ("nu", "t_z", "q", "d", "w", "pull", "slope"))
+    layers = [
+        {"nu": F.exp(th[2]), "t_z": (x - th[0]) / F.exp(th[1])},
+        {"q": z * z, "d": nu + z * z},
+        {"w": (nu + 1.0) / d, "fade": F.log1p(q / nu), "pull": (q - 1.0) / (d * d), "part": q / (nu * d)},
+        {"slope": 0.5 * ((nu + 1.0) * F.col("part") - F.col("fade"))},
+    ]
+    bend = 0.5 * F.col("part") * (1.0 - (nu * nu + 2.0 * nu + q) / (nu * d))
     second = {
         (0, 0): -w * (nu - q) / d, (0, 1): -2.0 * nu * w * z / d, (0, 2): nu * z * pull,
         (1, 1): -2.0 * w * q * nu / d, (1, 2): nu * q * pull, (2, 2): nu * slope + nu * nu * bend,
     }
-    return -0.5 * (nu + 1.0) * fade, [w * z, w * q, nu * slope], second
+    return layers, -0.5 * (nu + 1.0) * F.col("fade"), [w * z, w * q, nu * slope], second
 
 
 def _student_norm(th: np.ndarray):
@@ -97,21 +97,22 @@ def _student_norm(th: np.ndarray):
     return float(special.student_log_norm(nu)) - th[1], np.array([0.0, -1.0, nu * c1]), second
 
 
-def _johnson_terms(th: Column, x: Column):
-    tail = F.exp(th[3])
-    z = (x - th[0]) / F.exp(th[1])
-    root2 = z * z + 1.0
-    root = F.sqrt(root2)
-    a = tail * F.asinh(z)
-    r = th[2] + a
-    h = z / root2 + r * tail / root
-    hz = (1.0 - z * z) / (root2 * root2) + tail * tail / root2 - r * tail * z / (root2 * root)
-    hs, ht = tail / root, tail * (a + r) / root
+def _johnson_terms():
+    th, x = F.col("johnson.th"), F.col("x")
+    z, tail, root2, root, a, r, h, hz, ht = (F.col(c) for c in ("j_z", "tail", "root2", "root", "a", "r", "h", "hz", "ht"))
+    layers = [
+        {"j_z": (x - th[0]) / F.exp(th[1]), "tail": F.exp(th[3])},
+        {"root2": z * z + 1.0, "a": tail * F.asinh(z)},
+        {"root": F.sqrt(root2), "r": th[2] + a},
+        {"h": z / root2 + r * tail / root, "hs": tail / root, "ht": tail * (a + r) / root,
+         "hz": ((1.0 - z * z) / root2 + tail * tail - r * tail * z / root) / root2},
+        {"zh": z * hz + h},
+    ]
     second = {
-        (0, 0): -hz, (0, 1): -(z * hz + h), (0, 2): hs, (0, 3): ht, (1, 1): -z * (z * hz + h), (1, 2): z * hs,
+        (0, 0): -hz, (0, 1): -F.col("zh"), (0, 2): F.col("hs"), (0, 3): ht, (1, 1): -z * F.col("zh"), (1, 2): z * F.col("hs"),
         (1, 3): z * ht, (2, 2): F.lit(-1.0), (2, 3): -a, (3, 3): -a * (a + r),
     }
-    return -F.log(root) - 0.5 * r * r, [h, h * z, -r, -r * a], second
+    return layers, -F.log(root) - 0.5 * r * r, [h, h * z, -r, -r * a], second
 
 
 def _johnson_norm(th: np.ndarray):
@@ -177,7 +178,7 @@ STATE = "th array<double>, best array<double>, ll double, dir array<double>, siz
 def fit_families(ties: DataFrame, by: list[str], families: list[Family], passes: int = PASSES, tol: float = TOLERANCE) -> DataFrame:
     """Per key: n and, per family, a struct with its best parameters `best`, log likelihood, change and
     rounds. All families advance by one Newton step in each pass over the data."""
-    m, x = F.col("m"), F.col("x")
+    m = F.col("m")
 
     def opening(f: Family) -> Column:
         zeros = F.array(*[F.lit(0.0)] * f.size)
@@ -190,8 +191,10 @@ def fit_families(ties: DataFrame, by: list[str], families: list[Family], passes:
     state = cut(_start(ties, by).select(*by, "n", *[opening(f) for f in families]))
     ddl = _ddl(ties, by) + "n double, " + ", ".join(f"{f.name} struct<{STATE}>" for f in families)
 
+    layers = [layer for f in families for layer in f.terms()[0]]
+
     def sums(f: Family) -> list[Column]:
-        value, score, second = f.terms(F.col(f"{f.name}.th"), x)
+        _, value, score, second = f.terms()
         out = [F.sum(m * value).alias(f"{f.name}_value")]
         out += [F.sum(m * s).alias(f"{f.name}_g{i}") for i, s in enumerate(score)]
         return out + [F.sum(m * second[p]).alias(f"{f.name}_h{k}") for k, p in enumerate(f.pairs)]
@@ -210,9 +213,15 @@ def fit_families(ties: DataFrame, by: list[str], families: list[Family], passes:
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[*by, "n", *[f.name for f in families]])
 
+    # Built once: the passes differ only in the table of states.
+    totals = [c for f in families for c in sums(f)]
+    held = [F.col(f"`{b}`") for b in by] + [F.struct(f"{f.name}.th").alias(f.name) for f in families]
     going = F.greatest(F.lit(0.0), *[F.col(f"{f.name}.change") for f in families])
     for _ in range(passes):
-        stats = ties.join(state.drop("n"), by).groupBy(*by).agg(*[c for f in families for c in sums(f)])
+        rows = ties.join(state.select(*held), by)
+        for layer in layers:
+            rows = rows.withColumns(layer)
+        stats = rows.groupBy(*by).agg(*totals)
         state = cut(stats.join(state, by).mapInPandas(step, ddl))
         if (state.agg(F.max(going)).head()[0] or 0.0) < tol**2:
             break

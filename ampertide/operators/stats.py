@@ -86,38 +86,70 @@ def trim(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
 def rolling_moments(
     df: DataFrame, cols: list[str], lookback: int, by: list[str], day: str = "delivery_date"
 ) -> DataFrame:
-    """Mean and sample covariance over the previous `lookback` days per key and day.
-
-    Rows collapse to daily sums first; the window then runs over one row per day,
-    so its partitions are bounded by the calendar. Values are centred per key before they
-    are squared and summed: a large common level does not cancel the digits of the spread."""
+    """Mean and sample covariance over the previous `lookback` days per key and day, from the rows that
+    have all of `cols`.
+
+    Rows collapse to daily (n, means, co-moments) first; what follows has one row per calendar day. The calendar
+    is cut into blocks of `lookback` days, so that a frame is the end of one block and the beginning of
+    the next: both are growing sums within a block, about the block's own mean, and one merge
+    gives the frame. The work is linear in days whatever the lookback, and nothing is subtracted
+    from a running total."""
     by = list(by)
-    level = [F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(cols)]
-    # One row per key; as a written table its size is known to the join.
-    levels = cut(df.groupBy(*by).agg(*level))
-    if by:
-        df = join_null_safe(df, levels, by)
-    else:
-        df = df.withColumns({c: levels.select(c).scalar() for c in levels.columns})
-    x = [F.col(c).cast("double") - F.col(f"_m{i}") for i, c in enumerate(cols)]
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    daily = df.groupBy(*by, day).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(len(cols))],
-        *[F.sum(x[i]).alias(f"_s{i}") for i in range(len(cols))],
-        *[F.sum(x[i] * x[j]).alias(f"_p{i}_{j}") for i, j in pairs],
+    k = range(len(cols))
+    pairs = list(combinations_with_replacement(k, 2))
+    have = F.lit(True)
+    for c in cols:
+        have = have & F.col(c).isNotNull()
+    x = [F.when(have, F.col(c).cast("double")) for c in cols]
+    zero = F.lit(0.0)
+    daily = cut(
+        df.groupBy(*by, day).agg(
+            F.count(F.when(have, 1)).alias("_n"), *[F.coalesce(F.avg(x[i]), zero).alias(f"_m{i}") for i in k],
+            *[F.coalesce(F.covar_pop(x[i], x[j]) * F.count(x[i]), zero).alias(f"_q{i}_{j}") for i, j in pairs],
+        ).withColumn("_d", F.unix_date(day))
+    )
+    span = daily.groupBy(*by).agg((F.min("_d") - lookback).alias("lo"), F.max("_d").alias("hi"))
+    grid = span.select(*by, F.explode(F.sequence("lo", "hi")).alias("_d"))
+    grid = join_null_safe(grid, daily, [*by, "_d"], "left").withColumn("_b", F.floor(F.col("_d") / lookback))
+    block = W.partitionBy(*by, "_b")
+    n = F.coalesce("_n", F.lit(0))
+    grid = grid.withColumns({"_n": n, **{f"_c{i}": F.coalesce(F.sum(n * F.col(f"_m{i}")).over(block) / F.sum(n).over(block), zero) for i in k}})
+    off = [F.coalesce(F.col(f"_m{i}") - F.col(f"_c{i}"), zero) for i in k]
+    terms = {"n": F.col("_n"), **{f"s{i}": F.col("_n") * off[i] for i in k}}
+    terms |= {f"p{i}_{j}": F.coalesce(f"_q{i}_{j}", zero) + F.col("_n") * off[i] * off[j] for i, j in pairs}
+    centres = [F.col(f"_c{i}").alias(f"c{i}") for i in k]
+
+    def sums(order):
+        w = block.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return F.struct(*[F.sum(t).over(w).alias(name) for name, t in terms.items()], *centres)
+
+    grid = grid.select(*by, day, "_d", sums(F.col("_d")).alias("_head"), sums(F.desc("_d")).alias("_tail"))
+    along = W.partitionBy(*by).orderBy("_d")
+    # A frame that starts with a block is that block's own beginning alone.
+    tail = F.when(F.pmod("_d", F.lit(lookback)) != 0, F.lag("_tail", lookback).over(along))
+    out = grid.withColumns({"_a": tail, "_z": F.lag("_head", 1).over(along)}).filter(F.col(day).isNotNull())
+    n1, n2 = F.coalesce("_a.n", F.lit(0)), F.coalesce("_z.n", F.lit(0))
+    total = n1 + n2
+
+    def mean(side, m, i):
+        return F.when(m > 0, F.col(f"{side}.c{i}") + F.col(f"{side}.s{i}") / m)
+
+    def spread_(side, m, i, j):
+        return F.when(m > 0, F.col(f"{side}.p{i}_{j}") - F.col(f"{side}.s{i}") * F.col(f"{side}.s{j}") / m)
+
+    out = out.withColumns(
+        {"n": total, **{f"_x{i}": mean("_a", n1, i) for i in k}, **{f"_y{i}": mean("_z", n2, i) for i in k}}
     )
-    w = W.partitionBy(*by).orderBy(F.unix_date(day)).rangeBetween(-lookback, -1)
-    n = F.sum("_n").over(w)
-    s = [F.sum(f"_s{i}").over(w) for i in range(len(cols))]
-    return daily.select(
-        *by,
-        day,
-        F.coalesce(n, F.lit(0)).alias("n"),
-        *[(F.col(f"_m{i}") + s[i] / n).alias(f"mean_{i}") for i in range(len(cols))],
+    gap = [F.coalesce(F.col(f"_y{i}") - F.col(f"_x{i}"), zero) for i in k]
+    share = F.try_divide(n2, total)
+    return out.select(
+        *by, day, "n", *[F.coalesce(F.col(f"_x{i}") + gap[i] * share, f"_y{i}").alias(f"mean_{i}") for i in k],
         *[
-            ((F.sum(f"_p{i}_{j}").over(w) - s[i] * s[j] / n) / F.when(n > 1, n - 1)).alias(
-                f"cov_{i}_{j}"
-            )
+            F.when(
+                total > 1,
+                (F.coalesce(spread_("_a", n1, i, j), zero) + F.coalesce(spread_("_z", n2, i, j), zero) + gap[i] * gap[j] * n1 * share)
+                / (total - 1),
+            ).alias(f"cov_{i}_{j}")
             for i, j in pairs
         ],
     )

@@ -30,6 +30,34 @@ def test_correlation_far_from_zero(spark):
             assert got[a, b] == pytest.approx(-1.0 if (a == 2) != (b == 2) else 1.0, abs=1e-9)
 
 
+@pytest.mark.parametrize("lookback", [1, 14, 365])
+def test_rolling_moments_equal_brute_force_and_grow_only(spark, lookback):
+    rng = np.random.default_rng(lookback)
+    days = np.datetime64("2020-01-01") + np.sort(rng.choice(900, 260, replace=False))
+    d = pd.DataFrame({"k": rng.choice(["a", "b", None], 260), "delivery_date": days, "u": 1e9 + rng.normal(size=260), "v": rng.normal(size=260)})
+    d = pd.concat([d, d.assign(u=d.u + rng.normal(size=260))], ignore_index=True)
+    d.loc[rng.choice(len(d), 30), "v"] = None
+    frame = spark.createDataFrame(d.astype({"delivery_date": str}), "k string, delivery_date string, u double, v double")
+    frame = frame.withColumn("delivery_date", F.col("delivery_date").cast("date")).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    out = S.rolling_moments(frame, ["u", "v"], lookback, ["k"])
+    # No frame slides: every window grows from its start, or looks at one row.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan and f"-{lookback + 1}" not in plan
+    got = {(r.k, np.datetime64(r.delivery_date)): r for r in out.collect()}
+    assert len(got) == len({(a, b) for a, b in zip(d.k, d.delivery_date)})
+    for (k, day), r in got.items():
+        same = d.k.isna() if k is None else d.k == k
+        w = d[same & (d.delivery_date < day) & (d.delivery_date >= day - np.timedelta64(lookback, "D"))].dropna(subset=["u", "v"])
+        assert r.n == len(w)
+        if len(w):
+            assert r.mean_0 == pytest.approx(w.u.mean(), abs=1e-6) and r.mean_1 == pytest.approx(w.v.mean(), abs=1e-12)
+        if len(w) > 1:
+            c = np.cov(w.u - 1e9, w.v)
+            assert np.allclose([r.cov_0_0, r.cov_0_1, r.cov_1_1], [c[0, 0], c[0, 1], c[1, 1]], atol=1e-6)
+        else:
+            assert r.cov_0_0 is None
+
+
 def test_rolling_moments_far_from_zero(spark):
     rng = np.random.default_rng(2)
     day = dt.date(2024, 1, 1)

@@ -225,6 +225,47 @@ def test_marginal_fits_are_optimal(spark):
         assert np.abs(grad).max() < 0.5
 
 
+def test_both_families_need_few_passes_and_bounds_hold(spark):
+    rng = np.random.default_rng(21)
+    n = 3000
+    samples = {
+        0: rng.standard_t(3, n), 1: rng.normal(7, 3, n), 2: 1e6 + 50 * rng.standard_t(6, n), 3: np.exp(rng.normal(0, 0.6, n)),
+        4: np.sinh((rng.normal(0, 1, n) + 0.7) / 1.3) * 4 - 2,
+    }
+    d = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "x": x}) for k, x in samples.items()]))
+    fits = A.fit_families(A._ties(d, "x", ["k"]), ["k"], [A.student(50.0), A.JOHNSON]).toPandas().set_index("k")
+    for k, x in samples.items():
+        t, j = fits.student[k], fits.johnson[k]
+        assert t["rounds"] <= 12 and j["rounds"] <= 12 and max(t["change"], j["change"]) < A.TOLERANCE**2
+        loc, ls, ln = t["best"]
+
+        def t_ll(loc, ls, ln):
+            nu = np.exp(ln)
+            z = (x - loc) / np.exp(ls)
+            return (special.student_log_norm(nu) - ls - 0.5 * (nu + 1) * np.log1p(z * z / nu)).sum()
+
+        top = t_ll(loc, ls, ln)
+        assert t["ll"] == pytest.approx(top, rel=1e-9)
+        for a, b, c in [(0.02, 0, 0), (0, 0.02, 0), (0, 0, 0.05)]:
+            for s in (-1, 1):
+                if ln + s * c <= np.log(50.0):
+                    assert t_ll(loc + s * a * np.exp(ls), ls + s * b, ln + s * c) < top + 1e-6
+        grad = G.johnson_score(x, j["best"][0], j["best"][1], j["best"][2], j["best"][3]).sum(axis=0)
+        grad[0] *= np.exp(j["best"][1])
+        assert np.abs(grad).max() < 0.5
+    assert np.exp(fits.student[1]["best"][2]) == pytest.approx(50.0)  # normal data: held by the bound
+
+
+def test_psi_values():
+    assert special.psi(1.0) == pytest.approx(-0.5772156649015329, abs=1e-12)
+    assert special.psi(0.5, 1) == pytest.approx(np.pi**2 / 2, abs=1e-10)
+    nu = np.array([0.3, 2.0, 40.0])
+    first, second = special.student_log_norm_slopes(nu)
+    h = 1e-4
+    up, mid, down = (special.student_log_norm(nu + s) for s in (h, 0, -h))
+    assert np.allclose(first, (up - down) / (2 * h), rtol=1e-5) and np.allclose(second, (up - 2 * mid + down) / h**2, rtol=1e-3, atol=1e-6)
+
+
 def test_a_fit_does_not_depend_on_how_a_key_is_split(spark):
     x = np.random.default_rng(14).standard_t(5, 600)
     d = spark.createDataFrame(pd.DataFrame({"k": 0, "x": x}))
