@@ -91,6 +91,7 @@ def _flat(params):
         F.get("mu_scaled", F.lit(0)).alias("mu_0"),
         F.get(F.get("Sigma_scaled", F.lit(0)), F.lit(0)).alias("sigma_00"),
         F.get("scaler_mean", F.lit(0)).alias("mean_0"), F.get("scaler_scale", F.lit(0)).alias("scale_0"),
+        "converged", "rounds",
     )
 
 
@@ -244,7 +245,7 @@ def _m12n(spark, sf):
 def _m13(spark, sf):
     rows, feats = model_rows(spark, sf)
     fit = G.fit_trade_logit(rows, feats, 20, 10)
-    return fit.select("delivery_date", "delivery_hour", "n", "logit_ok", F.get("logit_beta", F.lit(0)).alias("b0"))
+    return fit.select("delivery_date", "delivery_hour", "n", "logit_ok", F.get("logit_beta", F.lit(0)).alias("b0"), "converged", "rounds")
 
 
 @query("m14_logit_path_bic")
@@ -255,13 +256,13 @@ def _m14(spark, sf):
     )
     cs = [10.0 ** (-4 + 0.5 * i) for i in range(15)]
     path = L.logit_path_bic(d, "y", ["price", "qty_mw", "hour", "duration_min"], cs, ["duration_min"])
-    return path.select("duration_min", "C", "n", "log_lik", "bic", F.get("beta", F.lit(1)).alias("b1"))
+    return path.select("duration_min", "C", "n", "log_lik", "bic", F.get("beta", F.lit(1)).alias("b1"), "converged", "rounds")
 
 
 @query("m15_lasso_path")
 def _m15(spark, sf):
     path = L.lasso_path(matrix(spark, sf), "x0", XS[1:], ["l_returnflag"])
-    return path.select("l_returnflag", "step", "lam", "rss", "bic", "n_active")
+    return path.select("l_returnflag", "step", "lam", "rss", "bic", "n_active", "converged", "rounds")
 
 
 @query(

@@ -102,15 +102,15 @@ def soft(x, t):
     return np.sign(x) * np.maximum(np.abs(x) - t, 0.0)
 
 
-def descend(g, xy, beta, lam, free, lower=None, upper=None, tol=1e-4, max_iter=1000):
-    """Coordinate descent on a Gram matrix from `beta`. A full sweep comes first;
-    later sweeps visit the active set, and a last full sweep confirms it."""
+def descend_sweeps(g, xy, beta, lam, free, lower=None, upper=None, tol=1e-4, max_iter=1000):
+    """(beta, sweeps, converged) of coordinate descent on a Gram matrix from `beta`. A full sweep
+    comes first; later sweeps visit the active set, and a last full sweep confirms it."""
     beta = beta.copy()
     lo = np.full(len(beta), -np.inf) if lower is None else lower
     hi = np.full(len(beta), np.inf) if upper is None else upper
     resid = xy - g @ beta
     full = True
-    for _ in range(max_iter):
+    for sweep in range(1, max_iter + 1):
         move = 0.0
         for j in range(len(beta)):
             if g[j, j] <= 0 or not (full or beta[j] != 0):
@@ -124,9 +124,13 @@ def descend(g, xy, beta, lam, free, lower=None, upper=None, tol=1e-4, max_iter=1
                 move = max(move, abs(step))
         done = move <= tol * max(np.abs(beta).max(), 1e-12)
         if done and full:
-            break
+            return beta, sweep, True
         full = done
-    return beta
+    return beta, max_iter, False
+
+
+def descend(*args, **kwargs):
+    return descend_sweeps(*args, **kwargs)[0]
 
 
 def lambda_grid(g, xy, free, n_lambda=100, eps=1e-4):
@@ -139,16 +143,19 @@ def lambda_grid(g, xy, free, n_lambda=100, eps=1e-4):
     return np.geomspace(max(top, 1e-12), max(top, 1e-12) * eps, n_lambda)
 
 
-def path_on_gram(g, xy, free, n_lambda=100, eps=1e-4, start=None, lower=None, upper=None, tol=1e-6):
+def path_on_gram(g, xy, free, n_lambda=100, eps=1e-4, start=None, lower=None, upper=None, tol=1e-6, max_iter=1000):
+    """(lambdas, betas, sweeps, converged), one of each per step."""
     lams = lambda_grid(g, xy, free, n_lambda, eps)
     beta = np.zeros(len(xy))
-    out = []
+    out, sweeps, ended = [], [], []
     for i, lam in enumerate(lams):
         if start is not None and i < len(start):
             beta = np.asarray(start[i], float)
-        beta = descend(g, xy, beta, lam, free, lower, upper, tol)
+        beta, n, done = descend_sweeps(g, xy, beta, lam, free, lower, upper, tol, max_iter)
         out.append(beta)
-    return lams, np.array(out)
+        sweeps.append(n)
+        ended.append(done)
+    return lams, np.array(out), np.array(sweeps), np.array(ended)
 
 
 def gram_arrays(stats: DataFrame, k: int) -> DataFrame:
@@ -167,10 +174,10 @@ def _unpack(tri, k):
 
 def path_from_gram(
     stats: DataFrame, k: int, by: list[str], free: list[bool], n_lambda=100, eps=1e-4,
-    lower: list[float] | None = None, upper: list[float] | None = None, start: str | None = None,
+    lower: list[float] | None = None, upper: list[float] | None = None, start: str | None = None, max_iter: int = 1000,
 ) -> DataFrame:
-    """Lasso path per key from one row of sufficient statistics: lambda, beta, RSS
-    and BIC for each step. `start` names an array column with a previous path."""
+    """Lasso path per key from one row of sufficient statistics: lambda, beta, RSS,
+    BIC, converged and rounds (sweeps) for each step. `start` names an array column with a previous path."""
     free_ = np.array(free)
     lo = None if lower is None else np.array(lower, float)
     hi = None if upper is None else np.array(upper, float)
@@ -182,22 +189,20 @@ def path_from_gram(
             for r in pdf.to_dict("records"):
                 g, xy = _unpack(r["g"], k), np.asarray(r["xy"], float)
                 prev = r.get(start) if start else None
-                lams, betas = path_on_gram(g, xy, free_, n_lambda, eps, prev, lo, hi)
+                lams, betas, sweeps, done = path_on_gram(g, xy, free_, n_lambda, eps, prev, lo, hi, max_iter=max_iter)
                 rss = r["yy"] - 2 * betas @ xy + np.einsum("li,ij,lj->l", betas, g, betas)
                 rss = np.maximum(rss, 1e-300)
                 size = (np.abs(betas) > 1e-8).sum(1)
                 n = float(r["n"])
                 bic = n * np.log(rss / n) + size * np.log(n)
                 for i in range(len(lams)):
-                    rows.append([r[b] for b in by] + [i, lams[i], betas[i].tolist(), rss[i], bic[i], int(size[i])])
-            yield pd.DataFrame(rows, columns=by + ["step", "lam", "beta", "rss", "bic", "n_active"])
+                    rows.append([r[b] for b in by] + [i, lams[i], betas[i].tolist(), rss[i], bic[i], int(size[i]), bool(done[i]), int(sweeps[i])])
+            yield pd.DataFrame(rows, columns=by + ["step", "lam", "beta", "rss", "bic", "n_active", "converged", "rounds"])
 
     keys = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in stats.schema.fields if f.name in by)
-    return gram_arrays(stats, k).mapInPandas(
-        run, keys + "step int, lam double, beta array<double>, rss double, bic double, n_active int"
-    ) if "g" not in stats.columns else stats.mapInPandas(
-        run, keys + "step int, lam double, beta array<double>, rss double, bic double, n_active int"
-    )
+    ddl = "step int, lam double, beta array<double>, rss double, bic double, n_active int, converged boolean, rounds int"
+    packed = stats if "g" in stats.columns else gram_arrays(stats, k)
+    return packed.mapInPandas(run, keys + ddl)
 
 
 def lasso_path(
@@ -229,7 +234,8 @@ def logit_path_bic(
     Each round is one pass over the data: a task turns its rows into weighted Gram
     sums for all C at once, Spark adds them, and a proximal Newton step updates
     the small coefficient table. Key sizes are unbounded; nothing is collected but
-    the largest change."""
+    the largest change. A C that has converged keeps its coefficients and takes no further part in a
+    key's passes; `rounds` counts those it took."""
     by = list(by)
     key = by or ["_all"]
     d = df.select(*by, F.col(y).cast("double").alias("_y"), *xs).na.drop()
@@ -250,23 +256,23 @@ def logit_path_bic(
     tri = np.triu_indices(p)
     key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in data.schema.fields if f.name in key)
 
+    width = len(tri[0]) + p + 2
+    cols = [f"v{i}" for i in range(width)]
+
     def partial(batches):
+        """One row of sums per key and open C of a batch."""
         for pdf in batches:
+            out = []
             for kv, part in pdf.groupby(key, sort=False):
                 x = np.stack([np.asarray(v, float) for v in part["_x"]])
                 t = part["_y"].to_numpy(float)
-                b = np.stack([np.asarray(v, float) for v in part["beta"].iloc[0]])
-                eta = np.clip(x @ b.T, -30, 30)
-                pr = 1.0 / (1.0 + np.exp(-eta))
-                ll = (t[:, None] * eta - np.logaddexp(0.0, eta)).sum(0)
-                wt = pr * (1.0 - pr)
-                for c in range(nc):
-                    g = (x * wt[:, c : c + 1]).T @ x
-                    grad = x.T @ (t - pr[:, c])
-                    v = np.concatenate([g[tri], grad, [ll[c], len(t)]])
-                    yield pd.DataFrame(
-                        {**{k_: [q] * len(v) for k_, q in zip(key, kv)}, "c": c, "pos": np.arange(len(v)), "v": v}
-                    )
+                for c, beta in zip(part["cs"].iloc[0], part["betas"].iloc[0]):
+                    eta = np.clip(x @ np.asarray(beta, float), -30, 30)
+                    pr = 1.0 / (1.0 + np.exp(-eta))
+                    g = (x * (pr * (1.0 - pr))[:, None]).T @ x
+                    ll = (t * eta - np.logaddexp(0.0, eta)).sum()
+                    out.append([*kv, c, *g[tri], *(x.T @ (t - pr)), ll, len(t)])
+            yield pd.DataFrame(out, columns=[*key, "c", *cols])
 
     free = np.array([True] + [False] * (p - 1))
 
@@ -274,43 +280,48 @@ def logit_path_bic(
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                v = np.asarray(r["v"], float)
+                old, best = np.asarray(r["beta"], float), np.asarray(r["best"], float)
+                tail = [r["rounds"] + 1]
+                if np.isnan(r["v0"]):  # converged in an earlier round
+                    rows.append([*[r[q] for q in (*key, "c", "beta", "best", "obj", "ll", "n", "change", "rounds")]])
+                    continue
+                v = np.array([r[q] for q in cols])
                 g = _unpack(v[: len(tri[0])], p) + 1e-9 * np.eye(p)
                 grad, ll, n = v[len(tri[0]) : -2], v[-2], v[-1]
-                old = np.asarray(r["beta"], float)
-                best = np.asarray(r["best"], float)
                 obj = -ll + np.abs(old[1:]).sum() / c_arr[r["c"]]
                 if obj > r["obj"] + 1e-10 * abs(r["obj"]):
                     # The last step went too far: halve it from the best point.
                     new = best + 0.5 * (old - best)
-                    rows.append([*[r[k_] for k_ in key], r["c"], new.tolist(), best.tolist(), r["obj"], r["ll"], n,
-                                 float(np.abs(new - best).max())])
+                    rows.append([*[r[q] for q in key], r["c"], new.tolist(), best.tolist(), r["obj"], r["ll"], n,
+                                 float(np.abs(new - best).max()), *tail])
                     continue
                 new = descend(g, grad + g @ old, old, 1.0 / c_arr[r["c"]], free, tol=1e-8)
-                rows.append([*[r[k_] for k_ in key], r["c"], new.tolist(), old.tolist(), obj, ll, n,
-                             float(np.abs(new - old).max())])
-            yield pd.DataFrame(rows, columns=[*key, "c", "beta", "best", "obj", "ll", "n", "change"])
+                rows.append([*[r[q] for q in key], r["c"], new.tolist(), old.tolist(), obj, ll, n,
+                             float(np.abs(new - old).max()), *tail])
+            yield pd.DataFrame(rows, columns=[*key, "c", "beta", "best", "obj", "ll", "n", "change", "rounds"])
 
-    state_ddl = key_ddl + "c int, beta array<double>, best array<double>, obj double, ll double, n double, change double"
+    state_cols = "c int, beta array<double>, best array<double>, obj double, ll double, n double, change double, rounds int"
     zeros = F.array_repeat(F.lit(0.0), p)
     state = cut(data.select(*key).distinct()).select(
         *key, F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("c"),
         zeros.alias("beta"), zeros.alias("best"), F.lit(float("inf")).alias("obj"),
-    ).withColumn("ll", F.lit(0.0))
+    ).withColumns({"ll": F.lit(0.0), "n": F.lit(0.0), "change": F.lit(float("inf")), "rounds": F.lit(0)})
+    sums_ddl = key_ddl + "c int, " + ", ".join(f"{c} double" for c in cols)
+    totals = [F.sum(c).alias(c) for c in cols]
     for _ in range(rounds):
-        current = state.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "beta"))).alias("_b"))
-        current = current.select(*key, F.transform("_b", lambda e: e["beta"]).alias("beta"))
-        sums = data.join(current, key).mapInPandas(partial, key_ddl + "c int, pos int, v double")
-        total = sums.groupBy(*key, "c", "pos").agg(F.sum("v").alias("v"))
-        packed = total.groupBy(*key, "c").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_v"))
-        packed = packed.select(*key, "c", F.transform("_v", lambda e: e["v"]).alias("v"))
-        state = cut(packed.join(state.select(*key, "c", "beta", "best", "obj", "ll"), [*key, "c"]).mapInPandas(update, state_ddl))
-        if state.agg(F.max("change")).head()[0] < tol:
+        going = state.filter(F.col("change") >= tol)
+        current = going.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("c", "beta"))).alias("_b"))
+        current = current.select(
+            *key, F.transform("_b", lambda e: e["c"]).alias("cs"), F.transform("_b", lambda e: e["beta"]).alias("betas")
+        )
+        total = data.join(current, key).mapInPandas(partial, sums_ddl).groupBy(*key, "c").agg(*totals)
+        state = cut(state.join(total, [*key, "c"], "left").mapInPandas(update, key_ddl + state_cols))
+        if (state.agg(F.max("change")).head()[0] or 0.0) < tol:
             break
     c_col = F.get(F.array(*[F.lit(float(c)) for c in cs]), F.col("c"))
     n_free = F.size(F.filter("best", lambda b: F.abs(b) > 1e-8)).cast("double")
     n_par = n_free + F.when(F.abs(F.get("best", F.lit(0))) > 1e-8, 0.0).otherwise(1.0)
     return state.select(
         *by, c_col.alias("C"), F.col("best").alias("beta"), F.col("ll").alias("log_lik"), F.col("n").cast("long").alias("n"),
-        (-2.0 * F.col("ll") + n_par * F.log("n")).alias("bic"), (F.col("change") < tol).alias("converged"),
+        (-2.0 * F.col("ll") + n_par * F.log("n")).alias("bic"), (F.col("change") < tol).alias("converged"), "rounds",
     )

@@ -57,7 +57,8 @@ def _distance(z, mu, sigma):
 
 def fit_windows(x: np.ndarray, m: np.ndarray, method: str, tol=1e-6, max_iter=200) -> dict:
     """Fits one t distribution per row of the 0/1 window matrix m (fits x rows) to the
-    rows of x, all fits at once; each on its own standardised scale."""
+    rows of x, all fits at once; each on its own standardised scale. `rounds` and
+    `converged` say how each one ended."""
     p = x.shape[1]
     n = m.sum(1)
     center = x.mean(0)
@@ -73,6 +74,7 @@ def fit_windows(x: np.ndarray, m: np.ndarray, method: str, tol=1e-6, max_iter=20
     k = (m * dist**2).sum(1) / n / (p * (p + 2))
     nu = np.where(k > 1 + 1e-9, (4 * k - 2) / np.where(k > 1 + 1e-9, k - 1, 1.0), np.inf)
     mu = np.zeros((len(m), p))
+    rounds, converged = np.zeros(len(m), int), np.ones(len(m), bool)
     if method == "mardia":
         shrink = np.where(np.isfinite(nu) & (nu > 2), (nu - 2) / np.where(np.isfinite(nu), nu, 1.0), 1.0)
         sigma = s * shrink[:, None, None]
@@ -102,27 +104,32 @@ def fit_windows(x: np.ndarray, m: np.ndarray, method: str, tol=1e-6, max_iter=20
             mu[live], sigma[live], nu[live] = mu_l, sig_l, nu_l
             going = np.abs(ll - prev[live]) / (1.0 + np.abs(prev[live])) >= tol
             prev[live] = ll
+            rounds[live] = it + 1
             live = live[going]
             if not len(live):
                 break
+        converged[live] = False
         _, d2 = _distance(z, mu, sigma)
         nu = _best_nu(d2, m, nu, p, 1.5, 28)
     else:
         raise ValueError("method is 'ecm' or 'mardia'")
-    return {"n": n, "mu": mu, "sigma": sigma, "s": s, "nu": nu, "mean": mean + center, "sd": sd}
+    return {"n": n, "mu": mu, "sigma": sigma, "s": s, "nu": nu, "mean": mean + center, "sd": sd, "converged": converged, "rounds": rounds}
 
 
-def _group_fit(names, lookback, block_days, method, first_day, last_day):
+def _group_fit(names, lookback, block_days, method, first_day, last_day, max_iter):
     p = len(names)
     epoch = dt.date(1970, 1, 1)
 
-    def row(day, hour, wh, n, ok, err, fit=None, b=0):
-        base = [epoch + dt.timedelta(int(day)), int(hour), int(wh), method, ok, err]
+    def row(day, hour, wh, n, err, fit=None, b=0):
+        if fit is not None and not fit["converged"][b]:
+            err = f"no convergence in {max_iter} rounds"
+        base = [epoch + dt.timedelta(int(day)), int(hour), int(wh), method, err is None, err]
         if fit is None:
-            return base + [None, int(n), p, names, None, None, None, None, None]
+            return base + [None, int(n), p, names, None, None, None, None, None, None, None]
         return base + [
             float(fit["nu"][b]), int(n), p, names, fit["mu"][b].tolist(), fit["sigma"][b].tolist(),
             fit["s"][b].tolist(), fit["mean"][b].tolist(), fit["sd"][b].tolist(),
+            bool(fit["converged"][b]), int(fit["rounds"][b]),
         ]
 
     def run(key, pdf):
@@ -133,20 +140,20 @@ def _group_fit(names, lookback, block_days, method, first_day, last_day):
         x = pdf[names].to_numpy(float)
         m = ((d[None] < own[:, None]) & (d[None] >= own[:, None] - lookback)).astype(float)
         enough = m.sum(1) >= p + 2
-        out = [row(t, hour, wh, c, False, "too few samples") for t, c in zip(own[~enough], m[~enough].sum(1))]
+        out = [row(t, hour, wh, c, "too few samples") for t, c in zip(own[~enough], m[~enough].sum(1))]
         own, m = own[enough], m[enough]
         if len(own):
             try:
-                fit = fit_windows(x, m, method)
-                out += [row(t, hour, wh, m[b].sum(), True, None, fit, b) for b, t in enumerate(own)]
+                fit = fit_windows(x, m, method, max_iter=max_iter)
+                out += [row(t, hour, wh, m[b].sum(), None, fit, b) for b, t in enumerate(own)]
             except np.linalg.LinAlgError:
                 # One singular window must not fail its neighbours.
                 for b, t in enumerate(own):
                     try:
-                        fit = fit_windows(x, m[b : b + 1], method)
-                        out.append(row(t, hour, wh, m[b].sum(), True, None, fit, 0))
+                        fit = fit_windows(x, m[b : b + 1], method, max_iter=max_iter)
+                        out.append(row(t, hour, wh, m[b].sum(), None, fit, 0))
                     except np.linalg.LinAlgError as e:
-                        out.append(row(t, hour, wh, m[b].sum(), False, str(e)))
+                        out.append(row(t, hour, wh, m[b].sum(), str(e)))
         return pd.DataFrame(out, columns=[f.split()[0] for f in PARAMS.split(", ")])
 
     return run
@@ -161,9 +168,13 @@ def fit_mvt(
     extra_day: bool = False,
     first_day: str | None = None,
     last_day: str | None = None,
+    max_iter: int = 200,
 ) -> DataFrame:
     """One fit per (date, hour, horizon) on the rows of the `lookback` days before.
 
+    A fit that has not converged after `max_iter` rounds keeps its parameters, but is not
+    ok and says so: forecasts do not use it.
+
     `rows` is unique on (delivery_date, delivery_hour, wh, ts), as mvt_features makes
     it, so a group of (hour, horizon, day block) holds at most (lookback +
     block_days) days of bins whatever the data volume."""
@@ -172,7 +183,7 @@ def fit_mvt(
     epoch = dt.date(1970, 1, 1)
     lo = (dt.date.fromisoformat(first_day) - epoch).days if first_day else -(10**9)
     hi = (dt.date.fromisoformat(last_day) - epoch).days if last_day else 10**9
-    fn = _group_fit(list(names), span, block_days, method, lo, hi)
+    fn = _group_fit(list(names), span, block_days, method, lo, hi, max_iter)
     pruned = blocks.select(
         "delivery_hour", "wh", "block", F.unix_date("delivery_date").alias("d"), *names
     )

@@ -42,5 +42,6 @@ PARAMS = (
     "date date, hour int, which_hour_before int, method string, calibration_ok boolean, "
     "error string, df double, n long, p int, feature_names array<string>, "
     "mu_scaled array<double>, Sigma_scaled array<array<double>>, "
-    "S_sample_scaled array<array<double>>, scaler_mean array<double>, scaler_scale array<double>"
+    "S_sample_scaled array<array<double>>, scaler_mean array<double>, scaler_scale array<double>, "
+    "converged boolean, rounds int"
 )

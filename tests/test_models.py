@@ -89,6 +89,30 @@ def test_early_days_report_failure(spark):
     assert got[0].error == "too few samples"
 
 
+def test_fits_say_when_they_stop_short(spark):
+    rows, _ = _panel(spark, days=8)
+    got = M.fit_mvt(rows, ["y", "a", "b"], 10, "ecm", 4, max_iter=1).filter("rounds IS NOT NULL").collect()
+    assert got and all(not r.converged and not r.calibration_ok and r.rounds == 1 and r.df is not None for r in got)
+    assert got[0].error == "no convergence in 1 rounds"
+    full = M.fit_mvt(rows, ["y", "a", "b"], 10, "ecm", 4).filter("rounds IS NOT NULL").collect()
+    assert all(r.converged == r.calibration_ok and 1 <= r.rounds <= 200 for r in full) and any(r.converged for r in full)
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(300), rng.normal(size=(300, 3))])
+    t = (rng.random(300) < 1 / (1 + np.exp(-x @ [0.2, 1.0, -2.0, 0.0]))).astype(float)
+    beta, done, rounds = G.fit_l1_logit(x, t, 5.0, rounds=1)
+    assert not done and rounds == 1
+    beta, done, rounds = G.fit_l1_logit(x, t, 5.0)
+    assert done and 1 < rounds < 50
+    d = spark.createDataFrame(pd.DataFrame(x[:, 1:], columns=["a", "b", "c"]).assign(y=t, k=1))
+    short = L.logit_path_bic(d, "y", ["a", "b", "c"], [0.1, 10.0], ["k"], rounds=1).collect()
+    assert len(short) == 2 and all(not r.converged and r.rounds == 1 for r in short)
+    path = L.logit_path_bic(d, "y", ["a", "b", "c"], [0.01, 0.1, 10.0], ["k"]).collect()
+    assert all(r.converged and r.rounds <= 30 and r.n == 300 for r in path) and len({r.rounds for r in path}) > 1
+    lasso = L.lasso_path(d, "a", ["b", "c"], ["k"], max_iter=1).collect()
+    assert not any(r.converged for r in lasso if r.n_active > 1) and all(r.rounds == 1 for r in lasso)
+    assert all(r.converged for r in L.lasso_path(d, "a", ["b", "c"], ["k"]).collect())
+
+
 def test_covariance_of_a_fit(spark):
     rows, _ = _panel(spark)
     params = M.fit_mvt(rows, ["y", "a", "b"], 10, "mardia", 4).filter("calibration_ok AND df > 2").limit(1)
@@ -139,7 +163,8 @@ def test_lasso_path_is_optimal():
     y = 1 + x[:, 1] - 2 * x[:, 3] + 0.3 * rng.normal(size=200)
     g, xy = x.T @ x, x.T @ y
     free = np.array([True] + [False] * 5)
-    lams, path = L.path_on_gram(g, xy, free, tol=1e-10)
+    lams, path, _, done = L.path_on_gram(g, xy, free, tol=1e-10)
+    assert done.all()
     assert np.abs(path[0][1:]).max() < 1e-8
     for lam, b in zip(lams, path):
         grad = xy - g @ b
@@ -229,7 +254,7 @@ def test_both_families_need_few_passes_and_bounds_hold(spark):
     rng = np.random.default_rng(21)
     n = 3000
     samples = {
-        0: rng.standard_t(3, n), 1: rng.normal(7, 3, n), 2: 1e6 + 50 * rng.standard_t(6, n), 3: np.exp(rng.normal(0, 0.6, n)),
+        0: rng.standard_t(3, n), 1: rng.normal(7, 3, n), 2: 1e6 + 50 * rng.standard_t(6, n), 3: 300 - 0.01 * np.sinh((rng.normal(0, 1, n) - 1.5) / 2.0),
         4: np.sinh((rng.normal(0, 1, n) + 0.7) / 1.3) * 4 - 2,
     }
     d = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "x": x}) for k, x in samples.items()]))
@@ -252,7 +277,8 @@ def test_both_families_need_few_passes_and_bounds_hold(spark):
                     assert t_ll(loc + s * a * np.exp(ls), ls + s * b, ln + s * c) < top + 1e-6
         grad = G.johnson_score(x, j["best"][0], j["best"][1], j["best"][2], j["best"][3]).sum(axis=0)
         grad[0] *= np.exp(j["best"][1])
-        assert np.abs(grad).max() < 0.5
+        # Normal data have no best tail: there only the promised gain is small.
+        assert k == 1 or np.abs(grad).max() < 0.5
     assert np.exp(fits.student[1]["best"][2]) == pytest.approx(50.0)  # normal data: held by the bound
 
 

@@ -90,8 +90,8 @@ def test_parameter_status(spark, tmp_path):
     from ampertide.schema import PARAMS
 
     day = dt.date(2024, 1, 1)
-    ok = (day, 1, 2, "ecm", True, None, 5.0, 9, 1, ["y"], [0.0], [[1.0]], [[1.0]], [0.0], [1.0])
-    bad = (day, 2, 2, "ecm", False, "singular", *[None] * 9)
+    ok = (day, 1, 2, "ecm", True, None, 5.0, 9, 1, ["y"], [0.0], [[1.0]], [[1.0]], [0.0], [1.0], True, 4)
+    bad = (day, 2, 2, "ecm", False, "singular", *[None] * 11)
     O.save_params(spark.createDataFrame([ok, bad], PARAMS), str(tmp_path / "p"), {"a": 1})
     keys = spark.createDataFrame([(day, h, 2) for h in (1, 2, 3)], "date date, hour int, which_hour_before int")
     got = {r.hour: (r.status, r.error) for r in O.get_params(O.load_params(spark, str(tmp_path / "p")), keys).collect()}
