@@ -83,6 +83,27 @@ def _a11w(spark, sf):
     return R.error_by(R.normalize_predictions(scored(spark, sf)), ["source", "which_hour_before"])
 
 
+@query(
+    "a11_error_levels",
+    """SELECT CASE grouping_id(source, hour, which_hour_before) WHEN 1 THEN 'hour' WHEN 2 THEN 'horizon'
+         WHEN 0 THEN 'cell' ELSE 'model' END AS level, source, hour, which_hour_before, count(*) AS n,
+         avg(abs_error) AS "MAE", sqrt(avg(sq_error)) AS "RMSE"
+       FROM (SELECT source, CAST(hour AS INT) AS hour, CAST(which_hour_before AS INT) AS which_hour_before,
+         abs_error / 7.31 AS abs_error, sq_error / 7.31 AS sq_error FROM fx_scored)
+       GROUP BY GROUPING SETS ((source, hour), (source, which_hour_before), (source, hour, which_hour_before), (source))""",
+    ("fx_scored",),
+    ("MAE", "RMSE"),
+)
+def _a11l(spark, sf):
+    levels = {
+        "hour": ["source", "hour"], "horizon": ["source", "which_hour_before"], "cell": ["source", "hour", "which_hour_before"],
+        "model": ["source"],
+    }
+    # Divided, so that no mean ends on a rounding tie.
+    d = R.normalize_predictions(scored(spark, sf)).withColumns({c: F.col(c) / 7.31 for c in ("abs_error", "sq_error")})
+    return R.error_levels(d, levels)
+
+
 @query(
     "a12_summary_table",
     """SELECT source, avg(abs_error) AS "MAE", sqrt(avg(sq_error)) AS "RMSE", avg(log_score) AS "LogScore",

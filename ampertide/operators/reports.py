@@ -54,6 +54,23 @@ def error_by(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def error_levels(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """The tables of error_by for several sets of keys, in one scan: `level` names the set a row belongs
+    to, and keys outside of it are null. A null key of a level is a group of its own, told apart from a key
+    outside of it by the grouping id."""
+    keys = list(dict.fromkeys(k for ks in levels.values() for k in ks))
+    # Bit k - 1 - i of the grouping id is set where key i is outside of the set.
+    ids = {name: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks) for name, ks in levels.items()}
+    if len(set(ids.values())) < len(ids):
+        raise ValueError("two levels have the same keys")
+    out = df.groupingSets([[F.col(k) for k in ks] for ks in levels.values()], *[F.col(k) for k in keys]).agg(
+        F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("MAE"),
+        F.sqrt(F.greatest(F.avg("sq_error"), F.lit(0.0))).alias("RMSE"),
+    )
+    level = F.coalesce(*[F.when(F.col("_id") == i, name) for name, i in ids.items()])
+    return out.select(level.alias("level"), *keys, "n", "MAE", "RMSE")
+
+
 def model_order(source: str = "source") -> list[Column]:
     """Multivariate-t models first, then by name."""
     return [(~F.upper(F.col(source)).startswith("MVT")).asc(), F.col(source).asc()]

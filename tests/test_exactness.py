@@ -214,3 +214,22 @@ def test_study_starts_after_the_lookback(spark):
     assert M.effective_start(d, M.StudyConfig(lookback_days=4, first_day="2024-01-08")) == days[7]
     with pytest.raises(ValueError, match="no target day"):
         M.effective_start(d, M.StudyConfig(lookback_days=40))
+
+
+def test_error_levels_in_one_scan_keep_null_keys_apart(spark):
+    from ampertide.operators import reports as R
+
+    rows = [("m", 1, 1, 1.0), ("m", None, 1, 3.0), ("m", None, None, 5.0), ("q", 2, 4, 2.0)]
+    d = spark.createDataFrame(rows, "source string, hour int, which_hour_before int, abs_error double")
+    d = d.withColumn("sq_error", F.col("abs_error") ** 2)
+    levels = {"hour": ["source", "hour"], "horizon": ["source", "which_hour_before"], "model": ["source"], "all": []}
+    out = R.error_levels(d, levels)
+    got = {(r.level, r.source, r.hour, r.which_hour_before): (r.n, r.MAE) for r in out.collect()}
+    assert got == {
+        ("hour", "m", 1, None): (1, 1.0), ("hour", "m", None, None): (2, 4.0), ("hour", "q", 2, None): (1, 2.0),
+        ("horizon", "m", None, 1): (2, 2.0), ("horizon", "m", None, None): (1, 5.0), ("horizon", "q", None, 4): (1, 2.0),
+        ("model", "m", None, None): (3, 3.0), ("model", "q", None, None): (1, 2.0), ("all", None, None, None): (4, 2.75),
+    }
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    with pytest.raises(ValueError):
+        R.error_levels(d, {"a": ["source"], "b": ["source"]})
