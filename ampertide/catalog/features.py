@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock as C
 from ..functions.labels import complete_day_hours, interpolate_hours, unpivot_hours
-from ..functions.numeric import log1p_checked, safe_div, safe_inv
+from ..functions.numeric import guarded_ratio, guarded_reciprocal, log1p_checked
 from ..operators import features as X
 from ..operators.curves import merit_order_slope, slopes_for_bins, transformed_supply  # noqa: F401
 from . import views as V
@@ -243,7 +243,7 @@ def _f13(spark, sf):
 def _f20(spark, sf):
     p, q = F.col("price"), F.col("qty_mw")
     return V.trades(spark, sf).select(
-        "trade_id", safe_div(p, q).alias("ratio"), safe_inv(q).alias("inverse")
+        "trade_id", guarded_ratio(p, q).alias("ratio"), guarded_reciprocal(q).alias("inverse")
     )
 
 

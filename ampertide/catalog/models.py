@@ -22,7 +22,7 @@ from .registry import query
 from .stats import XS, matrix
 from .views import VIEW_SQL
 
-CFG = M.StudyConfig(lookback_days=14, block_days=7, current_lags=2, total_neighbors=2, prefer_before=1)
+CFG = M.StudyConfig(lookback_days=14, block_days=7, lags=P.LagDesign(own=2, run=2, ahead=1))
 
 
 def spread_panel(spark, sf):

@@ -9,18 +9,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def safe_div(num: Column, den: Column, eps: float = 1e-12, cap: float = 1e12) -> Column:
-    """num/den, or sign(num)*cap when the denominator vanishes."""
-    return F.when(F.abs(den) >= eps, num / F.when(F.abs(den) >= eps, den)).otherwise(
-        F.signum(num) * cap
-    )
+# Quotients over less than TINY are not formed; LIMIT stands for them.
+TINY, LIMIT = 1e-12, 1e12
 
 
-def safe_inv(x: Column, eps: float = 1e-12, cap: float = 1e12) -> Column:
-    """1/x, or +-cap near zero (zero itself gives +cap)."""
-    return F.when(F.abs(x) >= eps, 1.0 / F.when(F.abs(x) >= eps, x)).otherwise(
-        F.when(x < 0, F.lit(-cap)).otherwise(F.lit(cap))
-    )
+def _guarded_quotient(num: Column, den: Column, instead: Column) -> Column:
+    return F.coalesce(num / F.when(F.abs(den) >= TINY, den), instead)
+
+
+def guarded_ratio(num: Column, den: Column) -> Column:
+    """num / den; over a vanishing or missing den, LIMIT with the sign of num."""
+    return _guarded_quotient(num, den, F.signum(num) * LIMIT)
+
+
+def guarded_reciprocal(x: Column) -> Column:
+    """1 / x; of a vanishing or missing x, LIMIT with its sign (zero and null count as positive)."""
+    return _guarded_quotient(F.lit(1.0), x, F.when(x < 0, -LIMIT).otherwise(LIMIT))
 
 
 def clean_number(c: Column) -> Column:

@@ -345,10 +345,7 @@ class StudyConfig:
     window_minutes: int = 60
     horizons: tuple[int, ...] = (4, 3, 2, 1)
     lag_minutes: int = 15
-    current_lags: int = 3
-    total_neighbors: int = 4
-    prefer_before: int = 2
-    neighbor_lags: tuple[int, ...] = (1,)
+    lags: P.LagDesign = P.LagDesign()
     method: str = "ecm"
     block_days: int = 30
     first_day: str | None = None
@@ -357,9 +354,7 @@ class StudyConfig:
     designs: dict[int, dict[int, list[int]]] = field(default_factory=dict)
 
     def design(self, wh: int) -> dict[int, list[int]]:
-        return self.designs.get(wh) or P.product_lags(
-            wh, self.current_lags, self.total_neighbors, self.prefer_before, self.neighbor_lags
-        )
+        return self.designs.get(wh) or self.lags.columns(wh)
 
 
 def study_rows(df: DataFrame, cfg: StudyConfig) -> dict[int, tuple[list[str], DataFrame]]:

@@ -233,3 +233,16 @@ def test_error_levels_in_one_scan_keep_null_keys_apart(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     with pytest.raises(ValueError):
         R.error_levels(d, {"a": ["source"], "b": ["source"]})
+
+
+def test_lag_designs_are_one_run_of_deliveries():
+    from ampertide.operators.panel import LagDesign
+
+    design = LagDesign()
+    assert design.columns(1) == {0: [0, 1, 2, 3], 1: [1], 2: [1], 3: [1], 4: [1]}
+    assert design.columns(2) == {-1: [1], 0: [0, 1, 2, 3], 1: [1], 2: [1], 3: [1]}
+    assert design.columns(4) == {-2: [1], -1: [1], 0: [0, 1, 2, 3], 1: [1], 2: [1]}
+    assert LagDesign(own=0, run=1, ahead=2, steps=(3, 1, 3)).columns(9) == {-2: [1, 3], -1: [1, 3], 0: [0]}
+    for steps in ((), (0, 1)):
+        with pytest.raises(ValueError):
+            LagDesign(steps=steps)
