@@ -201,6 +201,21 @@ def normal_cdf(x: Column, mean: Column | float = 0.0, sd: Column | float = 1.0)
     return 0.5 * erfc(-((x - mean) / sd) / math.sqrt(2.0))
 
 
+def normal_quantile(u: Column) -> Column:
+    """Standard normal quantile: Newton steps on log cdf(z) = log u in the lower half, mirrored above.
+
+    The start -sqrt(-2 log u) lies left of the root and log cdf is concave, so the steps approach
+    from one side; eight reach rounding. Null outside (0, 1)."""
+    low = F.least(u, 1.0 - u)
+
+    def step(z, _):
+        # A one-element array binds the cdf, which is a long expression, once.
+        return F.transform(F.array(normal_cdf(z)), lambda c: z - (F.log(c) - F.log(low)) * c / normal_pdf(z))[0]
+
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(8)), -F.sqrt(-2.0 * F.log(low)), step)
+    return F.when((u > 0) & (u < 1), F.when(u < 0.5, z).otherwise(-z))
+
+
 _MIN_TAU = 0.07
 
 

@@ -140,6 +140,121 @@ def test_scores_are_derivatives(name):
         assert np.allclose(dist.curvature(y, th, k), bend, atol=1e-4, rtol=1e-4)
 
 
+@pytest.mark.parametrize("name", ["normal", "normal_var", "jsu", "jsu_native"])
+def test_second_derivatives_equal_differences_in_high_precision(name):
+    dist = G.DISTRIBUTIONS[name]()
+    y = np.random.default_rng(6).normal(size=40).astype(np.longdouble)
+    th = np.tile(np.array([0.3, 1.4, 0.5, 1.2][: len(dist.links)], dtype=np.longdouble), (40, 1))
+    eta = [ln.link(c) for ln, c in zip(dist.links, th.T)]
+    jet = dist.jet(y.astype(float), [e.astype(float) for e in eta])
+    h = np.longdouble(1e-3)
+
+    def value(moves):
+        at = [e + sum(d for i, d in moves if i == k) for k, e in enumerate(eta)]
+        return dist.log_pdf(y, np.column_stack([ln.inverse(e) for ln, e in zip(dist.links, at)]))
+
+    for k in range(len(eta)):
+        near = [value([(k, i * h)]) for i in (-2, -1, 0, 1, 2)]
+        want = (-near[0] + 16 * near[1] - 30 * near[2] + 16 * near[3] - near[4]) / (12 * h * h)
+        assert np.allclose(jet.h[k, k], want.astype(float), rtol=1e-7, atol=1e-7)
+        up, down = th.copy(), th.copy()
+        up[:, k] += h * 1e-2
+        down[:, k] -= h * 1e-2
+        bend = (dist.log_pdf(y, up) - 2 * dist.log_pdf(y, th) + dist.log_pdf(y, down)) / (h * 1e-2) ** 2
+        assert np.allclose(dist.curvature(y.astype(float), th.astype(float), k), bend.astype(float), rtol=1e-6, atol=1e-6)
+        for m in range(k):
+            mixed = sum(i * j * value([(k, i * h), (m, j * h)]) for i in (-1, 1) for j in (-1, 1)) / (4 * h * h)
+            assert np.allclose(jet.h[k, m], mixed.astype(float), rtol=1e-4, atol=1e-4)
+
+
+@pytest.mark.parametrize("name", ["normal", "jsu_native"])
+def test_newton_on_exact_curvature_ends_where_the_gradient_vanishes(name):
+    rng = np.random.default_rng(31)
+    z = rng.normal(size=(1500, 3))
+    x = np.column_stack([np.ones(1500), z])
+    y = z[:, 0] + np.exp(0.3 * z[:, 1]) * np.sinh((rng.normal(size=1500) + 0.4) / 1.5)
+    dist = G.DISTRIBUTIONS[name]()
+    b, nll, done, rounds = G.fit_regression(x, y, dist, information="curvature", rel_tol=1e-9)
+    slow, worse, *_ = G.fit_regression(x, y, dist)
+    assert done and rounds <= 25 and nll <= worse + 1e-6
+    assert np.abs(dist.jet(y, [x @ c for c in b]).g @ x).max() < 1e-2
+
+
+def logistic():
+    # A local class: its code travels to the tasks.
+    class Logistic(G.Distribution):
+        """A user's own family: location and scale."""
+
+        names = ("mu", "s")
+        links = (G.IDENTITY, G.LOG)
+
+        def start(self, y):
+            return np.array([y.mean(), y.std() * np.sqrt(3) / np.pi])
+
+        def log_density(self, y, mu, s):
+            z = abs(y - mu) / s
+            return -z - np.log(s) - 2 * np.log1p(np.exp(-z))
+
+        def cdf(self, y, th):
+            return 1 / (1 + F.exp(-(y - th[0]) / th[1]))
+
+        def quantile(self, u, th):
+            return th[0] + th[1] * F.log(u / (1 - u))
+
+        def density(self, y, th):
+            c = self.cdf(y, th)
+            return c * (1 - c) / th[1]
+
+        def moments(self, th):
+            return th[0], th[1] * np.pi / np.sqrt(3)
+
+    return Logistic()
+
+
+def one_step_rows(spark, days=40, bins=8):
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(days):
+        for b in range(bins):
+            f, traded = float(rng.normal()), int(rng.random() < 0.7)
+            rows.append((dt.date(2024, 1, 1) + dt.timedelta(d), 7, b, 40.0, 41.0, traded, f, traded * float(f + rng.logistic())))
+    names = "delivery_date date, delivery_hour int, ttd int, vwap double, vwap_lag1 double, alpha int, f double, vwap_changes double"
+    return spark.createDataFrame(rows, names)
+
+
+@pytest.mark.parametrize("dist", [logistic(), "jsu_native", "normal_var"])
+@pytest.mark.parametrize("information", ["scores", "curvature"])
+def test_any_family_goes_from_fit_to_score(spark, dist, information):
+    rows = one_step_rows(spark)
+    fit = G.fit_gamlss(rows, "vwap_changes", ["f"], dist, 25, 20, 12, information=information)
+    logit = G.fit_trade_logit(rows, ["f"], 25, 20)
+    got = G.one_step_forecast(rows, fit, logit, ["f"], ["f"], nodes=400, dist=dist).toPandas()
+    assert len(got) and got[["crps", "log_score", "mu_hat", "sigma_hat_sd"]].notna().all().all()
+    if not isinstance(dist, str):
+        g = got[got.alpha_true == 1].iloc[0]
+        s = g.sigma_hat_sd * np.sqrt(3) / np.pi
+        z = np.exp(-(g.delta_true - g.mu_hat) / s)
+        assert g.log_score == pytest.approx(np.log(g.pi_hat * z / (s * (1 + z) ** 2)))
+        # CRPS of the mixture by its definition, the integral of (cdf - step)^2.
+        t = np.linspace(-60, 60, 400001)
+        cdf = g.pi_hat / (1 + np.exp(-(t - g.mu_hat) / s)) + (1 - g.pi_hat) * (t >= 0)
+        assert g.crps == pytest.approx((((cdf - (t >= g.delta_true)) ** 2).sum() * (t[1] - t[0])), rel=5e-3)
+
+
+def test_families_as_columns(spark):
+    th = {"normal": [0.4, 1.3], "normal_var": [0.4, 1.7], "jsu": [0.4, 1.3, 0.6, 1.2], "jsu_native": [0.4, 1.3, 0.6, 1.2]}
+    y = np.linspace(-3, 4, 50)
+    d = spark.createDataFrame([(float(v), float(u)) for v, u in zip(y, np.linspace(0.001, 0.999, 50))], "y double, u double")
+    for name, p in th.items():
+        dist = G.family(name)
+        cols = [F.lit(v) for v in p]
+        q = d.select("y", "u", dist.quantile(F.col("u"), cols).alias("q")).toPandas()
+        q = spark.createDataFrame(q)
+        got = q.select("u", "y", dist.density(F.col("y"), cols).alias("pdf"), dist.cdf(F.col("q"), cols).alias("back")).toPandas()
+        assert np.allclose(np.log(got.pdf), dist.log_pdf(y, np.tile(p, (50, 1))), atol=1e-9)
+        assert np.allclose(got.back, got.u, atol=1e-12)
+
+
 def test_regression_finds_mean_and_spread():
     rng = np.random.default_rng(7)
     z = rng.normal(size=(3000, 2))
