@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import reports as R
 from ..session import scratch_path
 from ..sources import readers as I
+from ..sources.archives import file_system
 from ..sources import sinks as O
 from . import reports as RQ
 from . import views as V
@@ -81,6 +82,36 @@ def _s2(spark, sf):
     return I._typed_trades(I.zipped_csv(files))
 
 
+def _zip_files(folder):
+    def write(batches):
+        from pyspark import TaskContext
+
+        system, place = file_system(folder)
+        for k, pdf in enumerate(batches):
+            half = len(pdf) // 2
+            inner = io.BytesIO()
+            with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("trades.csv", "Banner line\n" + pdf[:half].to_csv(index=False))
+            # A task that runs again writes the same file.
+            name = f"{place}/tape-{TaskContext.get().partitionId()}-{k}.zip"
+            with system.open_output_stream(name) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("inner.zip", inner.getvalue())
+                z.writestr("rest.csv", "Banner line\n" + pdf[half:].to_csv(index=False))
+            yield pd.DataFrame({"file": [name]})
+
+    return write
+
+
+@query("s2_read_archive_members", _TAPE_SQL, ("fx_trades",))
+def _s2_members(spark, sf):
+    # The whole tape as archive files, half of each in an archive inside, read back by member.
+    folder = scratch_path(spark, "archives")
+    system, place = file_system(folder)
+    system.create_dir(place, recursive=True)
+    _vintage_2(spark, sf).mapInPandas(_zip_files(folder), "file string").write.format("noop").mode("overwrite").save()
+    return I.read_zipped_trades(spark, folder)
+
+
 @query(
     "s3_read_auction_wide",
     "SELECT delivery_date, delivery_hour, price FROM fx_da",

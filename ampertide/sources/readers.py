@@ -22,6 +22,7 @@ from ..functions.labels import hour_of_label, unpivot_hours
 from ..operators.curves import combine
 from ..operators.tape import dedupe
 from ..schema import AREA_VOLUMES, CONTRACT_STATS, TRADE_COLUMNS, TRADE_RENAMES, TRADE_TIMES, TRADE_TYPES
+from .archives import archive_lines
 
 
 def _names(header: str) -> list[str]:
@@ -105,7 +106,7 @@ def _zip_lines(batches):
 def zipped_lines(files: DataFrame) -> DataFrame:
     """(value, member, archive) lines of the archives in `files(path, content)`.
 
-    An archive cannot be split, so it is the unit of parallelism."""
+    For archives that stand in a table; files are read by member (sources/archives.py)."""
     return files.select("path", "content").mapInPandas(
         _zip_lines, "value string, member string, archive string"
     )
@@ -113,7 +114,10 @@ def zipped_lines(files: DataFrame) -> DataFrame:
 
 def zipped_csv(files: DataFrame, marker: str = "Delivery") -> DataFrame:
     """Zipped CSVs that share one header, as string columns."""
-    lines = zipped_lines(files)
+    return _one_header(zipped_lines(files), marker)
+
+
+def _one_header(lines: DataFrame, marker: str) -> DataFrame:
     head = lines.filter(F.col("value").contains(marker)).select("value").head()
     if head is None:
         raise ValueError(f"no header with '{marker}' in the archives")
@@ -121,7 +125,8 @@ def zipped_csv(files: DataFrame, marker: str = "Delivery") -> DataFrame:
 
 
 def read_zipped_csv(spark: SparkSession, path: str, marker: str = "Delivery") -> DataFrame:
-    return zipped_csv(spark.read.format("binaryFile").load(path), marker)
+    """Archives of a folder or glob; every member is a partition of its own."""
+    return _one_header(archive_lines(spark, path), marker)
 
 
 def read_zipped_trades(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ampertide.functions.labels import interpolate_hours, unpivot_hours
 from ampertide.operators import tape as T
 from ampertide.sources import readers as I
+from ampertide.sources.archives import archive_lines
 from ampertide.sources import sinks as O
 
 V1 = """Delivery Start,Delivery End,Execution time,TradeID,Is Self Trade,Price,Quantity (MW)
@@ -49,6 +50,45 @@ def test_zip_in_zip(spark, tmp_path):
     assert sorted(r.trade_id for r in got.collect()) == [7, 8, 8, 9, 9, 17]
 
 
+def test_archives_are_read_by_member(spark, tmp_path):
+    deep = io.BytesIO()
+    with zipfile.ZipFile(deep, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(3):
+            z.writestr(f"d{k}.csv", V2.replace(",7,", f",{70 + k},"))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(5):
+            z.writestr(f"m{k}.csv", f"x\n{k}\n")
+        z.writestr("empty.csv", "")
+        z.writestr("deep.zip", deep.getvalue())
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("n.CSV", "\ufeffx\r\n9\r\n\r\n")
+    lines = archive_lines(spark, str(tmp_path))
+    # A partition per member with content: five and the inner archive of a, one of b.
+    assert lines.rdd.getNumPartitions() == 7
+    got = {(r.member, r.value) for r in lines.collect()}
+    assert {v for m, v in got if m == "n.CSV"} == {"x", "9"}
+    assert {m for m, _ in got if m.startswith("deep")} == {f"deep.zip/d{k}.csv" for k in range(3)}
+    assert archive_lines(spark, "file:" + str(tmp_path / "b*.zip")).count() == 2
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    assert archive_lines(spark, str(tmp_path / "none.zip")).count() == 0
+
+
+def test_a_broken_member_is_named(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("good.csv", "x\n1\n")
+        z.writestr("bad.csv", "y" * 500)
+    data = bytearray((tmp_path / "c.zip").read_bytes())
+    at = data.index(b"y" * 500)
+    data[at : at + 3] = b"zzz"
+    (tmp_path / "c.zip").write_bytes(bytes(data))
+    with pytest.raises(Exception, match="c.zip: bad.csv"):
+        archive_lines(spark, str(tmp_path / "c.zip")).count()
+    (tmp_path / "d.zip").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="d.zip"):
+        archive_lines(spark, str(tmp_path / "d.zip")).count()
+
+
 def test_auction_wide_and_modes(spark, tmp_path):
     cols = ["Hour 1", "Hour 2", "Hour 3A", "Hour 3B"] + [f"Hour {k}" for k in range(4, 25)]
     line = ",".join(["31/10/2021"] + [str(i) for i in range(25)])
