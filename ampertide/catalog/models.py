@@ -10,6 +10,7 @@ from ..models import gamlss as G
 from ..models import linear as L
 from ..models import marginals as A
 from ..models import mvt as M
+from ..models import resume as Z
 from ..operators import features as X
 from ..operators import panel as P
 from ..operators import reports as R
@@ -185,6 +186,15 @@ def _m9(spark, sf):
     return M.run_study(spread_panel(spark, sf), CFG)[2]
 
 
+@query("m9_resume_study")
+def _m9r(spark, sf):
+    # Stopped after one part, then taken up again from the manifest.
+    folder, panel = scratch_path(spark, "study"), cut(spread_panel(spark, sf))
+    Z.run_parts(panel, CFG, folder, blocks_per_part=1, at_most=1)
+    Z.run_parts(panel, CFG, folder, blocks_per_part=1)
+    return Z.study_results(spark, folder)[2]
+
+
 @query("m10_model_covariance")
 def _m10(spark, sf):
     cov = M.model_covariance(_all(fit for _, _, fit in _fits(spark, sf, "mardia")))
