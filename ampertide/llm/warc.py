@@ -180,8 +180,12 @@ def archive_index(spark: SparkSession, folder: str, id_type: str = "bigint") ->
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"),
         F.col("payload_digest").alias("o_digest"),
     )
-    joined = seen.join(originals, "refers_to_id", "left")
-    return joined.select(
+    # Responses refer to nothing and do not meet in the join: as null keys they would share one task.
+    revisits = seen.filter("record_type <> 'response'").join(originals, "refers_to_id", "left")
+    alone = seen.filter("record_type = 'response'").select(
+        "*", F.lit(None).cast("string").alias("o_page"), F.lit(None).cast("long").alias("o_bytes"), F.lit(None).cast("string").alias("o_digest")
+    )
+    return alone.unionByName(revisits).select(
         F.col("page_id").cast(id_type).alias("page_id"),
         F.coalesce("o_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("o_digest", "payload_digest").alias("payload_digest"),
         "record_type", F.col("o_page").cast(id_type).alias("refers_to"),
