@@ -225,6 +225,20 @@ def _a21(spark, sf):
     return D.ecf_grid(scaled(spark, sf), ["u", "v"], A, B, K)
 
 
+@query(
+    "a21_ecf_grid_fine",
+    f"""SELECT CAST(s AS INT) AS sign2, CAST(i AS INT) AS k1, CAST(j AS INT) AS k2,
+        avg(cos({_PI} / 8 * (i * u + s * j * v))) AS re, avg(sin({_PI} / 8 * (i * u + s * j * v))) AS im
+        FROM fx_scaled, (SELECT unnest(range(32)) AS i) a, (SELECT unnest(range(32)) AS j) b,
+        (SELECT unnest([1, -1]) AS s) c GROUP BY 1, 2, 3""",
+    ("fx_scaled",),
+    ("re", "im"),
+    digits=9,
+)
+def _a21_fine(spark, sf):
+    return D.ecf_grid(scaled(spark, sf), ["u", "v"], A, B, 32)
+
+
 @query(
     "f21_density",
     f"""SELECT u, v, sum(coef * cos(k1 * {_PI} * (u + 4) / 8) * cos(k2 * {_PI} * (v + 4) / 8)
