@@ -15,6 +15,7 @@ from ..operators import features as X
 from ..operators import panel as P
 from ..operators import reports as R
 from ..session import cut, scratch_path
+from ..sources import buckets as B
 from ..sources import sinks as O
 from ..streaming import incremental as S
 from ..streaming import keyed as K
@@ -152,14 +153,12 @@ def _a25(spark, sf):
     return fits.select("date", "hour", "which_hour_before", "n", "p", "calibration_ok", "error")
 
 
-@query(
-    "j12_score_join",
-    _per_horizon(f"""SELECT s.delivery_date AS date, s.delivery_hour AS hour, CAST({{wh}} AS INT) AS which_hour_before, s.ts,
-        s.{{y}} AS y, k.n FROM {{v}} s JOIN (SELECT t.delivery_date, t.delivery_hour, count(r.ts) AS n FROM {_TARGETS}
-        GROUP BY 1, 2 HAVING count(r.ts) >= {{p}} + 2) k ON k.delivery_date = s.delivery_date AND k.delivery_hour = s.delivery_hour"""),
-    _STUDY_VIEWS,
-    ("y",),
-)
+_SCORE_JOIN = _per_horizon(f"""SELECT s.delivery_date AS date, s.delivery_hour AS hour, CAST({{wh}} AS INT) AS which_hour_before, s.ts,
+    s.{{y}} AS y, k.n FROM {{v}} s JOIN (SELECT t.delivery_date, t.delivery_hour, count(r.ts) AS n FROM {_TARGETS}
+    GROUP BY 1, 2 HAVING count(r.ts) >= {{p}} + 2) k ON k.delivery_date = s.delivery_date AND k.delivery_hour = s.delivery_hour""")
+
+
+@query("j12_score_join", _SCORE_JOIN, _STUDY_VIEWS, ("y",))
 def _j12(spark, sf):
     return _all(
         M.score_join(rows, fit).select("date", "hour", "which_hour_before", "ts", F.col(names[0]).alias("y"), "n")
@@ -167,6 +166,25 @@ def _j12(spark, sf):
     )
 
 
+@query("j12_colocated_lookup", _SCORE_JOIN, _STUDY_VIEWS, ("y",))
+def _j12_stored(spark, sf):
+    """The lookup between a panel and parameters stored in equal buckets: no row is moved."""
+    found = []
+    fits = _fits(spark, sf, "mardia")
+    at = scratch_path(spark, "params")
+    B.store_params(_all(fit.select("date", "hour", "which_hour_before", "n", "calibration_ok") for _, _, fit in fits), at, 8)
+    params = B.open_bucketed(spark, at)
+    for names, rows, _ in fits:
+        path = scratch_path(spark, "panel")
+        B.store_panel(rows, path, 8)
+        found.append(
+            M.score_join(B.open_bucketed(spark, path), params).select(
+                "date", "hour", "which_hour_before", "ts", F.col(names[0]).alias("y"), "n"
+            )
+        )
+    return _all(found)
+
+
 def _forecasts(spark, sf, method="mardia"):
     return _all(M.predict_mvt(rows, cut(fit), names) for names, rows, fit in _fits(spark, sf, method))
 

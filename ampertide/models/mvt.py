@@ -231,13 +231,20 @@ def score_join(rows: DataFrame, params: DataFrame) -> DataFrame:
     ).join(ok, ["date", "hour", "which_hour_before"])
 
 
+def conditional_params(params: DataFrame) -> DataFrame:
+    """What predictions need of each successful fit: one row per (date, hour, horizon). Stored in
+    buckets beside the panel (sources/buckets.py), predictions look it up without an exchange."""
+    return params.filter("calibration_ok").mapInPandas(_conditional, _CONDITIONAL)
+
+
 def predict_mvt(rows: DataFrame, params: DataFrame, names: list[str], compat: bool = False) -> DataFrame:
     """Conditional mean, variance and degrees of freedom of names[0] given the rest.
 
-    The matrix work happens once per fit; each row then needs only arithmetic.
-    compat=True keeps the doubled degrees-of-freedom factor of older results."""
+    The matrix work happens once per fit; each row then needs only arithmetic. `params` are fits
+    or their conditional_params. compat=True keeps the doubled degrees-of-freedom factor of
+    older results."""
     q = len(names) - 1
-    ready = params.filter("calibration_ok").mapInPandas(_conditional, _CONDITIONAL)
+    ready = params if "coef" in params.columns else conditional_params(params)
     d = score_join(rows, ready)
     u = [(F.col(n) - F.col("center")[i]) / F.col("spread")[i] for i, n in enumerate(names[1:])]
     d = d.withColumn("_u", F.array(*u))
