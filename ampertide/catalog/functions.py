@@ -91,7 +91,23 @@ def _w9(spark, sf):
     return pairwise_spread(e, ["label"], "v", F.floor(F.col("v") * 50)).drop("n")
 
 
-@query("f14_gaussian_scores")
+def _cdf_sql(x):
+    """Standard normal cdf in SQL: a series of positive terms, on |x| up to 9 (beyond it 0 or 1 to rounding)."""
+    q = f"(least(abs({x}), 9.0) / sqrt(2))"
+    series = f"list_sum(list_transform(range(160), lambda n: exp((2 * n + 1) * ln({q}) - {q} * {q} - lgamma(n + 1.5))))"
+    return f"(0.5 + 0.5 * sign({x}) * CASE WHEN {x} = 0 THEN 0 ELSE {series} END)"
+
+
+@query(
+    "f14_gaussian_scores",
+    f"""SELECT source, timestamp, CASE WHEN var_cond > 0 THEN sqrt(var_cond) * (z * (2 * {_cdf_sql("z")} - 1)
+       + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())) ELSE abs(y_true - mu_cond) END AS crps,
+       CASE WHEN var_cond > 0 THEN 0.5 * (ln(2 * pi()) + ln(var_cond) + z * z) END AS log_score
+       FROM (SELECT *, CASE WHEN var_cond > 0 THEN (y_true - mu_cond) / sqrt(var_cond) END AS z FROM fx_preds) p""",
+    ("fx_preds",),
+    ("crps", "log_score"),
+    digits=5,
+)
 def _f14g(spark, sf):
     p = V.predictions(spark, sf)
     y, m, v = F.col("y_true"), F.col("mu_cond"), F.col("var_cond")
@@ -158,7 +174,14 @@ def _f16(spark, sf):
     )
 
 
-@query("f16_cdf")
+@query(
+    "f16_cdf",
+    f"""WITH j AS ({_JSU}), u AS (SELECT trade_id, {_R} AS r, (y - mu) / sd AS z FROM j)
+       SELECT trade_id, {_cdf_sql("r")} AS jsu_cdf, {_cdf_sql("z")} AS normal_cdf FROM u""",
+    ("fx_trades",),
+    ("jsu_cdf", "normal_cdf"),
+    digits=7,
+)
 def _f16c(spark, sf):
     d = _jsu_rows(spark, sf)
     return d.select(

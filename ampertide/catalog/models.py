@@ -75,17 +75,6 @@ def _m1q(spark, sf):
     return out.drop("_idx")
 
 
-@query("m2_study_rows")
-def _m2(spark, sf):
-    out = None
-    for wh, (names, rows) in M.study_rows(spread_panel(spark, sf), CFG).items():
-        part = rows.groupBy("delivery_hour").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(wh).alias("wh"), F.lit(",".join(names)).alias("features"), "delivery_hour", "n"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def _flat(params):
     """Parameters without nested arrays, for a stable comparison of rows."""
     return params.select(
@@ -141,6 +130,24 @@ _TARGETS = """(SELECT DISTINCT delivery_date, delivery_hour FROM {v}) t LEFT JOI
     ON r.delivery_hour = t.delivery_hour AND r.delivery_date < t.delivery_date AND r.delivery_date >= t.delivery_date - 14"""
 
 
+@query(
+    "m2_study_rows",
+    " UNION ALL ".join(
+        f"SELECT CAST({wh} AS INT) AS wh, '{','.join(n)}' AS features, delivery_hour, count(*) AS n FROM fx_study{wh} GROUP BY 3"
+        for wh, n in _STUDY.items()
+    ),
+    _STUDY_VIEWS,
+)
+def _m2(spark, sf):
+    out = None
+    for wh, (names, rows) in M.study_rows(spread_panel(spark, sf), CFG).items():
+        part = rows.groupBy("delivery_hour").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(wh).alias("wh"), F.lit(",".join(names)).alias("features"), "delivery_hour", "n"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "a25_fit_status",
     _per_horizon(f"""SELECT t.delivery_date AS date, t.delivery_hour AS hour, CAST({{wh}} AS INT) AS which_hour_before,
@@ -228,7 +235,21 @@ def _m11c(spark, sf):
     return A.marginal_curve(scaled(spark, sf), "u", 0.0, 0.9, 8.0)
 
 
-@query("m11_nu_profile")
+@query(
+    "m11_nu_profile",
+    """WITH x AS (SELECT delivery_hour, CAST(vwap_changes AS DOUBLE) AS x, alpha FROM fx_bins WHERE alpha <> 0),
+       e AS (SELECT delivery_hour, avg(x) AS m, stddev_samp(x) AS s FROM x GROUP BY 1),
+       k AS (SELECT delivery_hour, 'fitted' AS kind, 0.0::DOUBLE AS m, 10.0::DOUBLE AS s FROM e
+       UNION ALL SELECT delivery_hour, 'empirical', m, s FROM e),
+       v AS (SELECT 1.05::DOUBLE + 0.5::DOUBLE * unnest(range(40)) AS nu),
+       g AS (SELECT delivery_hour, kind, nu, sum(lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi()) - ln(s)
+       - 0.5 * (nu + 1) * ln(1 + ((x - m) / s) ** 2 / nu)) AS log_lik FROM x JOIN k USING (delivery_hour), v
+       WHERE x IS NOT NULL GROUP BY 1, 2, 3)
+       SELECT *, log_lik = max(log_lik) OVER (PARTITION BY delivery_hour, kind) AS is_max FROM g""",
+    ("fx_bins",),
+    ("nu", "log_lik"),
+    digits=4,
+)
 def _m11p(spark, sf):
     b = V.bins(spark, sf).filter(F.col("alpha") != 0)
     nus = [1.05 + 0.5 * i for i in range(40)]
