@@ -40,9 +40,9 @@ VIEW_SQL.update({
     "k_floor": (("k_demand",), linear(
         "(SELECT curve_date, curve_hour, -500.0::DOUBLE AS x FROM k_demand)", "k_demand", CK, "zero")),
     "k_grid": (("k_supply",), """SELECT curve_date, curve_hour, CAST(i AS INT) AS i,
-        CASE WHEN i = 49 THEN hi ELSE lo + i * ((hi - lo) / 49) END AS x FROM
+        CASE WHEN i = 499 THEN hi ELSE lo + i * ((hi - lo) / 499) END AS x FROM
         (SELECT curve_date, curve_hour, min(x) AS lo, max(x) AS hi FROM k_supply GROUP BY 1, 2) s,
-        (SELECT unnest(range(50)) AS i) t"""),
+        (SELECT unnest(range(500)) AS i) t"""),
     "k_grid_s": (("k_grid",), linear("k_grid", "k_supply", CK, "zero")),
     "k_grid_d": (("k_grid", "k_demand"), linear("k_grid", "k_demand", CK, "zero")),
     "k_ts": (("k_grid_s", "k_grid_d", "k_floor"), f"""SELECT g.curve_date, g.curve_hour, g.i, g.x AS price,
@@ -66,7 +66,7 @@ VIEW_SQL.update({
         LEFT JOIN k_end_prices p ON {_ON.format(a='p', b='e')} AND p.x = e.x GROUP BY 1, 2, 3"""),
 })
 SLOPES = ("mo_slope_500", "mo_slope_1000", "mo_slope_2000")
-POINTS = 50
+POINTS = 500
 
 
 def _ts(spark, sf):

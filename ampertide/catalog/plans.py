@@ -18,7 +18,7 @@ def _features(spark, sf):
     )
     return prepare_features(
         spark, V.trades(spark, sf), V.day_ahead(spark, sf), curves, V.forecasts(spark, sf),
-        FeatureConfig(zone=None, curve_points=100),
+        FeatureConfig(zone=None, curve_points=500),
     )
 
 
