@@ -5,8 +5,9 @@ hash into blocks of about `BLOCK_ROWS`; per block and tree the strings form one
 which all rows that share a prefix with a query are one contiguous range. The index is
 written as a table with one row per block.
 
-Queries come in stated blocks (every block is sent to all index blocks). A query first descends:
-in each tree its place in the sorted array shows the rows with the longest common prefix, whose
+Queries are packed into blocks of `QUERY_BLOCK` rows, `QUERY_GROUP` of them to a group. A task gets
+one index block and one group of queries, joined on their numbers, so its size is fixed, and
+the driver sees no vector. A query first descends: in each tree its place in the sorted array shows the rows with the longest common prefix, whose
 length varies with the data. The best five of these give a lower bound on the fifth-best
 cosine. Then all trees ascend together, to the depth at which a row of that cosine shares a prefix
 with the query in at least one tree with probability `TARGET`; all rows of these ranges are
@@ -14,6 +15,9 @@ candidates, none are capped, and are compared in double precision. Clustered dat
 stop at long prefixes; data without near neighbours ascend far, as they must for that recall.
 Should fewer than the asked neighbours turn up, the query ascends to the root.
 
+Vectors are scaled by a power of two before anything else, so that norms neither overflow nor
+vanish; cosines are those of the original vectors to the last digit.
+
 The descent looks at `PROBE_BLOCKS` blocks at most; fewer blocks give a lower bound, hence a
 further ascent, never fewer candidates.
 
@@ -27,7 +31,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +38,8 @@ from ampertide.session import cut
 
 TREES, BITS = 32, 32
 BLOCK_ROWS = 1 << 14
-QUERY_BLOCK = 1 << 15
+QUERY_BLOCK = 1 << 11
+QUERY_GROUP = 8
 PROBE_BLOCKS = 64
 TARGET = 0.95
 SIDE = 2
@@ -57,6 +61,11 @@ def hash_strings(unit: np.ndarray) -> np.ndarray:
     return packed.reshape(len(unit), TREES, BITS // 8).copy().view(">u4").reshape(len(unit), TREES).astype(np.uint32)
 
 
+def level(v: np.ndarray) -> np.ndarray:
+    """Rows with the largest component brought to [0.5, 1) by a power of two."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, row, dim, v array<double>) of the rows that take part."""
     v = F.col(f"`{vec_col}`").cast("array<double>")
@@ -65,13 +74,12 @@ def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.col("v").isNotNull() & fine).withColumn("dim", F.size("v"))
 
 
-def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, blocks: int) -> DataFrame:
     """One row per block: ids, vectors and, per tree, the sorted strings and their order."""
-    blocks = max(1, -(-rows.count() // block_rows))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)
-        v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        v = level(np.stack(pdf["v"].to_numpy()).astype(np.float64))
         h = hash_strings(v / np.linalg.norm(v, axis=1, keepdims=True))
         order = np.argsort(h, axis=0, kind="stable").astype(np.uint32)
         strings = np.take_along_axis(h, order, axis=0)
@@ -83,13 +91,34 @@ def build_index(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             }
         )
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", _dealt(blocks))
     schema = "dim int, block int, ids binary, rows binary, vecs binary, strings binary, places binary"
     return dealt.groupBy("dim", "block").applyInPandas(build, schema)
 
 
+def _dealt(n: int):
+    return F.pmod(F.xxhash64("vec_id", "row"), F.lit(n)).cast("int")
+
+
+def pack_queries(asked: DataFrame, blocks: int) -> DataFrame:
+    """One row per block of queries: ids, vectors, and the lower bounds of the k-th cosine."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = level(np.stack(pdf["v"].to_numpy()).astype(np.float64))
+        return pd.DataFrame(
+            {
+                "dim": [v.shape[1]], "qblock": [int(pdf["qblock"].iloc[0])], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()],
+                "rows": [pdf["row"].to_numpy(np.int64).tobytes()], "vecs": [v.tobytes()],
+                "bounds": [pdf["bound"].to_numpy(np.float64).tobytes()],
+            }
+        )
+
+    schema = "dim int, qblock int, ids binary, rows binary, vecs binary, bounds binary"
+    return asked.withColumn("qblock", _dealt(blocks)).groupBy("dim", "qblock").applyInPandas(pack, schema)
+
+
 class _Block:
-    def __init__(self, rec: dict):
+    def __init__(self, rec):
         self.ids, self.rows = (np.frombuffer(rec[k], np.int64) for k in ("ids", "rows"))
         n = len(self.ids)
         self.vecs = np.frombuffer(rec["vecs"], np.float64).reshape(n, rec["dim"])
@@ -121,21 +150,6 @@ class _Block:
         return mask
 
 
-class _Queries:
-    """A block of queries: identifiers, vectors, hash strings, and later depths and bounds."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, vecs: list[np.ndarray]):
-        self.ids, self.rows = ids, rows
-        self.by_dim = {}
-        for dim in sorted({len(v) for v in vecs}):
-            at = np.array([i for i, v in enumerate(vecs) if len(v) == dim])
-            v = np.stack([vecs[i] for i in at]).astype(np.float64)
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            self.by_dim[dim] = (at, v, unit, hash_strings(unit))
-        self.depth = np.zeros(len(ids), dtype=np.int64)
-        self.bound = np.full(len(ids), -np.inf)
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, equal scores by smaller id; ties at the end are all looked at."""
     if len(scores) > k:
@@ -150,46 +164,62 @@ def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.einsum("ij,j->i", v, q) / (np.sqrt(np.einsum("ij,ij->i", v, v)) * np.sqrt(q @ q))
 
 
-def _search(index: DataFrame, queries, k: int, ascend: bool) -> DataFrame:
-    """(q, vec_id, row, score): per index block the k best of each query's candidates."""
-
-    def run(batches):
-        qs = queries.value
-        for batch in batches:
-            for rec in batch.to_pylist():
-                if rec["dim"] not in qs.by_dim:
-                    continue
-                at, vecs, unit, strings = qs.by_dim[rec["dim"]]
-                block = _Block(rec)
-                out: list[tuple] = []
-                for lo in range(0, len(at), SLICE):
-                    part = slice(lo, lo + SLICE)
-                    if ascend:
-                        mask = block.ascend(strings[part], qs.depth[at[part]])
-                        wide = mask.mean() > 0.125
-                        rough = unit[part] @ block.unit.T if wide else None
-                        near = [np.flatnonzero(m) for m in mask]
-                    else:
-                        near, rough = block.descend(strings[part]), None
-                    for j, cand in enumerate(near):
-                        i = at[lo + j]
-                        cand = cand[block.rows[cand] != qs.rows[i]]
-                        s = rough[j, cand] if rough is not None else block.unit[cand] @ unit[lo + j]
-                        # Rough scores are within rounding of the exact ones: keep a margin.
-                        cut_ = max(qs.bound[i], np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf) - 1e-9
-                        cand = cand[s >= cut_]
-                        exact = _cosines(vecs[lo + j], block.vecs[cand])
-                        best = _best(exact, block.ids[cand], k)
-                        out += [(int(i), int(block.ids[cand[b]]), int(block.rows[cand[b]]), float(exact[b])) for b in best]
-                cols = list(zip(*out)) or [()] * 4
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["q", "vec_id", "row", "score"])
-
-    return index.mapInArrow(run, "q int, vec_id long, row long, score double")
+def _search_block(block: _Block, rec, k: int, ascend: bool):
+    """(query_id, query_row, vec_id, row, score): the k best of every query of one block of queries."""
+    ids, rows = (np.frombuffer(rec[c], np.int64) for c in ("ids", "rows"))
+    vecs = np.frombuffer(rec["vecs"], np.float64).reshape(len(ids), rec["dim"])
+    bounds = np.frombuffer(rec["bounds"], np.float64)
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    strings = hash_strings(unit)
+    # A query without k neighbours so far ascends to the root.
+    depth = np.where(np.isfinite(bounds), depth_for(bounds), 0)
+    for lo in range(0, len(ids), SLICE):
+        part = slice(lo, lo + SLICE)
+        if ascend:
+            mask = block.ascend(strings[part], depth[part])
+            rough = unit[part] @ block.unit.T if mask.mean() > 0.125 else None
+            near = [np.flatnonzero(m) for m in mask]
+        else:
+            near, rough = block.descend(strings[part]), None
+        for j, cand in enumerate(near):
+            i = lo + j
+            cand = cand[block.rows[cand] != rows[i]]
+            s = rough[j, cand] if rough is not None else block.unit[cand] @ unit[i]
+            # Rough scores are within rounding of the exact ones: keep a margin.
+            least = max(bounds[i], np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf) - 1e-9
+            cand = cand[s >= least]
+            exact = _cosines(vecs[i], block.vecs[cand])
+            best = _best(exact, block.ids[cand], k)
+            yield ids[i], rows[i], block.ids[cand[best]], block.rows[cand[best]], exact[best]
+
+
+def _search(index: DataFrame, queries: DataFrame, numbers: range, qblocks: int, k: int, ascend: bool) -> DataFrame:
+    """(query_id, query_row, vec_id, row, score): per index block the k best of each query's
+    candidates. Every index block of `numbers` meets every group of query blocks in a task of its own."""
+    groups = -(-qblocks // QUERY_GROUP)
+    cols = ["query_id", "query_row", "vec_id", "row", "score"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left):
+            block = _Block(left.iloc[0])
+            for q in right.to_dict("records"):
+                for query_id, query_row, vec_id, row, score in _search_block(block, q, k, ascend):
+                    found.append(pd.DataFrame({"query_id": query_id, "query_row": query_row, "vec_id": vec_id, "row": row, "score": score}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in cols})
+
+    keys = ["dim", "block", "group"]
+    # A stated number of tasks keeps runtime coalescing, which sees bytes only, from joining them.
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(len(numbers) * groups, 1 << 16))
+    each = F.sequence(F.lit(numbers.start), F.lit(numbers.stop - 1), F.lit(numbers.step))
+    left = index.filter(F.col("block") % numbers.step == 0).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = queries.withColumns({"group": F.floor(F.col("qblock") / QUERY_GROUP).cast("int"), "block": F.explode(each)})
+    both = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys))
+    return both.applyInPandas(run, "query_id long, query_row long, vec_id long, row long, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -207,25 +237,18 @@ def nearest(
     block_rows: int = BLOCK_ROWS, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of every row whose id query_step divides."""
-    sc = table.sparkSession.sparkContext
     rows = cut(valid_vectors(table, id_col, vec_col))
-    index = cut(build_index(rows, block_rows))
+    blocks = max(1, -(-rows.count() // block_rows))
+    index = cut(build_index(rows, blocks))
     asked = rows.filter(F.col("vec_id") % query_step == 0)
-    total = asked.count()
-    results = None
-    probe = index.filter(F.pmod(F.xxhash64("block"), F.lit(max(1, -(-index.count() // PROBE_BLOCKS)))) == 0)
-    blocks = max(1, -(-total // query_block))
-    for b in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)) == b).select("vec_id", "row", "v").toArrow()
-        vecs = [np.asarray(v, dtype=np.float64) for v in mine.column("v").to_pylist()]
-        qs = _Queries(mine.column("vec_id").to_numpy(), mine.column("row").to_numpy(), vecs)
-        sent = sc.broadcast(qs)
-        kth = _top(_search(probe, sent, k, False), k).groupBy("q").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n"))
-        for r in kth.filter(F.col("n") == k).collect():  # a number per query of this block
-            qs.bound[r["q"]] = r["s"]
-        qs.depth = np.where(np.isfinite(qs.bound), depth_for(qs.bound), 0)
-        sent = sc.broadcast(qs)
-        names = table.sparkSession.createDataFrame(pd.DataFrame({"q": np.arange(len(qs.ids), dtype=np.int32), "query_id": qs.ids}), "q int, query_id long")
-        top = cut(_top(_search(index, sent, k, True), k).join(names, "q").select("query_id", "rank", "vec_id", "score"))
-        results = top if results is None else results.unionByName(top)
-    return results
+    qblocks = max(1, -(-asked.count() // query_block))
+
+    first = cut(pack_queries(asked.withColumn("bound", F.lit(float("-inf"))), qblocks))
+    probed = range(0, blocks, -(-blocks // PROBE_BLOCKS))
+    kth = _top(_search(index, first, probed, qblocks, k, False), k).groupBy("query_row")
+    kth = kth.agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    bound = F.coalesce("least", F.lit(float("-inf")))
+    bounded = asked.join(kth, F.col("row") == F.col("query_row"), "left").select("vec_id", "row", "dim", "v", bound.alias("bound"))
+    queries = cut(pack_queries(bounded, qblocks))
+    found = _search(index, queries, range(blocks), qblocks, k, True)
+    return cut(_top(found, k).select("query_id", "rank", "vec_id", "score"))

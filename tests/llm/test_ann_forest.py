@@ -89,3 +89,32 @@ def test_ranges_hold_exactly_the_rows_with_the_prefix():
 
 def test_empty_table(spark):
     assert A.nearest(table(spark, [])).count() == 0
+
+
+def test_extreme_magnitudes_take_part(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    power = [0, 1000, -1000, 600, -1060, 1020]
+    rows = [(i, np.ldexp(v, power[i % 6]).tolist()) for i, v in enumerate(x)]
+    got = collect(A.nearest(table(spark, rows)))
+    plain = collect(A.nearest(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])))
+    for q in (0, 50):
+        assert [r.vec_id for r in got[q]] == [r.vec_id for r in plain[q]]
+        assert [r.score for r in got[q]] == pytest.approx([r.score for r in plain[q]], abs=1e-3)  # 2 ** -1060 leaves few digits
+        assert all(np.isfinite(r.score) for r in got[q])
+
+
+def test_driver_sees_no_vectors(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows brought to the driver")
+
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))]
+    t = table(spark, rows)
+    for name in ("collect", "toArrow", "toPandas", "head"):
+        monkeypatch.setattr(type(t), name, refuse)
+    found = A.nearest(t, block_rows=50, query_block=2)
+    monkeypatch.undo()
+    got = collect(found)
+    for q, want in brute(rows, 5):
+        assert [r.vec_id for r in got[q]] == [j for j, _ in want]
