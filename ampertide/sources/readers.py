@@ -6,7 +6,7 @@ import csv
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +76,8 @@ def read_trades(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _zip_lines(batches):
     """Lines of every CSV in each archive, archives in archives included, in
-    bounded chunks. Members are streamed, never held as text."""
+    bounded chunks. Members are streamed, never held as text; of an Arrow batch
+    one archive at a time is copied."""
 
     def walk(handle, name):
         with zipfile.ZipFile(handle) as z:
@@ -97,17 +98,22 @@ def _zip_lines(batches):
                         if chunk:
                             yield member, chunk
 
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            for member, chunk in walk(io.BytesIO(content), path):
-                yield pd.DataFrame({"value": chunk, "member": member, "archive": path})
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1)):
+            path = path.as_py()
+            for member, chunk in walk(io.BytesIO(content.as_py()), path):
+                n = len(chunk)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(chunk, pa.string()), pa.array([member] * n, pa.string()), pa.array([path] * n, pa.string())],
+                    names=["value", "member", "archive"],
+                )
 
 
 def zipped_lines(files: DataFrame) -> DataFrame:
     """(value, member, archive) lines of the archives in `files(path, content)`.
 
     For archives that stand in a table; files are read by member (sources/archives.py)."""
-    return files.select("path", "content").mapInPandas(
+    return files.select("path", "content").mapInArrow(
         _zip_lines, "value string, member string, archive string"
     )
 

@@ -136,3 +136,30 @@ def test_parameter_status(spark, tmp_path):
     keys = spark.createDataFrame([(day, h, 2) for h in (1, 2, 3)], "date date, hour int, which_hour_before int")
     got = {r.hour: (r.status, r.error) for r in O.get_params(O.load_params(spark, str(tmp_path / "p")), keys).collect()}
     assert got == {1: ("ok", None), 2: ("failed", "singular"), 3: ("missing", None)}
+
+
+def test_archives_in_a_table_are_copied_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("y.csv", V2 + "padding\n" * 100_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k}.zip" for k in range(40)]), pa.array([buffer.getvalue()] * 40)], names=["path", "content"])
+    tracemalloc.start()
+    lines = sum(part.num_rows for part in I._zip_lines([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lines == 40 * 100_005 and peak < 10 * len(buffer.getvalue())
+
+
+def test_zipped_lines_of_a_table(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("y.csv", V2)
+    files = spark.createDataFrame([("a.zip", buffer.getvalue()), ("b.zip", buffer.getvalue())], "path string, content binary")
+    got = I.zipped_lines(files)
+    assert got.columns == ["value", "member", "archive"]
+    assert sorted({(r.member, r.archive) for r in got.collect()}) == [("y.csv", "a.zip"), ("y.csv", "b.zip")]
+    assert got.count() == 10
