@@ -4,9 +4,12 @@ A token's probability is class-factored: P(class | context) * P(token | class).
 the end mark, the most frequent words one by one, and spelling classes for all other words.
 P(class | context) is a softmax over hashed features of the context: the previous word, the
 words two and three places back (skips), and the pair of the two previous words.
-P(token | class) is the discounted share of the token's training count; the discount is the
-class's mass for words that training has not seen, so all known tokens and one unknown token per
-class sum to one in every context.
+P(token | class, context) is a softmax factored further: the frequent words of a spelling class and
+one leaf for all its other words stand in a binary tree (Huffman's, by discounted counts), and each
+turn is a logistic model of the same context features, hashed with the tree's node into `CELLS`
+weights. Without weights it is the discounted share of the token's training count; the discount is
+the class's mass for words that training has not seen. Words behind the shared leaf have their
+shares of it, so all known tokens and one unknown token per class sum to one in every context.
 
 Training makes `ROUNDS` passes over disjoint parts of the training documents, which together are
 all of them. In a pass every task adds up observed and expected feature counts; the sums meet in
@@ -22,6 +25,7 @@ is unknown and the base score is 0; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from itertools import repeat
 
@@ -39,11 +43,13 @@ VOCAB = 65_000
 ALONE, SPELLING = 15, 16
 CLASSES = 1 + ALONE + SPELLING
 ROWS = 1 << 15
+CELLS = 1 << 20
 ROUNDS = 4
 RATE, PRIOR = 0.4, 4.0
 START = 65_535
 TOKENS = 1 << 15
-BLOCKS = 16
+WEIGHTS = ROWS * CLASSES + CELLS
+BLOCKS = 32
 FLUSH = 400_000
 LOG10 = float(np.log(10.0))
 
@@ -154,9 +160,53 @@ class Lexicon:
         used = prior > 0
         used[1 + ALONE :] = True
         used[0] = True
+        self._grow(discount)
         self.bias = np.where(used, np.log((prior + 0.5) / (prior.sum() + 0.5)), -1e9).astype(np.float32)
 
 
+    def _grow(self, discount: float) -> None:
+        """Paths of all ids through the trees of their classes: id i turns at `nodes` to `sides`, from
+        place at[i], turns[i] times; `lean` is a node's log odds of side 1, `plain` an id's log10 share."""
+        share = 10**self.within
+        parent, weight = [], []
+        for m in range(SPELLING):
+            leaf = VOCAB + 1 + m
+            words = np.array([i for i in self.ids.values() if self.cls[i] == 1 + ALONE + m], np.int64)
+            if not len(words):
+                continue
+            rest = discount * self.kinds[m] / self.mass[m] if self.kinds[m] == len(words) else 1 - share[words].sum()
+            rest = max(rest, 0.5 * discount / self.mass[m])
+            heap = [(rest, leaf), *((share[i], int(i)) for i in words)]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+                node = START + 1 + len(weight)
+                parent += [(left, node), (right, node)]
+                weight.append((a, b))
+                heapq.heappush(heap, (a + b, node))
+        above, side = np.full(START + 1 + len(weight), -1), np.zeros(START + 1 + len(weight), bool)
+        if parent:
+            below, over = np.array(parent).T
+            above[below] = over
+            side[below[1::2]] = True
+        odds = np.array(weight).reshape(-1, 2)
+        self.lean = np.log(odds[:, 1] / odds[:, 0])
+        at = ids = np.flatnonzero(above[: START + 1] >= 0)
+        turns = []
+        while len(ids):
+            turns.append((ids, above[at] - START - 1, side[at]))
+            at = above[at]
+            on = above[at] >= 0
+            ids, at = ids[on], at[on]
+        ids, nodes, sides = (np.concatenate([t[k] for t in turns]) if turns else np.zeros(0, np.int64) for k in range(3))
+        order = np.argsort(ids, kind="stable")
+        self.nodes, self.sides = nodes[order].astype(np.int32), sides[order].astype(bool)
+        self.turns = np.bincount(ids, minlength=START + 1)
+        self.at = np.cumsum(self.turns) - self.turns
+        z = np.where(self.sides, self.lean[self.nodes], -self.lean[self.nodes])
+        self.plain = np.bincount(ids[order], -np.logaddexp(0.0, -z), START + 1) / LOG10
+
+
 def encode_streams(docs: DataFrame, lexicon) -> DataFrame:
     """Per document: token stream as 16-bit ids, and its rare words with their counts."""
 
@@ -189,8 +239,8 @@ def encode_streams(docs: DataFrame, lexicon) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, row long, held_out boolean, n_tokens long, ids binary, rare array<binary>, tf array<long>")
 
 
-def _contexts(streams: list[bytes]):
-    """Tokens of several documents in slices: (targets, feature rows, document numbers)."""
+def _context_keys(streams: list[bytes]):
+    """Tokens of several documents in slices: (targets, feature keys, document numbers)."""
     parts, owner = [], []
     pad = np.full(3, START, dtype=np.int64)
     for k, s in enumerate(streams):
@@ -205,8 +255,39 @@ def _contexts(streams: list[bytes]):
         i = at[lo : lo + TOKENS]
         a, b, c = x[i - 1], x[i - 2], x[i - 3]
         keys = (a, b + (1 << 20), c + (1 << 21), a * 65_537 + b + (1 << 40))
-        rows = [((k * 0x9E3779B1) >> 13) % ROWS for k in keys]
-        yield x[i], rows, own[i]
+        yield x[i], keys, own[i]
+
+
+def _rows(keys) -> list[np.ndarray]:
+    return [((k * 0x9E3779B1) >> 13) % ROWS for k in keys]
+
+
+def _contexts(streams: list[bytes]):
+    """Tokens of several documents in slices: (targets, feature rows, document numbers)."""
+    for x, keys, own in _context_keys(streams):
+        yield x, _rows(keys), own
+
+
+def _turns(lex: Lexicon, words: np.ndarray, x: np.ndarray, keys):
+    """The turns of tokens in the trees of their classes: (token, cells of each feature, side, log odds)."""
+    n = lex.turns[x]
+    token = np.repeat(np.arange(len(x)), n)
+    place = np.arange(len(token)) + np.repeat(lex.at[x] - (np.cumsum(n) - n), n)
+    node = lex.nodes[place]
+    mixed = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    z, cells = lex.lean[node], []
+    for k in keys:
+        h = (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[token] ^ mixed
+        h ^= h >> np.uint64(29)
+        cells.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64))
+        z = z + words[cells[-1]]
+    return token, cells, lex.sides[place], z
+
+
+def _word_gain(lex: Lexicon, words: np.ndarray, x: np.ndarray, keys) -> np.ndarray:
+    """log10 P(token | class, context) less its share without context."""
+    token, _, side, z = _turns(lex, words, x, keys)
+    return np.bincount(token, -np.logaddexp(0.0, np.where(side, -z, z)), len(x)) / LOG10 - lex.plain[x]
 
 
 def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -219,17 +300,24 @@ def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray])
     return z
 
 
+def _split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of (feature row, class), and of turns by cell."""
+    return weights[: ROWS * CLASSES].reshape(ROWS, CLASSES), weights[ROWS * CLASSES :]
+
+
 def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected counts of (feature row, class) over all given streams."""
-    step = ROWS // BLOCKS
+    """Observed and expected counts of (feature row, class), then what the turns of each cell lack on
+    side 1 and on side 0, over all given streams."""
+    step = WEIGHTS // BLOCKS
 
     def run(batches):
-        lex, w = lexicon.value, weights.value
+        lex, (w, words) = lexicon.value, _split(weights.value)
         seen, meant = np.zeros(ROWS * CLASSES), np.zeros((ROWS, CLASSES))
+        short, over = np.zeros(CELLS), np.zeros(CELLS)
         empty = True
         for batch in batches:
-            for x, rows, _ in _contexts(batch.column(0).to_pylist()):
-                empty = False
+            for x, keys, _ in _context_keys(batch.column(0).to_pylist()):
+                empty, rows = False, _rows(keys)
                 p = np.exp(_log_softmax(w, lex.bias, rows))
                 c = lex.cls[x]
                 for r in rows:
@@ -238,8 +326,13 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
                     first = np.flatnonzero(np.r_[True, sorted_r[1:] != sorted_r[:-1]])
                     meant[sorted_r[first]] += np.add.reduceat(p[order], first, axis=0)
                 np.add.at(seen, np.concatenate([r * CLASSES + c for r in rows]), 1.0)
+                _, cells, side, z = _turns(lex, words, x, keys)
+                p = 1.0 / (1.0 + np.exp(np.where(side, z, -z)))  # of the side not taken
+                for k in cells:
+                    np.add.at(short, k[side], p[side])
+                    np.add.at(over, k[~side], p[~side])
         if not empty:
-            seen = seen.reshape(ROWS, CLASSES)
+            seen, meant = np.concatenate([seen, short]), np.concatenate([meant.ravel(), over])
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId() % 32
@@ -253,7 +346,7 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.iloc[:1].copy()
         for name in ("seen", "meant"):
-            total = np.zeros(step * CLASSES)
+            total = np.zeros(step)
             for v in pdf[name]:
                 total += np.frombuffer(v, "<f4")
             out[name] = [total.astype("<f4").tobytes()]
@@ -264,18 +357,19 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
     cores = streams.sparkSession.sparkContext.defaultParallelism
     sums = streams.select("ids").coalesce(max(1, cores)).mapInArrow(run, schema)
     tree = sums.groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    seen, meant = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES))
+    seen, meant = np.zeros(WEIGHTS), np.zeros(WEIGHTS)
     for r in tree.collect():  # BLOCKS rows of a fixed size
         cut_ = slice(r["block"] * step, (r["block"] + 1) * step)
-        seen[cut_] = np.frombuffer(r["seen"], "<f4").reshape(step, CLASSES)
-        meant[cut_] = np.frombuffer(r["meant"], "<f4").reshape(step, CLASSES)
+        seen[cut_] = np.frombuffer(r["seen"], "<f4")
+        meant[cut_] = np.frombuffer(r["meant"], "<f4")
     return seen, meant
 
 
 def train_weights(streams: DataFrame, lexicon, rounds: int = ROUNDS) -> np.ndarray:
-    """Gradient steps on disjoint parts of the training streams, scaled by feature counts."""
+    """Gradient steps on disjoint parts of the training streams, scaled by feature counts; weights of
+    classes, then of turns."""
     sc = streams.sparkSession.sparkContext
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
+    weights = np.zeros(WEIGHTS, dtype=np.float32)
     for r in range(rounds):
         part = streams.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == r)
         sent = sc.broadcast(weights)
@@ -289,13 +383,14 @@ def score_streams(streams: DataFrame, lexicon, weights) -> DataFrame:
     """(id, row, held_out, n_tokens, known, base, model) without the rare words' own terms."""
 
     def run(batches):
-        lex, w = lexicon.value, weights.value
+        lex, (w, words) = lexicon.value, _split(weights.value)
         for batch in batches:
             data = batch.column(4).to_pylist()
             known, base, model = np.zeros(len(data), np.int64), np.zeros(len(data)), np.zeros(len(data))
-            for x, rows, own in _contexts(data):
-                z = _log_softmax(w, lex.bias, rows)
+            for x, keys, own in _context_keys(data):
+                z = _log_softmax(w, lex.bias, _rows(keys))
                 lp = z[np.arange(len(x)), lex.cls[x]].astype(np.float64) / LOG10 + lex.within[x]
+                lp += _word_gain(lex, words, x, keys)
                 model += np.bincount(own, lp, len(data))
                 base += np.bincount(own, lex.base[x], len(data))
                 known += np.bincount(own, lex.known[x], len(data)).astype(np.int64)

@@ -117,3 +117,30 @@ def test_frequent_words_fill_the_last_level(spark, monkeypatch):
         first(flat, vocab)
         first(mixed, vocab)
     first([], 5)
+
+
+def test_words_of_a_class_sum_to_one_with_weights():
+    rng = np.random.default_rng(4)
+    top = sorted(((b"a%dz" % k, int(c)) for k, c in enumerate(rng.integers(2, 90, 200))), key=lambda x: (-x[1], x[0]))
+    d, m = 0.4, M.spelling(b"a0z")
+    mass, kinds = np.zeros(M.SPELLING), np.zeros(M.SPELLING)
+    mass[m], kinds[m] = sum(c for _, c in top[M.ALONE :]) + 30, len(top) - M.ALONE + 11
+    lex = M.Lexicon(top, 10_000, 200, 50, d, mass, kinds)
+    leaves = np.array([*range(M.ALONE + 1, len(top) + 1), M.VOCAB + 1 + m])
+    keys = [np.full(len(leaves), k) for k in (7, 8 + (1 << 20), 9, 10)]
+    share = lex.within.copy()
+    share[leaves[-1]] = np.log10(1 - (10 ** lex.within[leaves[:-1]]).sum())
+    assert np.allclose(lex.plain[leaves], share[leaves], atol=1e-9)
+    weights = rng.normal(size=M.CELLS)
+    p = 10 ** (share[leaves] + M._word_gain(lex, weights, leaves, keys))
+    assert p.sum() == pytest.approx(1.0, abs=1e-9) and abs(p - 10 ** share[leaves]).max() > 0.01
+
+
+def test_context_tells_words_of_one_class_apart(docs_of):
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    fill = " ".join(f"f{k}" for k in range(M.ALONE - 2))
+    docs = [(i, f"{fill} red blue " + ("red a1z " * 3 if k % 2 else "blue a2z " * 3)) for k, i in enumerate(train[:400])]
+    tests = [(held[0], "red a1z"), (held[1], "red a2z"), (held[2], "blue a1z"), (held[3], "blue a2z")]
+    got = {r.doc_id: r.score for r in M.maxent_scores(docs_of(docs + tests)).collect()}
+    assert got[held[0]] > got[held[1]] + 0.1 and got[held[3]] > got[held[2]] + 0.1
