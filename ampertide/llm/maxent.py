@@ -26,6 +26,7 @@ is unknown and the base score is 0; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from itertools import repeat
 
@@ -190,7 +191,8 @@ class Lexicon:
             above[below] = over
             side[below[1::2]] = True
         odds = np.array(weight).reshape(-1, 2)
-        self.lean = np.log(odds[:, 1] / odds[:, 0])
+        self.lean = np.log(odds[:, 1] / odds[:, 0]).astype(np.float32)
+        self.mixed = (np.arange(1, len(odds) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
         at = ids = np.flatnonzero(above[: START + 1] >= 0)
         turns = []
         while len(ids):
@@ -203,7 +205,7 @@ class Lexicon:
         self.nodes, self.sides = nodes[order].astype(np.int32), sides[order].astype(bool)
         self.turns = np.bincount(ids, minlength=START + 1)
         self.at = np.cumsum(self.turns) - self.turns
-        z = np.where(self.sides, self.lean[self.nodes], -self.lean[self.nodes])
+        z = np.where(self.sides, self.lean[self.nodes], -self.lean[self.nodes]).astype(float)
         self.plain = np.bincount(ids[order], -np.logaddexp(0.0, -z), START + 1) / LOG10
 
 
@@ -274,20 +276,22 @@ def _turns(lex: Lexicon, words: np.ndarray, x: np.ndarray, keys):
     token = np.repeat(np.arange(len(x)), n)
     place = np.arange(len(token)) + np.repeat(lex.at[x] - (np.cumsum(n) - n), n)
     node = lex.nodes[place]
-    mixed = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    z, cells = lex.lean[node], []
+    z, mixed, cells = lex.lean[node], lex.mixed[node], []
     for k in keys:
-        h = (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[token] ^ mixed
-        h ^= h >> np.uint64(29)
-        cells.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64))
-        z = z + words[cells[-1]]
+        h = ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)[token]
+        h ^= mixed
+        h *= np.uint32(0x85EBCA6B)
+        h >>= np.uint32(12)  # 20 bits: CELLS
+        cells.append(h)
+        z += words[h]
     return token, cells, lex.sides[place], z
 
 
 def _word_gain(lex: Lexicon, words: np.ndarray, x: np.ndarray, keys) -> np.ndarray:
     """log10 P(token | class, context) less its share without context."""
     token, _, side, z = _turns(lex, words, x, keys)
-    return np.bincount(token, -np.logaddexp(0.0, np.where(side, -z, z)), len(x)) / LOG10 - lex.plain[x]
+    lost = np.log1p(np.exp(np.minimum(np.where(side, -z, z), 80.0)))
+    return -np.bincount(token, lost, len(x)) / LOG10 - lex.plain[x]
 
 
 def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -300,6 +304,17 @@ def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray])
     return z
 
 
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    z = weights[rows[0]]
+    for r in rows[1:]:
+        z += weights[r]
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def _split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of (feature row, class), and of turns by cell."""
     return weights[: ROWS * CLASSES].reshape(ROWS, CLASSES), weights[ROWS * CLASSES :]
@@ -309,16 +324,19 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
     """Observed and expected counts of (feature row, class), then what the turns of each cell lack on
     side 1 and on side 0, over all given streams."""
     step = WEIGHTS // BLOCKS
+    # One task per core: what a task sends does not grow with its share of the corpus.
+    cores = max(1, streams.sparkSession.sparkContext.defaultParallelism)
+    groups = max(1, math.isqrt(cores))
 
     def run(batches):
         lex, (w, words) = lexicon.value, _split(weights.value)
         seen, meant = np.zeros(ROWS * CLASSES), np.zeros((ROWS, CLASSES))
-        short, over = np.zeros(CELLS), np.zeros(CELLS)
+        lacks = np.zeros(2 * CELLS)
         empty = True
         for batch in batches:
             for x, keys, _ in _context_keys(batch.column(0).to_pylist()):
                 empty, rows = False, _rows(keys)
-                p = np.exp(_log_softmax(w, lex.bias, rows))
+                p = _softmax(w, lex.bias, rows)
                 c = lex.cls[x]
                 for r in rows:
                     order = np.argsort(r.astype(np.uint16), kind="stable")
@@ -327,15 +345,15 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
                     meant[sorted_r[first]] += np.add.reduceat(p[order], first, axis=0)
                 np.add.at(seen, np.concatenate([r * CLASSES + c for r in rows]), 1.0)
                 _, cells, side, z = _turns(lex, words, x, keys)
-                p = 1.0 / (1.0 + np.exp(np.where(side, z, -z)))  # of the side not taken
+                p = (1.0 / (1.0 + np.exp(np.minimum(np.where(side, z, -z), 80.0)))).astype(float)  # of the side not taken
+                other = np.where(side, 0, CELLS)
                 for k in cells:
-                    np.add.at(short, k[side], p[side])
-                    np.add.at(over, k[~side], p[~side])
+                    np.add.at(lacks, k + other, p)
         if not empty:
-            seen, meant = np.concatenate([seen, short]), np.concatenate([meant.ravel(), over])
+            seen, meant = np.concatenate([seen, lacks[:CELLS]]), np.concatenate([meant.ravel(), lacks[CELLS:]])
             from pyspark import TaskContext
 
-            part = TaskContext.get().partitionId() % 32
+            part = TaskContext.get().partitionId() % groups
             for b in range(BLOCKS):
                 cut_ = slice(b * step, (b + 1) * step)
                 yield pa.RecordBatch.from_arrays(
@@ -353,9 +371,7 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
         return out
 
     schema = "block int, part int, seen binary, meant binary"
-    # One task per core: what a task sends does not grow with its share of the corpus.
-    cores = streams.sparkSession.sparkContext.defaultParallelism
-    sums = streams.select("ids").coalesce(max(1, cores)).mapInArrow(run, schema)
+    sums = streams.select("ids").coalesce(cores).mapInArrow(run, schema)
     tree = sums.groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
     seen, meant = np.zeros(WEIGHTS), np.zeros(WEIGHTS)
     for r in tree.collect():  # BLOCKS rows of a fixed size
