@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -102,9 +103,15 @@ def soft(x, t):
     return np.sign(x) * np.maximum(np.abs(x) - t, 0.0)
 
 
+# Up to so many coefficients, sweeps run on plain floats.
+PLAIN = 24
+
+
 def descend_sweeps(g, xy, beta, lam, free, lower=None, upper=None, tol=1e-4, max_iter=1000):
     """(beta, sweeps, converged) of coordinate descent on a Gram matrix from `beta`. A full sweep
     comes first; later sweeps visit the active set, and a last full sweep confirms it."""
+    if len(beta) <= PLAIN:
+        return _plain_sweeps(g, xy, beta, lam, free, lower, upper, tol, max_iter)
     beta = beta.copy()
     lo = np.full(len(beta), -np.inf) if lower is None else lower
     hi = np.full(len(beta), np.inf) if upper is None else upper
@@ -129,6 +136,41 @@ def descend_sweeps(g, xy, beta, lam, free, lower=None, upper=None, tol=1e-4, max
     return beta, max_iter, False
 
 
+def _plain_sweeps(g, xy, beta, lam, free, lower, upper, tol, max_iter):
+    """descend_sweeps on Python's own floats: the same operations in the same order, hence the same
+    digits, without the cost of an array operation on a few numbers."""
+    p = len(beta)
+    resid, cols, beta = (xy - g @ beta).tolist(), g.T.tolist(), [float(b) for b in beta]
+    lo = [-np.inf] * p if lower is None else [float(v) for v in lower]
+    hi = [np.inf] * p if upper is None else [float(v) for v in upper]
+    free, lam, every = [bool(f) for f in free], float(lam), range(p)
+    usable = [j for j in every if not cols[j][j] <= 0]
+    full = True
+    for sweep in range(1, max_iter + 1):
+        move = 0.0
+        for j in usable:
+            old = beta[j]
+            if not full and old == 0:
+                continue
+            col = cols[j]
+            new = raw = resid[j] + col[j] * old
+            if not free[j]:
+                size = abs(raw) - lam
+                new = math.copysign(0.0, raw) if size <= 0.0 else math.copysign(size, raw) if raw == raw else raw
+            new = min(max(new / col[j], lo[j]), hi[j])
+            step = new - old
+            if step:
+                resid = [r - c * step for r, c in zip(resid, col)]
+                beta[j] = new
+                move = max(move, abs(step))
+        top = max(map(abs, beta)) if all(b == b for b in beta) else np.nan
+        done = move <= tol * max(top, 1e-12)
+        if done and full:
+            return np.array(beta), sweep, True
+        full = done
+    return np.array(beta), max_iter, False
+
+
 def descend(*args, **kwargs):
     return descend_sweeps(*args, **kwargs)[0]
 
@@ -158,50 +200,6 @@ def path_on_gram(g, xy, free, n_lambda=100, eps=1e-4, start=None, lower=None, up
     return lams, np.array(out), np.array(sweeps), np.array(ended)
 
 
-def exact_path(g, xy, free, n_lambda=100, eps=1e-4):
-    """(lambdas, betas) of the path, every step solved by active sets instead of sweeps.
-
-    With the signs of the active coefficients known, a step is one linear solve. Moving to it stops
-    where a coefficient first becomes zero, which then leaves; the inactive one that most breaks its
-    optimality condition enters. Work does not depend on how nearly collinear columns are."""
-    lams = lambda_grid(g, xy, free, n_lambda, eps)
-    beta, diag = np.zeros(len(xy)), np.diag(g)
-    active = free & (diag > 0)
-    usable = ~free & (diag > 0)
-    sign = np.zeros(len(xy))
-    out = []
-    for lam in lams:
-        refused = np.zeros(len(xy), dtype=bool)
-        for _ in range(50 * len(xy)):
-            at = np.flatnonzero(active)
-            goal = np.zeros(len(xy))
-            goal[at] = np.linalg.solve(g[np.ix_(at, at)], xy[at] - lam * sign[at])
-            turned = active & ~free & (goal * sign <= 0)
-            if turned.any():
-                # Coefficients that have just entered stand at zero and refuse a move against their sign.
-                k = np.flatnonzero(turned)
-                share = beta[k] / np.where(beta[k] == goal[k], 1.0, beta[k] - goal[k])
-                gone = k[share.argmin()]
-                beta = beta + share.min() * (goal - beta)
-                refused[gone] |= share.min() == 0.0
-                beta[gone], active[gone], sign[gone] = 0.0, False, 0.0
-                continue
-            beta = goal
-            resid = xy - g @ beta
-            over = np.where(usable & ~active & ~refused, np.abs(resid) - lam, 0.0)
-            j = int(over.argmax())
-            if over[j] <= 1e-9 * lam:
-                break
-            active[j], sign[j] = True, np.sign(resid[j])
-        else:
-            # Rounding alone can bring a set back; sweeps then end the step.
-            beta = descend(g, xy, beta, lam, free, tol=1e-6)
-            active = (free & (diag > 0)) | (beta != 0)
-            sign = np.where(free, 0.0, np.sign(beta))
-        out.append(beta)
-    return lams, np.array(out)
-
-
 def gram_arrays(stats: DataFrame, k: int) -> DataFrame:
     """gram() output with the triangle as one array `g`, X'y as `xy`."""
     tri = [f"g_{i}_{j}" for i, j in combinations_with_replacement(range(k), 2)]

@@ -439,36 +439,23 @@ def test_student_cdf_values():
     assert np.allclose(special.student_cdf(z, np.full(5, 2.0)), 0.5 + z / (2 * np.sqrt(2 + z * z)))
 
 
-def test_lasso_fit_on_nearly_collinear_columns_needs_no_sweeps(monkeypatch):
-    rng = np.random.default_rng(11)
-    n = 80
-    a = rng.normal(size=n)
-    x = np.column_stack([np.ones(n), a, a + 1e-4 * rng.normal(size=n), rng.normal(size=n), a - 1e-3 * rng.normal(size=n)])
-    y = 2000 * (x[:, 2] - x[:, 1]) + x[:, 3] + 0.01 * rng.normal(size=n)
-    g, xy, free = x.T @ x + 1e-8 * n * np.eye(5), x.T @ y, np.array([True, False, False, False, False])
-
-    def sweeps(*args, **kwargs):
-        raise AssertionError("swept")
-
-    monkeypatch.setattr(L, "descend_sweeps", sweeps)
-    lams, path = L.exact_path(g, xy, free, 30, 1e-4)
-    for lam, b in zip(lams, path):
-        r = xy - g @ b
-        assert abs(r[0]) <= 1e-6 * lam
-        assert (np.abs(r[1:]) <= lam * (1 + 1e-4)).all()
-        on = b[1:] != 0
-        assert np.allclose(r[1:][on], lam * np.sign(b[1:][on]), rtol=1e-4)
-    betas, nll, _, _ = G.fit_regression(x, y, G.Normal(), "lasso_bic")
-    assert np.isfinite(nll) and len(betas) == 2
-
+def test_sweeps_on_plain_floats_give_the_same_digits_in_less_time(monkeypatch):
+    import time
 
-def test_exact_path_equals_sweeps_where_they_converge():
-    rng = np.random.default_rng(12)
-    free = np.array([True, False, False, False, False, False])
-    for _ in range(20):
-        x = np.column_stack([np.ones(60), rng.normal(size=(60, 5))])
-        y = x @ np.r_[1.0, rng.normal(size=3), 0, 0] + rng.normal(size=60)
-        g, xy = x.T @ x, x.T @ y
-        lams, path = L.exact_path(g, xy, free, 40, 1e-4)
-        lams2, swept, _, done = L.path_on_gram(g, xy, free, 40, 1e-4, tol=1e-12)
-        assert done.all() and np.allclose(lams, lams2) and np.allclose(path, swept, atol=1e-9)
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=80)
+    x = np.column_stack([np.ones(80), a, a + 1e-4 * rng.normal(size=80), rng.normal(size=(80, 3)), a - 1e-3 * rng.normal(size=80)])
+    y = 2000 * (x[:, 2] - x[:, 1]) + x[:, 3] + 0.01 * rng.normal(size=80)
+    g, xy, free = x.T @ x + 1e-8 * np.eye(7), x.T @ y, np.array([True] + [False] * 6)
+    took = {}
+    for plain in (0, 24):
+        monkeypatch.setattr(L, "PLAIN", plain)
+        begun = time.process_time()
+        for bounds in ({}, {"lower": np.full(7, -1.0), "upper": np.full(7, 0.5)}):
+            took[plain, len(bounds)] = L.path_on_gram(g, xy, free, 30, 1e-4, **bounds)
+        took[plain] = time.process_time() - begun
+    for k in (0, 2):  # also the sign of zeros
+        for arrays, plain in zip(took[0, k], took[24, k]):
+            assert np.array_equal(arrays, plain)
+        assert np.array_equal(np.signbit(took[0, k][1]), np.signbit(took[24, k][1]))
+    assert took[24] < 0.7 * took[0]
