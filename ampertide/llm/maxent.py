@@ -12,9 +12,9 @@ the class's mass for words that training has not seen. Words behind the shared l
 shares of it, so all known tokens and one unknown token per class sum to one in every context.
 
 Training makes `ROUNDS` passes over disjoint parts of the training documents, which together are
-all of them. In a pass every task adds up observed and expected feature counts; the sums meet in
-two levels of bounded groups, and the driver moves the fixed-size weights along the gradient,
-scaled by the counts. Counts of words are over the whole training part and stay in a table; only
+all of them. In a pass every task adds up observed and expected feature counts of some `SHARE`
+tokens; the sums meet in two levels of groups, and the driver moves the fixed-size weights along
+the gradient, scaled by the counts. Counts of words are over the whole training part and stay in a table; only
 the `VOCAB` most frequent words are sent to tasks (a fixed number). All other words are scored by
 a join of the documents' rare words with the table of counts.
 
@@ -49,6 +49,7 @@ ROUNDS = 4
 RATE, PRIOR = 0.4, 4.0
 START = 65_535
 TOKENS = 1 << 15
+SHARE = 1 << 22
 WEIGHTS = ROWS * CLASSES + CELLS
 BLOCKS = 32
 FLUSH = 400_000
@@ -278,12 +279,13 @@ def _turns(lex: Lexicon, words: np.ndarray, x: np.ndarray, keys):
     node = lex.nodes[place]
     z, mixed, cells = lex.lean[node], lex.mixed[node], []
     for k in keys:
-        h = ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)[token]
+        h = np.repeat(((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32), n)
         h ^= mixed
         h *= np.uint32(0x85EBCA6B)
         h >>= np.uint32(12)  # 20 bits: CELLS
+        h = h.astype(np.intp)
         cells.append(h)
-        z += words[h]
+        z += words.take(h, mode="clip")
     return token, cells, lex.sides[place], z
 
 
@@ -294,55 +296,61 @@ def _word_gain(lex: Lexicon, words: np.ndarray, x: np.ndarray, keys) -> np.ndarr
     return -np.bincount(token, lost, len(x)) / LOG10 - lex.plain[x]
 
 
-def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[rows[0]]
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Sums of weights and bias per token and class, of a size that exp takes."""
+    z = weights.take(rows[0], axis=0)
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0, out=more, mode="clip")
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    if len(rows) * max(weights.max(), -weights.min()) > 60:
+        z -= z.max(axis=1, keepdims=True)
     return z
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+def _log_softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    z = _logits(weights, bias, rows)
+    p = np.exp(z)
+    z -= np.log(p @ np.ones(p.shape[1], p.dtype))[:, None]
     return z
 
 
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    p = _logits(weights, bias, rows)
+    np.exp(p, out=p)
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
+    return p
+
+
+def _expect(meant: np.ndarray, rows: list[np.ndarray], p: np.ndarray) -> None:
+    """Adds the tokens' probabilities of classes to their feature rows; meant is by (class, row), so
+    that the sums of one class stay in the cache."""
+    r = np.concatenate(rows)
+    for c in range(CLASSES):
+        meant[c] += np.bincount(r, np.tile(p[:, c], len(rows)), ROWS)
+
+
 def _split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of (feature row, class), and of turns by cell."""
     return weights[: ROWS * CLASSES].reshape(ROWS, CLASSES), weights[ROWS * CLASSES :]
 
 
-def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.ndarray]:
+def feature_sums(streams: DataFrame, lexicon, weights, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """Observed and expected counts of (feature row, class), then what the turns of each cell lack on
-    side 1 and on side 0, over all given streams."""
+    side 1 and on side 0, over all given streams, by at most the given number of tasks."""
     step = WEIGHTS // BLOCKS
-    # One task per core: what a task sends does not grow with its share of the corpus.
-    cores = max(1, streams.sparkSession.sparkContext.defaultParallelism)
-    groups = max(1, math.isqrt(cores))
+    groups = math.isqrt(tasks)
 
     def run(batches):
         lex, (w, words) = lexicon.value, _split(weights.value)
-        seen, meant = np.zeros(ROWS * CLASSES), np.zeros((ROWS, CLASSES))
+        seen, meant = np.zeros(ROWS * CLASSES), np.zeros((CLASSES, ROWS))
         lacks = np.zeros(2 * CELLS)
         empty = True
         for batch in batches:
             for x, keys, _ in _context_keys(batch.column(0).to_pylist()):
                 empty, rows = False, _rows(keys)
-                p = _softmax(w, lex.bias, rows)
+                _expect(meant, rows, _softmax(w, lex.bias, rows))
                 c = lex.cls[x]
-                for r in rows:
-                    order = np.argsort(r.astype(np.uint16), kind="stable")
-                    sorted_r = r[order]
-                    first = np.flatnonzero(np.r_[True, sorted_r[1:] != sorted_r[:-1]])
-                    meant[sorted_r[first]] += np.add.reduceat(p[order], first, axis=0)
                 np.add.at(seen, np.concatenate([r * CLASSES + c for r in rows]), 1.0)
                 _, cells, side, z = _turns(lex, words, x, keys)
                 p = (1.0 / (1.0 + np.exp(np.minimum(np.where(side, z, -z), 80.0)))).astype(float)  # of the side not taken
@@ -350,7 +358,7 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
                 for k in cells:
                     np.add.at(lacks, k + other, p)
         if not empty:
-            seen, meant = np.concatenate([seen, lacks[:CELLS]]), np.concatenate([meant.ravel(), lacks[CELLS:]])
+            seen, meant = np.concatenate([seen, lacks[:CELLS]]), np.concatenate([meant.T.ravel(), lacks[CELLS:]])
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId() % groups
@@ -371,7 +379,7 @@ def feature_sums(streams: DataFrame, lexicon, weights) -> tuple[np.ndarray, np.n
         return out
 
     schema = "block int, part int, seen binary, meant binary"
-    sums = streams.select("ids").coalesce(cores).mapInArrow(run, schema)
+    sums = streams.select("ids").coalesce(tasks).mapInArrow(run, schema)
     tree = sums.groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
     seen, meant = np.zeros(WEIGHTS), np.zeros(WEIGHTS)
     for r in tree.collect():  # BLOCKS rows of a fixed size
@@ -386,10 +394,12 @@ def train_weights(streams: DataFrame, lexicon, rounds: int = ROUNDS) -> np.ndarr
     classes, then of turns."""
     sc = streams.sparkSession.sparkContext
     weights = np.zeros(WEIGHTS, dtype=np.float32)
+    # What a task sends has a fixed size, so the tasks follow the tokens of a part.
+    tasks = max(1, math.ceil(lexicon.value.n / rounds / SHARE))
     for r in range(rounds):
         part = streams.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == r)
         sent = sc.broadcast(weights)
-        seen, meant = feature_sums(part, lexicon, sent)
+        seen, meant = feature_sums(part, lexicon, sent, tasks)
         sent.unpersist()
         weights = weights + (RATE * (seen - meant) / (0.5 * (seen + meant) + PRIOR)).astype(np.float32)
     return weights

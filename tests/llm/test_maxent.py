@@ -144,3 +144,62 @@ def test_context_tells_words_of_one_class_apart(docs_of):
     tests = [(held[0], "red a1z"), (held[1], "red a2z"), (held[2], "blue a1z"), (held[3], "blue a2z")]
     got = {r.doc_id: r.score for r in M.maxent_scores(docs_of(docs + tests)).collect()}
     assert got[held[0]] > got[held[1]] + 0.1 and got[held[3]] > got[held[2]] + 0.1
+
+
+def test_gradient_tasks_follow_the_tokens(docs_of, monkeypatch):
+    docs = docs_of([(i, "some words of a text " * 5) for i in range(400)]).repartition(6)
+    asked, coalesce = [], type(docs).coalesce
+    monkeypatch.setattr(type(docs), "coalesce", lambda df, n: asked.append(n) or coalesce(df, n))
+    few = {r.doc_id: r.score for r in M.maxent_scores(docs).collect()}
+    assert asked == [1] * M.ROUNDS
+    tokens = M.maxent_scores(docs).head().train_tokens
+    monkeypatch.setattr(M, "SHARE", math.ceil(tokens / M.ROUNDS / 3))
+    asked.clear()
+    many = {r.doc_id: r.score for r in M.maxent_scores(docs).collect()}
+    assert asked == [3] * M.ROUNDS
+    assert few == pytest.approx(many, abs=1e-3)
+
+
+def test_sums_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    top = [(b"a%dz" % k, 300 - k) for k in range(100)]
+    mass, kinds = np.zeros(M.SPELLING), np.zeros(M.SPELLING)
+    mass[M.spelling(b"a0z")], kinds[M.spelling(b"a0z")] = sum(c for _, c in top[M.ALONE :]), 85
+    sc = spark.sparkContext
+    lex = M.Lexicon(top, 30_000, 101, 50, 0.4, mass, kinds)
+    weights = rng.normal(size=M.WEIGHTS).astype(np.float32)
+    streams = [rng.integers(0, 101, 60).astype("<u2").tobytes() for _ in range(40)]
+    df = spark.createDataFrame([(bytearray(s),) for s in streams], "ids binary").repartition(4)
+    seen, meant = M.feature_sums(df, sc.broadcast(lex), sc.broadcast(weights), 4)
+    w, cells = M._split(weights.astype(float))
+    want, hope = np.zeros((2, M.ROWS, M.CLASSES)), np.zeros(2)
+    for s in streams:
+        (x, keys, _), = M._context_keys([s])
+        feats = M._rows(keys)
+        for i, word in enumerate(x):
+            z = sum(w[r[i]] for r in feats) + lex.bias
+            p = np.exp(z - z.max())
+            for r in feats:
+                want[0, r[i], lex.cls[word]] += 1
+                want[1, r[i]] += p / p.sum()
+        _, places, side, z = M._turns(lex, cells, x, keys)
+        lost = 1 / (1 + np.exp(np.where(side, z, -z)))
+        hope += 4 * np.array([lost[side].sum(), lost[~side].sum()])
+    k = M.ROWS * M.CLASSES
+    assert np.array_equal(seen[:k].reshape(M.ROWS, M.CLASSES), want[0])
+    assert np.allclose(meant[:k].reshape(M.ROWS, M.CLASSES), want[1], atol=1e-3)
+    assert [seen[k:].sum(), meant[k:].sum()] == pytest.approx(hope.tolist(), rel=1e-4)
+
+
+@pytest.mark.parametrize("size", [0.3, 40.0])
+def test_softmax_of_small_and_large_weights(size):
+    rng = np.random.default_rng(6)
+    w = (size * rng.normal(size=(M.ROWS, M.CLASSES))).astype(np.float32)
+    bias = rng.normal(size=M.CLASSES).astype(np.float32)
+    bias[3] = -1e9
+    rows = [rng.integers(0, M.ROWS, 500) for _ in range(4)]
+    z = sum(w[r].astype(float) for r in rows) + bias
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.allclose(M._softmax(w, bias, rows), np.exp(z), atol=1e-4)
+    assert np.allclose(M._log_softmax(w, bias, rows)[:, :3], z[:, :3], rtol=1e-4, atol=1e-3)
